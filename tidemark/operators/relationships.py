@@ -12,27 +12,23 @@ from tidemark.operators.profiling import column_roles
 from tidemark.plans.counts import as_text
 
 
-def correlations(df: DataFrame, cols: Sequence[str] | None = None, batch: int = 200) -> DataFrame:
+def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair over rows where both are present.
 
-    All pairs of a batch share one aggregation over one scan.
+    Each row is turned into one (pair, x, y) row per column pair; the partial
+    aggregation folds them into one state per pair before the exchange.
     """
     cols = list(cols if cols is not None else numeric_columns(df))
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    v = lambda i: number(df, cols[i])
-    out = None
-    for start in range(0, len(pairs), batch):
-        chunk = pairs[start:start + batch]
-        wide = df.agg(*[F.corr(v(i), v(j)).alias(f"r{i}_{j}") for i, j in chunk])
-        rows = [F.struct(F.lit(cols[i]).alias("left_column"), F.lit(cols[j]).alias("right_column"),
-                         F.lit(i).cast("long").alias("left_index"), F.lit(j).cast("long").alias("right_index"),
-                         F.col(f"r{i}_{j}").alias("correlation")) for i, j in chunk]
-        part = wide.select(F.inline(F.array(*rows)))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    pairs = [F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"),
+                      F.lit(i).cast("long").alias("left_index"), F.lit(j).cast("long").alias("right_index"),
+                      number(df, a).alias("x"), number(df, b).alias("y"))
+             for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    if not pairs:
         return df.sparkSession.createDataFrame(
             [], "left_column string, right_column string, left_index long, right_index long, correlation double")
-    return out
+    rows = df.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*")
+    return (rows.groupBy("left_column", "right_column", "left_index", "right_index")
+            .agg(F.corr("x", "y").alias("correlation")))
 
 
 def high_correlations(df: DataFrame, threshold: float = 0.7) -> DataFrame:

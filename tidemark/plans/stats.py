@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.kinds import is_missing, number, numeric_columns, ref
 
-MOMENTS = ("valid", "minimum", "maximum", "mean", "std", "std_pop", "skew_pop", "kurtosis_pop", "zeros", "negatives")
 WIDE_BATCH = 40
 
 
@@ -39,21 +38,22 @@ def missing_counts(df: DataFrame, cols: Sequence[str] | None = None, by: Sequenc
 
 
 def moments(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Count, range, mean, spread and shape of every numeric column in one scan."""
+    """Count, range, mean, spread and shape of every numeric column in one scan.
+
+    The rows are unpivoted and combined per column before the exchange. One short
+    aggregation over more rows beats one very wide aggregation, whose generated
+    method is too large for the JVM to compile.
+    """
     cols = list(cols if cols is not None else [c for c in numeric_columns(df) if c not in by])
-    v = lambda c: number(df, c)
-    return per_column(df, cols, {
-        "valid": lambda c: F.count(v(c)),
-        "minimum": lambda c: F.min(v(c)),
-        "maximum": lambda c: F.max(v(c)),
-        "mean": lambda c: F.avg(v(c)),
-        "std": lambda c: F.stddev_samp(v(c)),
-        "std_pop": lambda c: F.stddev_pop(v(c)),
-        "skew_pop": lambda c: F.skewness(v(c)),
-        "kurtosis_pop": lambda c: F.kurtosis(v(c)),
-        "zeros": lambda c: F.count_if(v(c) == 0),
-        "negatives": lambda c: F.count_if(v(c) < 0),
-    }, by)
+    shaped = df.select(*[ref(b) for b in by], *[number(df, c).alias(c) for c in cols])
+    rows = shaped.unpivot([ref(b) for b in by], [ref(c) for c in cols], "column_name", "v")
+    v = F.col("v")
+    return rows.groupBy(*by, "column_name").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count(v).alias("valid"),
+        F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("std"), F.stddev_pop(v).alias("std_pop"),
+        F.skewness(v).alias("skew_pop"), F.kurtosis(v).alias("kurtosis_pop"),
+        F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"))
 
 
 def beside(*one_row: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ ORACLES = {
         round((count(*) - count({c})) * 100.0::double / count(*), 2) AS missing_pct,
         round(100 - 0.8 * ((count(*) - count({c})) * 100.0::double / count(*)), 1) AS score, count(DISTINCT {c}) AS distinct_count FROM labelled"""
         for c, (t, s) in TYPES.items()),
-    "duplicate_columns": "SELECT 'l_quantity' AS left_column, 'q2' AS right_column FROM lineitem GROUP BY ALL",
+    "duplicate_columns": "SELECT 'l_quantity' AS left_column, 'q2' AS right_column",
     "adjacent_correlations": """WITH t AS (SELECT p_retailprice AS a, p_size AS b, p_retailprice * 2 + p_size AS c, -p_size AS d FROM part)
         SELECT 'n0' AS label, floor(abs(corr(a, b)) * 100)::bigint AS value FROM t UNION ALL SELECT 'n1', floor(abs(corr(b, c)) * 100)::bigint FROM t
         UNION ALL SELECT 'n2', floor(abs(corr(c, d)) * 100)::bigint FROM t""",
@@ -247,9 +247,9 @@ ORACLES = {
           UNION ALL SELECT 'scaling', 'medium', column_name, CASE WHEN std > mean THEN 'standard_scaling' ELSE 'min_max_scaling' END FROM m WHERE std > mean OR mn >= 0
           UNION ALL VALUES ('feature_engineering', 'medium', 'doc_id*n_chars', 'interaction_feature'), ('feature_engineering', 'medium', 'doc_id^2', 'polynomial_feature'))
         SELECT * FROM s ORDER BY priority <> 'high', category, column_name, suggestion LIMIT 20""",
-    "histogram": f"""WITH e AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high, count(*) AS total FROM orders)
-        SELECT 'o_totalprice' AS column_name, low, high, total, least(floor((o_totalprice - low) * 30 / (high - low)), 29)::bigint AS bin, count(*) AS n,
-          {r('count(*) * 30 / (total * (high - low))', 10)} AS density FROM orders, e GROUP BY ALL""",
+    "histogram": f"""WITH e AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high, count(*) AS total FROM orders),
+        b AS (SELECT low, high, total, least(floor((o_totalprice - low) * 30 / (high - low)), 29)::bigint AS bin, count(*) AS n FROM orders, e GROUP BY 1, 2, 3, 4)
+        SELECT 'o_totalprice' AS column_name, low, high, total, bin, n, {r('n * 30 / (total * (high - low))', 10)} AS density FROM b""",
     "chart_data": f"""WITH {LABELLED}, f AS ({roles_sql('labelled', LAB_KINDS)}), miss AS ({each(LABELLED_COLS, "SELECT '{c}' AS label, count(*) - count({c}) AS n FROM labelled")})
         SELECT 'missing' AS chart, label, n FROM miss WHERE n > 0
         UNION ALL SELECT 'types', label, count(*) FROM (VALUES ('bigint'), ('string'), ('string'), ('bigint'), ('int'), ('int')) t(label) GROUP BY label

@@ -352,11 +352,12 @@ def hierarchical(points: DataFrame, k: int = 3, linkage: str = "ward", seed: int
         table = points.sparkSession.createDataFrame([(list(map(float, r.vec)), int(l)) for r, l in zip(small, labels)], "vec array<double>, cluster long")
         return points.join(F.broadcast(table), "vec").select("id", "vec", "cluster")
     rows = folded.withColumn("features", array_to_vector("vec"))
-    model = KMeans(k=MICRO_CLUSTERS, seed=seed, maxIter=10, initSteps=2, weightCol="weight", predictionCol="micro").fit(rows)
+    model = KMeans(k=MICRO_CLUSTERS, seed=seed, maxIter=5, initMode="random", weightCol="weight", predictionCol="micro").fit(rows)
     micro = model.transform(with_vector(points)).select("id", "vec", "micro")
     sizes = {r["micro"]: r["n"] for r in micro.groupBy("micro").agg(F.count(F.lit(1)).alias("n")).collect()}
     used = sorted(sizes)
-    centres = np.array([model.clusterCenters()[i] for i in used])
+    found = model.clusterCenters()
+    centres = np.array([found[i] for i in used])
     labels = merge_centres(centres, np.array([sizes[i] for i in used], float), k, linkage)
     table = points.sparkSession.createDataFrame([(int(i), int(l)) for i, l in zip(used, labels)], "micro int, cluster long")
     return micro.join(F.broadcast(table), "micro").select("id", "vec", "cluster")

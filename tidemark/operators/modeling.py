@@ -23,6 +23,7 @@ from tidemark.operators.relationships import high_correlations
 from tidemark.plans.counts import as_text, column_summary
 from tidemark.plans.nearest import nearest
 from tidemark.plans.ranks import quantiles, running
+from tidemark.plans.sizing import spread
 from tidemark.plans.stats import beside, moments
 from tidemark.session import settle
 
@@ -202,16 +203,16 @@ def _estimator(kind: str, problem: str, rows: int, classes: int):
     penalty = 1.0 / max(rows, 1)
     if problem == "classification":
         made = {
-            "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=42, **common),
+            "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=42, maxMemoryInMB=1024, **common),
             "decision_tree": lambda: DecisionTreeClassifier(maxDepth=10, seed=42, **common),
             "logistic_regression": lambda: LogisticRegression(maxIter=1000, regParam=penalty, standardization=False, **common),
             "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **common),
-            "svm": lambda: (LinearSVC(maxIter=100, regParam=penalty, **common) if classes <= 2 else
-                            OneVsRest(classifier=LinearSVC(maxIter=100, regParam=penalty), **common)),
+            "svm": lambda: (LinearSVC(maxIter=50, regParam=penalty, **common) if classes <= 2 else
+                            OneVsRest(classifier=LinearSVC(maxIter=50, regParam=penalty), parallelism=4, **common)),
         }
     else:
         made = {
-            "random_forest": lambda: RandomForestRegressor(numTrees=100, maxDepth=10, seed=42, **common),
+            "random_forest": lambda: RandomForestRegressor(numTrees=100, maxDepth=10, seed=42, maxMemoryInMB=1024, **common),
             "decision_tree": lambda: DecisionTreeRegressor(maxDepth=10, seed=42, **common),
             "linear_regression": lambda: LinearRegression(**common),
         }
@@ -268,7 +269,7 @@ def train(df: DataFrame, key: str, target: str, features: Sequence[str], problem
         count = fitted.neighbours.count()
     else:
         assembled = VectorAssembler(inputCols=fitted.inputs, outputCol="features")
-        ready = settle(assembled.transform(encoded).select("features", "label"), "features")
+        ready = spread(settle(assembled.transform(encoded).select("features", "label"), "features"))
         count = ready.count()
         fitted.pipeline = PipelineModel([assembled, _estimator(chosen, problem, count, classes).fit(ready)])
     fitted.info = {"train_rows": count, "seconds": round(time.time() - started, 3), "features": len(features),

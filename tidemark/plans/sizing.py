@@ -28,3 +28,12 @@ def fits(df: DataFrame, max_rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast for a counted-small side; otherwise leave the join to AQE."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for an iterative fit on a small file scan; larger scans are left as they are.
+
+    Only for plain scans: asking a plan with shuffles for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -37,3 +37,14 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def keep_parallel(df: DataFrame, *keys: str) -> DataFrame:
+    """Full shuffle parallelism for few bytes that cause much work (key expansion, edit distances).
+
+    AQE merges partitions by size and would put such rows into one task; an
+    explicit partition number is left alone.
+    """
+    spark = df.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(width, *keys)

@@ -76,7 +76,7 @@ def _spelling(s, d):
 def _messages(s, d):
     vocab = vocabulary_words(s, d, 20).select(F.col("word").alias("term")).distinct()
     msgs = table(s, d, "conversations").filter("role = 'user'").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    return op.correct_messages(msgs, "id", "text", vocab, 0.75, True, True)
+    return op.correct_messages(msgs, "id", "text", vocab, 0.75, True)
 
 
 def _log(s, d):

@@ -71,12 +71,13 @@ def ffill(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequen
     value of earlier pieces is carried over, so no key is handled by a single task.
     """
     first = order[0]
-    base = df.withColumn("_all", F.lit(1))
-    cuts = cut_points(base.select("_all", ref(first)).distinct(), ["_all"], first)
-    placed = with_bucket(base.filter(ref(first).isNotNull()), cuts, ["_all"], first)
+    keys = list(keys)
+    base = df if keys else df.withColumn("_all", F.lit(1))
+    cuts = cut_points(df.filter(ref(first).isNotNull()).select(ref(first)).distinct(), [], first)
+    placed = with_bucket(base.filter(ref(first).isNotNull()), cuts, [], first)
     loose = base.filter(ref(first).isNull()).withColumn("_bucket", F.lit(-1))
     placed = placed.unionByName(loose)
-    keys = list(keys) or ["_all"]
+    keys = keys or ["_all"]
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct(*[ref(o) for o in order])
@@ -173,8 +174,8 @@ def one_hot(df: DataFrame, fitted: Mapping[str, Sequence[str]]) -> DataFrame:
 def label_codes(df: DataFrame, col: str) -> DataFrame:
     """(value, code): codes 0.. in text order, numbered without a global sort."""
     values = (df.select(ref(col).cast("string").alias("value")).filter("value is not null").distinct()
-              .select(F.lit(col).alias("column_name"), "value", F.lit(1).alias("one")))
-    return running(values, ["column_name"], "value", ["one"]).select("value", (F.col("one_upto") - 1).cast("long").alias("code"))
+              .select("value", F.lit(1).alias("one")))
+    return running(values, [], "value", ["one"]).select("value", (F.col("one_upto") - 1).cast("long").alias("code"))
 
 
 def label_encode(df: DataFrame, col: str, codes: DataFrame) -> DataFrame:

@@ -240,8 +240,7 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, direct: in
     component = connected_components(graph)
     heads = core.groupBy(name("cell").alias("node"), "cell").agg(F.min("id").alias("first")).join(component, "node")
     firsts = heads.groupBy("component").agg(F.min("first").alias("first"))
-    numbered = running(firsts.select(F.lit("c").alias("column_name"), F.col("first").alias("value"), "component", F.lit(1).alias("one")),
-                       ["column_name"], "value", ["one"])
+    numbered = running(firsts.select(F.col("first").alias("value"), "component", F.lit(1).alias("one")), [], "value", ["one"])
     labels = settle(heads.select("cell", "component").join(
         numbered.select("component", (F.col("one_upto") - 1).cast("long").alias("cluster")), "component").select("cell", "cluster"), "labels")
     inside = core.join(labels, "cell").select("id", "cluster", F.lit(True).alias("core"))
@@ -279,9 +278,8 @@ def single_linkage(points: DataFrame, k: int = 3, rounds: int = 60) -> DataFrame
     # start at the distance of evenly spread points
     total = points.count()
     if total <= k:
-        return points.select("id", F.lit("c").alias("column_name")).transform(
-            lambda d: running(d.select("column_name", F.col("id").alias("value"), F.lit(1).alias("one")), ["column_name"], "value", ["one"])
-        ).select(F.col("value").alias("id"), (F.col("one_upto") - 1).cast("long").alias("cluster"))
+        return running(points.select(F.col("id").alias("value"), F.lit(1).alias("one")), [], "value", ["one"]).select(
+            F.col("value").alias("id"), (F.col("one_upto") - 1).cast("long").alias("cluster"))
     probe = width / max(2.0, math.sqrt(total))
     for _ in range(rounds):
         found = settle(dbscan(points, probe, 1).select("id", "cluster"), "probe")

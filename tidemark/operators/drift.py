@@ -31,8 +31,8 @@ RESULT_COLUMNS = ["column_name", "test_method", "statistic", "p_value", "drift_s
 def temporal_cut(df: DataFrame, order: Sequence[str], share: float = 0.7):
     """The order key of row number floor(n * share), found by ranks; one small row to the driver."""
     at = F.struct(*[ref(o) for o in order])
-    counted = df.select(F.lit(1).alias("_all"), at.alias("at")).groupBy("_all", "at").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running(counted, ["_all"], "at", ["n"])
+    counted = df.select(at.alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running(counted, [], "at", ["n"])
     found = ranked.agg(F.max(F.when(F.col("n_upto") <= F.floor(F.col("n_total") * share), F.col("at"))).alias("at")).first()
     return found["at"]
 

@@ -349,9 +349,9 @@ def classification_metrics(pred: DataFrame, target: str, prediction: str = "pred
 
 def roc_auc(pred: DataFrame, label: Column, score_col: Column) -> DataFrame:
     """Exact area under the ROC curve; ``label`` is boolean. Tied scores count half."""
-    counted = (pred.select(F.lit("auc").alias("column_name"), score_col.cast("double").alias("value"), label.alias("y"))
-               .groupBy("column_name", "value").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")))
-    ranked = running(counted, ["column_name"], "value", ["pos", "neg"])
+    counted = (pred.select(score_col.cast("double").alias("value"), label.alias("y")).groupBy("value")
+               .agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")))
+    ranked = running(counted, [], "value", ["pos", "neg"])
     above = F.col("pos_total") - F.col("pos_upto")
     won = F.sum(F.col("neg") * (above + F.col("pos") / 2.0))
     return ranked.agg(F.try_divide(won, F.max(F.col("pos_total").cast("double") * F.col("neg_total"))).alias("roc_auc"),

@@ -20,13 +20,19 @@ BUCKETS = 256
 
 
 def cut_points(counted: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """(keys..., _cuts): at most ``buckets`` sorted values per key."""
+    """(keys..., _cuts): at most ``buckets`` sorted values per key, or for the whole frame without keys."""
+    if not keys:
+        return (counted.orderBy(F.xxhash64(value), F.col(value)).limit(buckets)
+                .agg(F.sort_array(F.collect_list(value)).alias("_cuts")))
     order = Window.partitionBy(*keys).orderBy(F.xxhash64(value), F.col(value))
     picked = counted.select(*keys, value, F.row_number().over(order).alias("_r")).filter(F.col("_r") <= buckets)
     return picked.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
 
 
 def with_bucket(df: DataFrame, cuts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    if not keys:  # one array, read as a scalar subquery
+        both = df.withColumn("_cuts", cuts.scalar())
+        return both.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
     # cuts hold at most BUCKETS values for each key, and keys are column names or periods
     cut = F.col("_cuts")
     bucket = F.size(F.filter(cut, lambda c: c <= F.col(value)))
@@ -38,7 +44,7 @@ def running(counted: DataFrame, keys: Sequence[str], value: str, measures: Seque
     """Adds ``<m>_upto`` (inclusive running sum by value) and ``<m>_total`` per key.
 
     ``counted`` holds one row per (keys, value); ``keys`` must be few (column
-    names, periods).
+    names, periods) and may be empty.
     """
     keys = list(keys)
     placed = with_bucket(counted, cut_points(counted, keys, value, buckets), keys, value)

@@ -19,24 +19,37 @@ from tidemark.plans.sizing import SMALL_ROWS, fits
 BUCKETS = 256
 
 
+STEP = 16
+
+
 def cut_points(counted: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """(keys..., _cuts): at most ``buckets`` sorted values per key, or for the whole frame without keys."""
-    if not keys:
-        return (counted.orderBy(F.xxhash64(value), F.col(value)).limit(buckets)
-                .agg(F.sort_array(F.collect_list(value)).alias("_cuts")))
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(value), F.col(value))
-    picked = counted.select(*keys, value, F.row_number().over(order).alias("_r")).filter(F.col("_r") <= buckets)
-    return picked.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
+    """(keys..., _cuts): at most ``buckets`` sorted values per key, or for the whole frame without keys.
+
+    ``_cuts.every`` repeats each STEP-th value, so that a lookup takes two short scans.
+    """
+    if keys:
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64(value), F.col(value))
+        picked = counted.select(*keys, value, F.row_number().over(order).alias("_r")).filter(F.col("_r") <= buckets)
+    else:
+        picked = counted.orderBy(F.xxhash64(value), F.col(value)).limit(buckets)
+    cuts = picked.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_all"))
+    every = F.filter("_all", lambda c, at: at % STEP == 0)
+    return cuts.select(*keys, F.struct(F.col("_all").alias("all"), every.alias("every")).alias("_cuts"))
 
 
 def with_bucket(df: DataFrame, cuts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    if not keys:  # one array, read as a scalar subquery
+    """Adds ``_bucket``: the number of cut points at or below the value."""
+    if keys:
+        # at most BUCKETS values for each key, and keys are column names or periods
+        both = df.join(F.broadcast(cuts), list(keys))
+    else:
         both = df.withColumn("_cuts", cuts.scalar())
-        return both.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
-    # cuts hold at most BUCKETS values for each key, and keys are column names or periods
-    cut = F.col("_cuts")
-    bucket = F.size(F.filter(cut, lambda c: c <= F.col(value)))
-    return df.join(F.broadcast(cuts), list(keys)).withColumn("_bucket", bucket).drop("_cuts")
+    below = lambda values: F.size(F.filter(values, lambda c: c <= F.col(value)))
+    both = both.withColumn("_coarse", below(F.col("_cuts.every")))
+    start = (F.col("_coarse") - 1) * STEP
+    fine = below(F.slice(F.col("_cuts.all"), start + 1, F.lit(STEP)))
+    bucket = F.when(F.col("_coarse") == 0, 0).otherwise(start + fine)
+    return both.withColumn("_bucket", bucket).drop("_cuts", "_coarse")
 
 
 def running(counted: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str],

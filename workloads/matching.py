@@ -117,7 +117,7 @@ def _search(s, d):
     asked = table(s, d, "benchmark").join(table(s, d, "embeddings"), F.col("item_id") == F.col("vec_id")).select(
         "item_id", "text", F.when(F.col("item_id") % 2 == 0, F.col("embedding")).otherwise(
             F.transform("embedding", lambda x: (-x).cast("float"))).alias("embedding"))
-    return ret.search_with_fallback(asked, corpus, "item_id", "vec_id", "embedding", "text", 5, 0.3, 0.2)
+    return ret.search_with_fallback(asked, corpus, "item_id", "vec_id", "embedding", "text", 5, 0.3)
 
 
 def _names(s, d):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import forest_join, packing, poisson_mix, repetition, subword_classifier
+from tidemark.llm import (forest_join, huffman_store, language_profiles, packing, piece_counts, poisson_mix, repetition, subword_classifier,
+                           wrapper_extraction)
 from tidemark.llm.common import load_tokenizer, read_table, remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -15,6 +16,17 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(read_table(spark, sf_dir, "documents"), kept=["doc_id"])
 
 
+def op2_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)))
+    profiles = language_profiles.trained(documents, "text", "lang", ~F.col("held_out"))
+    return language_profiles.identify(documents, profiles, kept=["doc_id", "held_out"])
+
+
+def op4_huffman_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = huffman_store.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return stored.withColumnRenamed("id", "doc_id")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), path)
@@ -34,8 +46,8 @@ def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(spark: SparkSession, sf_dir: str):
     """The classifier, fitted on labelled rows outside the held-out third."""
     documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    labels = labels.filter(F.coalesce(remainder("doc_id", 3), F.lit(1)) != 1).select("doc_id", "quality")
-    return subword_classifier.fit(documents.select("doc_id", "text").join(labels, "doc_id"), "doc_id", "text", "quality")
+    labels = labels.filter(F.coalesce(remainder("doc_id", 3), F.lit(1)) != 1)
+    return subword_classifier.fit(documents, labels, "doc_id", "text", "quality")
 
 
 def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +55,17 @@ def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_classifier.classify(documents, quality_model(spark, sf_dir), kept=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op5_packing, op6_forest_join, op7_poisson_mix, op8_subword_quality)}
+def op9_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_extraction.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.piece_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), kept=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_repetition, op2_language_profiles, op4_huffman_store, op5_packing, op6_forest_join, op7_poisson_mix, op8_subword_quality,
+    op9_wrapper_extraction, op10_piece_counts)}
 
 _TOP = ", ".join(f"max(CASE WHEN n = {n} AND c > 1 THEN c * chars ELSE 0 END) AS top{n}_chars" for n in repetition.TOP_LIMITS)
 _INSIDE = ", ".join(f"sum(CASE WHEN n = {n} AND cov THEN len ELSE 0 END) AS repeat{n}_chars" for n in repetition.REPEAT_LIMITS)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import CACHE_ENTRIES, map_texts, words_of
@@ -166,32 +167,36 @@ def train_on(features: list[tuple[np.ndarray, np.ndarray]], labels: list, bucket
     return Model(vectors, output, bias, classes)
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Train on the ``sample_rows`` rows with the lowest hash of their id; null when no row has a label and a word.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+    """Train on at most ``sample_rows`` labelled rows, those with the lowest hash of their id; null when none has a label.
 
-    Features are made by the executors; the driver gets one pair of arrays per sampled
-    row, of at most ``BUCKETS`` entries each, however long the text.
+    The sample is drawn from the labels, so its ids are a bounded broadcast and no text is
+    shuffled for it; it is cut again after the join, as ids may repeat. One task trains on
+    it and sends the model, whose size does not depend on the data.
     """
-    sample = (labelled.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                                                                   F.col(label_col).cast("int").alias("label"))
-              .withColumn("h", F.xxhash64("id", F.lit(SEED))).orderBy("h", "id", "label", F.xxhash64("text")).limit(sample_rows))
-
-    def start():
-        features = Counter()
-
-        def work(texts):
-            for text in texts:
-                buckets, counts = features.counted(text)
-                yield buckets.astype("<u4").tobytes(), counts.astype("<u4").tobytes()
-
-        return work
-
-    rows = sorted(map_texts(sample, ["text"], ["h", "id", "label"], {"b": "binary", "c": "binary"}, start).collect(),
-                  key=lambda r: (r.h, r.id is None, r.id or 0, r.label, bytes(r.b)))
-    made = [(np.frombuffer(r.b, "<u4").astype(np.int64), np.frombuffer(r.c, "<u4").astype(np.int64)) for r in rows]
-    if not any(len(b) for b, _ in made):
+    drawn = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col), F.lit(SEED)).alias("h"))
+    drawn = drawn.orderBy("h", "__id", "label").limit(sample_rows)
+    sample = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), F.expr("id = __id"))
+              .orderBy("h", "id", "label", F.xxhash64("text")).limit(sample_rows).select("label", "text").coalesce(1))
+
+    def train(batches):
+        counter, made, wanted = Counter(), [], []
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                buckets, counts = counter.counted(text)
+                made.append((buckets.astype(np.uint32), counts.astype(np.float32)))
+                wanted.append(label)
+        if wanted:
+            model = train_on(made, wanted)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.vectors, model.output, model.bias)]
+                                             + [pa.array([model.classes], pa.list_(pa.int32()))], names=["vectors", "output", "bias", "classes"])
+
+    rows = sample.mapInArrow(train, "vectors binary, output binary, bias binary, classes array<int>").collect()
+    if not rows:
         return None
-    return train_on(made, [r.label for r in rows])
+    vectors, output, bias = (np.frombuffer(x, np.float32) for x in rows[0][:3])
+    return Model(vectors.reshape(-1, DIMENSIONS), output.reshape(-1, DIMENSIONS), bias, list(rows[0].classes))
 
 
 class Scorer(Features):
@@ -266,8 +271,6 @@ def keep_positive(docs: DataFrame, model: Model | None, text_col: str = "text",
     make = _scorer(model, positive)
 
     def run(batches):
-        import pyarrow as pa
-
         score = make()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()

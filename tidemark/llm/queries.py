@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import (forest_join, huffman_store, language_profiles, packing, piece_counts, poisson_mix, repetition, subword_classifier,
-                           wrapper_extraction)
+from tidemark.llm import (blockmax_search, forest_join, huffman_store, language_profiles, packing, piece_counts, poisson_mix, repetition,
+                           subword_classifier, wrapper_extraction)
 from tidemark.llm.common import load_tokenizer, read_table, remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,11 @@ def op2_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_profiles.identify(documents, profiles, kept=["doc_id", "held_out"])
 
 
+def op3_blockmax_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return blockmax_search.top_k(documents, documents.filter(F.col("doc_id") % 20 == 0))
+
+
 def op4_huffman_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = huffman_store.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return stored.withColumnRenamed("id", "doc_id")
@@ -64,7 +69,7 @@ def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_repetition, op2_language_profiles, op4_huffman_store, op5_packing, op6_forest_join, op7_poisson_mix, op8_subword_quality,
+    op1_repetition, op2_language_profiles, op3_blockmax_search, op4_huffman_store, op5_packing, op6_forest_join, op7_poisson_mix, op8_subword_quality,
     op9_wrapper_extraction, op10_piece_counts)}
 
 _TOP = ", ".join(f"max(CASE WHEN n = {n} AND c > 1 THEN c * chars ELSE 0 END) AS top{n}_chars" for n in repetition.TOP_LIMITS)

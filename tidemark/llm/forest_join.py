@@ -297,13 +297,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` per class: the one with the lowest id; all columns as they were.
 
-    Rows with a null id stay. Of rows that repeat the lowest id of a class, one stays
-    (the lowest hash of the text, then any: they are equal in what was compared).
+    Rows with a null id stay. Of rows that repeat the lowest id of a class, one stays.
     """
-    joined = jaccard_join(docs, id_col, text_col, **options)
-    lowest = joined.filter(F.col("class_id") == F.col(id_col)).select(F.col(id_col).cast("bigint").alias("__kept")).distinct()
-    kept = docs.join(lowest, F.col(id_col).cast("bigint") == F.col("__kept"), "left_semi")
-    repeated = joined.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1 AND __id IS NOT NULL")
-    once = kept.join(repeated.select("__id"), F.col(id_col).cast("bigint") == F.col("__id"), "left_anti")
-    several = kept.join(repeated.select("__id"), F.col(id_col).cast("bigint") == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(several).unionByName(docs.filter(F.col(id_col).isNull()))
+    joined = settle(jaccard_join(docs, id_col, text_col, **options), "classes")
+    own = F.col(id_col).cast("bigint")
+    # The columns made here are renamed past any name of docs.
+    made = "kept_" + max(docs.columns, key=len)
+    lowest = joined.filter(F.col("class_id") == F.col(id_col)).groupBy(F.col(id_col).alias(made)).agg(F.count(F.lit(1)).alias("n"))
+    single, several = lowest.filter("n = 1").select(made), lowest.filter("n > 1").select(made)
+    once = docs.join(single, own == F.col(made), "left_semi")
+    repeated = docs.join(several, own == F.col(made), "left_semi").dropDuplicates([id_col])
+    return once.unionByName(repeated).unionByName(docs.filter(F.col(id_col).isNull()))

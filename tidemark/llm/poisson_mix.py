@@ -7,8 +7,6 @@ from a hash of the seed, the id and the text, so a task that runs again draws th
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.plans.sizing import broadcast_if_small
@@ -67,35 +65,35 @@ def rates(docs: DataFrame, source_col: str, size: Column, weights: dict[str, flo
 
 def replicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
               weights: dict[str, float] | None = None, epochs: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED,
-              count_as: str = "__copy", key_as: str = "__key") -> DataFrame:
+              count_as: str = "copy", key_as: str = "order_key") -> DataFrame:
     """The columns of ``docs`` with each row repeated by its draw, in a global random order, and the columns ``count_as``
     (number of the repetition, from 0) and ``key_as`` (the number that the order goes by).
 
     Sizes count a row as its characters plus one, so empty and null texts count too. Null
     sources are one source. Repeated rows (same id and text) draw alike. A source of weight
     0 gives no rows. The order is a range partitioning by the hash of each repetition, so
-    any number of copies of one document is spread over all partitions.
+    any number of copies of one document is spread over all partitions. A column of ``docs``
+    called ``count_as`` or ``key_as`` is replaced.
     """
     size = (F.coalesce(F.length(text_col), F.lit(0)) + 1).cast("bigint")
     by_source = rates(docs, source_col, size, weights, epochs, temperature)
-    named = by_source.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("parts").alias("__parts"),
-                             F.col("table").alias("__table"))
-    joined = docs.join(broadcast_if_small(named), F.col(source_col).eqNullSafe(F.col("__source")))
-    ident = [F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))]
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, part: n + F.size(F.filter(
-        F.col("__table"), lambda c: c <= uniform(F.lit(str(seed)), F.lit("n"), *ident, part.cast("string")))))
-    counted = joined.withColumn("__n", drawn).filter("__n > 0")
-    copies = counted.withColumn(count_as, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    keyed = copies.withColumn(key_as, uniform(F.lit(str(seed)), F.lit("o"), *ident, F.col(count_as).cast("string")))
-    wanted = [*docs.columns, count_as, key_as]
-    return keyed.select(*wanted).repartitionByRange(F.col(key_as)).sortWithinPartitions(key_as, id_col, count_as)
+    named = by_source.select(F.col("source").alias("for_source"), "parts", "table")
+    # The document's columns travel in one struct, so none can clash with the columns made here.
+    packed = docs.select(F.struct(*docs.columns).alias("doc"))
+    id_of, text_of = F.col("doc").getField(id_col), F.col("doc").getField(text_col)
+    joined = packed.join(broadcast_if_small(named), F.col("doc").getField(source_col).eqNullSafe(F.col("for_source")))
+    ident = [F.coalesce(id_of.cast("string"), F.lit("")), F.md5(F.coalesce(text_of, F.lit("")))]
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, part: n + F.size(F.filter(
+        F.col("table"), lambda c: c <= uniform(F.lit(str(seed)), F.lit("n"), *ident, part.cast("string")))))
+    counted = joined.select("doc", drawn.alias("n")).filter("n > 0")
+    copies = counted.select("doc", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    keyed = copies.withColumn("key", uniform(F.lit(str(seed)), F.lit("o"), *ident, F.col("copy").cast("string")))
+    ordered = keyed.repartitionByRange("key").sortWithinPartitions(F.col("key"), id_of, F.col("copy"))
+    own = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in (count_as, key_as)]
+    return ordered.select(*own, F.col("copy").alias(count_as), F.col("key").alias(key_as))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """As ``replicate``, with the columns of ``docs`` alone."""
-    return replicate(docs, **options).select(*docs.columns)
-
-
-def expected_share(weights: dict[str, float]) -> dict[str, float]:
-    total = math.fsum(weights.values())
-    return {k: v / total for k, v in weights.items()}
+    made = [f"{name}-{max(map(len, docs.columns)) * 'x'}" for name in ("copy", "key")]  # longer than any column's name
+    return replicate(docs, count_as=made[0], key_as=made[1], **options).drop(*made)

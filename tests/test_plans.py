@@ -8,7 +8,7 @@ from tidemark.functions.arithmetic import _chi_square_tail, kolmogorov_p
 from tidemark.plans.components import connected_components
 from tidemark.plans.counts import column_summary, duplicate_count
 from tidemark.plans.nearest import nearest
-from tidemark.plans.ranks import quantiles, running
+from tidemark.plans.ranks import at_ranks, numeric_counts, quantiles, running
 from tidemark.plans.sizing import fits
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -23,22 +23,24 @@ def test_running_equals_cumulative_sum(spark, values, buckets):
         assert got[float(v)] == (sum(x <= v for x in values), len(values))
 
 
-def test_quantiles_agree_both_ways_and_with_numpy(spark):
+def test_quantiles_agree_with_numpy(spark):
     rng = np.random.default_rng(1)
     # a third of the rows hold one value
     values = np.concatenate([rng.normal(size=700) ** 3, np.full(350, 2.5)])
     df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(7)
     probs, names = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0], list("abcdef")
     want = np.quantile(values, probs)
-    for small in (True, False):
-        row = quantiles(df, probs, names, small=small).first()
-        assert np.allclose([row[n] for n in names], want)
+    row = quantiles(df, probs, names).first()
+    assert np.allclose([row[n] for n in names], want)
+    counted = numeric_counts(df)
+    for buckets in (1, 3, 1000):
+        found = at_ranks(counted, ["column_name"], "value", {"x": lambda total: F.floor(total / 3)}, buckets).first()
+        assert (found.x, found["_total"]) == (np.sort(values)[350], 1050)
 
 
 def test_quantiles_skip_nan_and_null(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "v double")
-    for small in (True, False):
-        assert quantiles(df, [0.5], ["m"], small=small).first().m == 2.0
+    assert quantiles(df, [0.5], ["m"]).first().m == 2.0
 
 
 def test_summary_counts_nulls_nan_and_signed_zero(spark):

@@ -19,7 +19,7 @@ from tidemark.functions.kinds import columns_of, kind_of, number, numeric_column
 from tidemark.operators.cleaning import fit_scaler, key_hash, scale
 from tidemark.operators.profiling import histogram
 from tidemark.plans.counts import (column_summary, duplicate_count, long_values, top_values, value_counts)
-from tidemark.plans.ranks import quantiles, running
+from tidemark.plans.ranks import at_ranks, quantiles, running
 from tidemark.plans.stats import missing_counts, moments
 
 ABSENT = 1e-6
@@ -32,9 +32,8 @@ def temporal_cut(df: DataFrame, order: Sequence[str], share: float = 0.7):
     """The order key of row number floor(n * share), found by ranks; one small row to the driver."""
     at = F.struct(*[ref(o) for o in order])
     counted = df.select(at.alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running(counted, [], "at", ["n"])
-    found = ranked.agg(F.max(F.when(F.col("n_upto") <= F.floor(F.col("n_total") * share), F.col("at"))).alias("at")).first()
-    return found["at"]
+    found = at_ranks(counted, [], "at", {"cut": lambda total: F.floor(total * share) - 1}).first()
+    return found["cut"]
 
 
 def split_temporal(df: DataFrame, order: Sequence[str], share: float = 0.7) -> DataFrame:
@@ -52,17 +51,30 @@ def split_temporal(df: DataFrame, order: Sequence[str], share: float = 0.7) -> D
 
 
 def split_random(df: DataFrame, key: str, share: float = 0.7) -> DataFrame:
-    """Adds ``period`` from the hash of a key: repeatable, and no shuffle."""
-    return df.withColumn("period", F.when(key_hash(ref(key)) < int(share * 2**32), "ref").otherwise("cur"))
+    """Adds ``period``: the floor(n * share) rows with the lowest key hash are the reference.
+
+    Repeatable; the cut is a literal, as in ``split_temporal``. ``key`` must be unique.
+    """
+    at = F.struct(key_hash(ref(key)).alias("h"), ref(key).alias("k"))
+    counted = df.select(at.alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    cut = at_ranks(counted, [], "at", {"cut": lambda total: F.floor(total * share) - 1}).first()["cut"]
+    if cut is None:
+        return df.withColumn("period", F.lit("cur"))
+    edge = F.struct(F.lit(cut.h).cast("long").alias("h"), F.lit(cut.k).cast(df.schema[key].dataType).alias("k"))
+    return df.withColumn("period", F.when(at <= edge, "ref").otherwise("cur"))
 
 
 def _in(period: str, what: Column | None = None) -> Column:
     return F.sum(F.when(F.col("period") == period, F.lit(1) if what is None else what).otherwise(0))
 
 
-def _paired_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _numeric_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     shaped = df.select("period", *[(number(df, c) + F.lit(0.0)).alias(c) for c in cols])
-    rows = shaped.unpivot(["period"], [ref(c) for c in cols], "column_name", "value")
+    return shaped.unpivot(["period"], [ref(c) for c in cols], "column_name", "value")
+
+
+def _paired_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    rows = _numeric_rows(df, cols)
     return rows.groupBy("column_name", "value").agg(_in("ref").alias("n_ref"), _in("cur").alias("n_cur"))
 
 
@@ -115,9 +127,9 @@ def chi_square(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         F.when(usable, ratio(F.col("statistic"), F.col("all_rows"))).otherwise(0.0).alias("drift_score"))
 
 
-def bin_edges(counted: DataFrame, bins: int) -> DataFrame:
-    """Equal-width edges over the reference range of each column; a constant gets unit width."""
-    seen = counted.filter("value is not null and n_ref > 0").groupBy("column_name").agg(
+def bin_edges(reference: DataFrame) -> DataFrame:
+    """Range of each column's reference values, for equal-width bins; a constant gets unit width."""
+    seen = reference.filter("value is not null").groupBy("column_name").agg(
         F.min("value").alias("low"), F.max("value").alias("high"))
     flat = F.col("low") == F.col("high")
     return seen.select("column_name", F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
@@ -144,10 +156,11 @@ def psi_numeric(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 10
     of range) counts as 1e-6 on the side where it is absent.
     """
     cols = list(cols if cols is not None else numeric_columns(df))
-    counted = _paired_numeric(df, cols)
-    placed = counted.join(F.broadcast(bin_edges(counted, bins)), "column_name")  # one row per column
+    rows = _numeric_rows(df, cols)
+    edges = bin_edges(rows.filter("period = 'ref'"))
+    placed = rows.join(F.broadcast(edges), "column_name")  # one row per column
     cells = (placed.withColumn("bin", right_closed_bin(F.col("value"), F.col("low"), F.col("high"), bins))
-             .groupBy("column_name", "bin").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur")))
+             .groupBy("column_name", "bin").agg(_in("ref").alias("n_ref"), _in("cur").alias("n_cur")))
     totals = cells.groupBy("column_name").agg(F.sum("n_ref").alias("r"), F.sum("n_cur").alias("c"))
     shares = cells.join(F.broadcast(totals), "column_name")
     fill = F.when(F.col("bin") == 0, F.lit(ABSENT)).otherwise(F.lit(0.0))

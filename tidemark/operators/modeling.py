@@ -22,7 +22,7 @@ from tidemark.operators.quality import outlier_table
 from tidemark.operators.relationships import high_correlations
 from tidemark.plans.counts import as_text, column_summary
 from tidemark.plans.nearest import nearest
-from tidemark.plans.ranks import quantiles, running
+from tidemark.plans.ranks import at_ranks, quantiles, running
 from tidemark.plans.sizing import spread
 from tidemark.plans.stats import beside, moments
 from tidemark.session import settle
@@ -89,13 +89,13 @@ def modeling_numeric(df: DataFrame) -> DataFrame:
         .when(F.col("skewness") < -1, "left_skewed").otherwise("slightly_skewed"))
 
 
-def suggest_targets(df: DataFrame, limit: int = 10) -> DataFrame:
-    """Columns that can be a target, best first."""
+def suggest_targets(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Columns that can be a target, best first; with ``limit`` only so many."""
     s = F.col("target_suitability")
     weight = (F.when(s == "excellent_binary_classification", 5).when(s.isin("good_multiclass_classification", "good_regression"), 4)
               .when(s == "good_classification", 3).otherwise(2))
-    return (modeling_columns(df).filter(s != "poor").withColumn("weight", weight.cast("long"))
-            .orderBy(F.col("weight").desc(), "column_name").limit(limit)
+    ordered = modeling_columns(df).filter(s != "poor").withColumn("weight", weight.cast("long")).orderBy(F.col("weight").desc(), "column_name")
+    return ((ordered if limit is None else ordered.limit(limit))
             .select("column_name", "target_suitability", "problem_type", "distinct_count", "missing_pct", "weight"))
 
 
@@ -142,14 +142,23 @@ def feature_summary(df: DataFrame) -> DataFrame:
 
 # ---- split ----
 
-def train_test_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``part``: 'test' for rows whose key hash falls below the share.
+def train_test_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42, stratify: str | None = None) -> DataFrame:
+    """Adds ``part``: 'test' for the rows with the lowest hash of the (unique) key.
 
-    The draw is independent of the target, so every class is split in the same
-    share up to chance; ``split_shares`` reports the shares. No shuffle.
+    Their number is the share of all rows rounded up, or with ``stratify`` the share of
+    each class rounded to the nearest, nulls being a class. The cut comes from ranks, one
+    per class, so the rows themselves are not shuffled.
     """
-    draw = cleaning.key_hash(F.concat_ws(":", F.lit(str(seed)), ref(key).cast("string")))
-    return df.withColumn("part", F.when(draw < int(test_share * 2**32), "test").otherwise("train"))
+    text = ref(key).cast("string")
+    at = F.struct(cleaning.key_hash(F.concat_ws(":", F.lit(str(seed)), text)).alias("h"), text.alias("k"))
+    of = F.to_json(F.struct(ref(stratify).alias("v"))) if stratify else F.lit("")
+    rows = df.withColumns({"_class": of, "_at": at})
+    counted = rows.groupBy("_class", "_at").agg(F.count(F.lit(1)).alias("n"))
+    take = (lambda total: F.floor(total * test_share + 0.5)) if stratify else (lambda total: F.ceil(total * test_share))
+    cuts = at_ranks(counted, ["_class"], "_at", {"_cut": lambda total: take(total) - 1}).drop("_total")
+    # one row per class
+    return (rows.join(F.broadcast(cuts), "_class", "left").withColumn("part", F.when(F.col("_at") <= F.col("_cut"), "test").otherwise("train"))
+            .drop("_class", "_at", "_cut"))
 
 
 def split_shares(split: DataFrame, target: str) -> DataFrame:
@@ -159,7 +168,10 @@ def split_shares(split: DataFrame, target: str) -> DataFrame:
 
 # ---- training ----
 
-MAX_CLASSES = 1000
+#: Labels that ``train`` collects at most unless told otherwise; more is an error, as a wrong target is more likely than so many classes.
+MAX_CLASSES = 10_000
+#: Spark's deepest tree.
+MAX_DEPTH = 30
 
 
 @dataclass
@@ -197,23 +209,23 @@ class TrainedModel:
         return cleaning.scale(out, self.scaler) if self.scaler else out
 
 
-def _estimator(kind: str, problem: str, rows: int, classes: int):
+def _estimator(kind: str, problem: str, rows: int, classes: int, depth: int, iterations: int):
     common = {"featuresCol": "features", "labelCol": "label"}
     # an L2 penalty of 1 on the summed loss is 1/rows on Spark's mean loss
     penalty = 1.0 / max(rows, 1)
     if problem == "classification":
         made = {
-            "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=42, maxMemoryInMB=1024, **common),
-            "decision_tree": lambda: DecisionTreeClassifier(maxDepth=10, seed=42, **common),
-            "logistic_regression": lambda: LogisticRegression(maxIter=1000, regParam=penalty, standardization=False, **common),
+            "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=depth, seed=42, maxMemoryInMB=1024, **common),
+            "decision_tree": lambda: DecisionTreeClassifier(maxDepth=depth, seed=42, **common),
+            "logistic_regression": lambda: LogisticRegression(maxIter=iterations, regParam=penalty, standardization=False, **common),
             "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **common),
-            "svm": lambda: (LinearSVC(maxIter=50, regParam=penalty, **common) if classes <= 2 else
-                            OneVsRest(classifier=LinearSVC(maxIter=50, regParam=penalty), parallelism=4, **common)),
+            "svm": lambda: (LinearSVC(maxIter=iterations, regParam=penalty, **common) if classes <= 2 else
+                            OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=penalty), parallelism=4, **common)),
         }
     else:
         made = {
-            "random_forest": lambda: RandomForestRegressor(numTrees=100, maxDepth=10, seed=42, maxMemoryInMB=1024, **common),
-            "decision_tree": lambda: DecisionTreeRegressor(maxDepth=10, seed=42, **common),
+            "random_forest": lambda: RandomForestRegressor(numTrees=100, maxDepth=depth, seed=42, maxMemoryInMB=1024, **common),
+            "decision_tree": lambda: DecisionTreeRegressor(maxDepth=depth, seed=42, **common),
             "linear_regression": lambda: LinearRegression(**common),
         }
     if kind not in made:
@@ -228,16 +240,18 @@ def auto_model(problem: str, classes: int) -> str:
 
 
 def train(df: DataFrame, key: str, target: str, features: Sequence[str], problem: str, model: str = "auto",
-          test_share: float = 0.2, seed: int = 42) -> tuple[TrainedModel, DataFrame]:
+          test_share: float = 0.2, seed: int = 42, depth: int = MAX_DEPTH, iterations: int = 1000,
+          max_classes: int = MAX_CLASSES) -> tuple[TrainedModel, DataFrame]:
     """Fit on the train part; returns the model and the scored test part.
 
-    Fills, categories, codes and scaling are fitted on train rows only.
+    A classification split is stratified. Fills, categories, codes and scaling are fitted
+    on train rows only. Trees grow to ``depth`` at most, iterative fits to ``iterations``.
     """
     features = list(features)
     started = time.time()
     rows = cleaning.drop_null_target(cleaning.select_checked(df, list(dict.fromkeys([key, target, *features]))), target)
     # read several times below (fills, categories, scaling, iterations)
-    split = settle(train_test_split(rows, key, test_share, seed), "split")
+    split = settle(train_test_split(rows, key, test_share, seed, target if problem == "classification" else None), "split")
     part = split.filter("part = 'train'")
     fills = cleaning.fit_imputer(part, features)
     filled = cleaning.impute(part, fills)
@@ -248,9 +262,9 @@ def train(df: DataFrame, key: str, target: str, features: Sequence[str], problem
 
     labels = None
     if problem == "classification":
-        found = part.select(ref(target).alias("t")).distinct().limit(MAX_CLASSES + 1).collect()
-        if len(found) > MAX_CLASSES:
-            raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+        found = part.select(ref(target).alias("t")).distinct().limit(max_classes + 1).collect()
+        if len(found) > max_classes:
+            raise ValueError(f"{target} has more than {max_classes} classes")
         labels = sorted(r.t for r in found)
     classes = len(labels) if labels else 0
     chosen = auto_model(problem, classes) if model == "auto" else model
@@ -271,7 +285,7 @@ def train(df: DataFrame, key: str, target: str, features: Sequence[str], problem
         assembled = VectorAssembler(inputCols=fitted.inputs, outputCol="features")
         ready = spread(settle(assembled.transform(encoded).select("features", "label"), "features"))
         count = ready.count()
-        fitted.pipeline = PipelineModel([assembled, _estimator(chosen, problem, count, classes).fit(ready)])
+        fitted.pipeline = PipelineModel([assembled, _estimator(chosen, problem, count, classes, depth, iterations).fit(ready)])
     fitted.info = {"train_rows": count, "seconds": round(time.time() - started, 3), "features": len(features),
                    "inputs": len(fitted.inputs), "classes": classes}
     test = split.filter("part = 'test'")
@@ -422,24 +436,25 @@ def mutual_information(df: DataFrame, target: str, features: Sequence[str] | Non
     return terms.groupBy("column_name").agg(F.greatest(F.lit(0.0), F.sum("s") / total + F.log(total)).alias("mutual_information"))
 
 
-def rank_features(df: DataFrame, target: str, keep: float = 0.1, count_from: float = 0.05, limit: int = 20) -> DataFrame:
+def rank_features(df: DataFrame, target: str, keep: float = 0.1, count_from: float = 0.05, limit: int | None = None) -> DataFrame:
     """Features by mutual information: strong ones above ``keep``, selected ones above ``count_from``."""
     mi = F.col("mutual_information")
-    return (mutual_information(df, target).orderBy(mi.desc(), "column_name").limit(limit)
+    ordered = mutual_information(df, target).orderBy(mi.desc(), "column_name")
+    return ((ordered if limit is None else ordered.limit(limit))
             .withColumn("strong", mi > keep).withColumn("selected", mi > count_from))
 
 
-def feature_recommendations(df: DataFrame, target: str, top: int = 5) -> DataFrame:
-    """Redundant pairs, products among the top features, ratios and one group mean, as rows."""
+def feature_recommendations(df: DataFrame, target: str, top: int | None = None) -> DataFrame:
+    """Redundant pairs, products, ratios and group means, as rows; with ``top`` products only among the best so many features."""
     nums = [c for c in numeric_columns(df) if c != target]
     texts = [c for c in text_columns(df) if c != target]
     pick = ["recommendation", "left_column", "right_column"]
     ranked = mutual_information(df, target)
-    best = [r.column_name for r in ranked.orderBy(F.col("mutual_information").desc(), "column_name").limit(top).collect()]
+    # one row per column
+    best = [r.column_name for r in ranked.orderBy(F.col("mutual_information").desc(), "column_name").collect()][:top]
     pairs = [("interaction", a, b) for i, a in enumerate(best) for b in best[i + 1:] if a in nums and b in nums]
-    pairs += [("ratio", a, b) for i, a in enumerate(nums[:3]) for b in nums[i + 1:4]]
-    if texts and nums:
-        pairs.append(("group_mean", nums[0], texts[0]))
+    pairs += [("ratio", a, b) for i, a in enumerate(nums) for b in nums[i + 1:]]
+    pairs += [("group_mean", a, b) for a in nums for b in texts]
     made = df.sparkSession.createDataFrame(pairs, "recommendation string, left_column string, right_column string")
     redundant = high_correlations(df.drop(target), 0.9).select(F.lit("redundant").alias("recommendation"), "left_column", "right_column")
     return made.unionByName(redundant).select(*pick)

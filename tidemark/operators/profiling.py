@@ -12,7 +12,7 @@ from tidemark.functions.kinds import (datetime_columns, display_type, is_missing
                                       numeric_columns, present, ref, text_columns)
 from tidemark.operators.quality import outlier_table
 from tidemark.plans.counts import column_summary, duplicate_count, modes, top_values, value_counts
-from tidemark.plans.ranks import numeric_counts, quantiles, running
+from tidemark.plans.ranks import numeric_counts, numeric_values, quantiles, running
 from tidemark.plans.stats import beside, missing_counts, moments, per_column
 
 FIXED_WIDTH = {"tinyint": 1, "boolean": 1, "smallint": 2, "int": 4, "float": 4, "date": 4,
@@ -88,9 +88,9 @@ def duplicate_columns(df: DataFrame, batch: int = 200) -> DataFrame:
     return out.filter("same").drop("same")
 
 
-def numeric_profile(df: DataFrame, small: bool | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame) -> DataFrame:
     """Range, centre, spread, population shape, zeros and negatives per numeric column."""
-    middle = quantiles(df, [0.5], ["median"], small=small)
+    middle = quantiles(df, [0.5], ["median"])
     return (moments(df).join(_one_row_per_column(middle), "column_name", "left")
             .select("column_name", "row_count", "valid", "minimum", "maximum", "mean", "median", "std",
                     F.col("skew_pop").alias("skewness"), F.col("kurtosis_pop").alias("kurtosis"),
@@ -126,9 +126,9 @@ def categorical_profile(df: DataFrame) -> DataFrame:
                         .otherwise("low")))
 
 
-def describe(df: DataFrame, small: bool | None = None) -> DataFrame:
+def describe(df: DataFrame) -> DataFrame:
     """Count, mean, std, min, exact quartiles, max."""
-    quart = quantiles(df, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], small=small)
+    quart = quantiles(df, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
     return (moments(df).join(_one_row_per_column(quart), "column_name", "left")
             .select("column_name", "valid", "mean", "std", "minimum", "q25", "q50", "q75", "maximum"))
 
@@ -239,8 +239,8 @@ def transform_suggestions(df: DataFrame) -> DataFrame:
     return out
 
 
-def prep_suggestions(df: DataFrame, issues: DataFrame, limit: int = 20) -> DataFrame:
-    """Every suggestion with its category and priority, the top ``limit`` by priority.
+def prep_suggestions(df: DataFrame, issues: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every suggestion with its category and priority; with ``limit`` the first so many by priority.
 
     ``issues`` are the rows of ``quality.scan_quality``.
     """
@@ -259,34 +259,36 @@ def prep_suggestions(df: DataFrame, issues: DataFrame, limit: int = 20) -> DataF
         parts.append(moments(df).select(*lit("scaling", "medium"), "column_name", how.alias("suggestion"))
                      .filter("suggestion is not null"))
     if len(nums) > 1:
-        made = [(f"{nums[0]}*{nums[1]}", "interaction_feature"), (f"{nums[0]}^2", "polynomial_feature")]
+        made = [(f"{a}*{b}", "interaction_feature") for i, a in enumerate(nums) for b in nums[i + 1:]]
+        made += [(f"{a}^2", "polynomial_feature") for a in nums]
         rows = df.sparkSession.createDataFrame(made, "column_name string, suggestion string")
         parts.append(rows.select(*lit("feature_engineering", "medium"), "column_name", "suggestion"))
     out = parts[0].select(*pick)
     for part in parts[1:]:
         out = out.unionByName(part.select(*pick))
     rank = F.when(F.col("priority") == "high", 0).otherwise(1)
-    return out.orderBy(rank, "category", "column_name", "suggestion").limit(limit)
+    ordered = out.orderBy(rank, "category", "column_name", "suggestion")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins from min to max per (by, column); the top edge falls in the last bin.
 
-    Runs on grouped values, so the base table is scanned once and min and max
-    come from the same small counts.
+    Rows are put into their bins before the shuffle: one pass for the range, one
+    for the bins, and only a row per bin and task is exchanged.
     """
-    counted = numeric_counts(df, cols, by)
+    rows = numeric_values(df, cols, by)
     keys = [*by, "column_name"]
-    edges = counted.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"),
-                                       F.sum("n").alias("total"))
+    edges = rows.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"),
+                                    F.count(F.lit(1)).alias("total"))
     # constant columns use a unit-wide range around the value
     edges = (edges.withColumn("flat", F.col("low") == F.col("high"))
              .withColumn("low", F.when(F.col("flat"), F.col("low") - 0.5).otherwise(F.col("low")))
              .withColumn("high", F.when(F.col("flat"), F.col("high") + 0.5).otherwise(F.col("high"))).drop("flat"))
     bin_of = F.least(F.floor((F.col("value") - F.col("low")) * bins / (F.col("high") - F.col("low"))), F.lit(bins - 1))
-    return (counted.join(F.broadcast(edges), keys)  # one row per column (and period)
+    return (rows.join(F.broadcast(edges), keys)  # one row per column (and period)
             .groupBy(*keys, "low", "high", "total", bin_of.cast("long").alias("bin"))
-            .agg(F.sum("n").alias("n"))
+            .agg(F.count(F.lit(1)).alias("n"))
             .withColumn("density", ratio(F.col("n") * bins, F.col("total") * (F.col("high") - F.col("low")))))
 
 

@@ -11,7 +11,6 @@ from tidemark.functions.arithmetic import at_least, corrected_skew, percent, rat
 from tidemark.functions.kinds import kind_column, kind_of, number, numeric_columns, ref, text_columns
 from tidemark.plans.counts import (LONG_TEXT, as_text, column_summary, duplicate_count, modes, value_counts)
 from tidemark.plans.ranks import numeric_counts, quantiles_of_counts
-from tidemark.plans.sizing import SMALL_ROWS, fits
 from tidemark.plans.stats import beside, missing_counts, moments, per_column
 
 ISSUE_COLUMNS = ["column_name", "issue_type", "severity", "affected_rows", "affected_pct", "suggested_fix"]
@@ -71,7 +70,7 @@ def numeric_strings(df: DataFrame) -> DataFrame:
     return _pattern_rows(df, fixed.FORMATTED_NUMBER).filter("matches > 0")
 
 
-def outlier_table(df: DataFrame, cols: Sequence[str] | None = None, small: bool | None = None) -> DataFrame:
+def outlier_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Interquartile bounds and the rows outside them, for every numeric column.
 
     Bounds meet the grouped values through an equi-join on the column name; the
@@ -79,8 +78,7 @@ def outlier_table(df: DataFrame, cols: Sequence[str] | None = None, small: bool
     """
     cols = list(cols if cols is not None else numeric_columns(df))
     counted = numeric_counts(df, cols)
-    small = fits(df, SMALL_ROWS) if small is None else small
-    quartiles = quantiles_of_counts(counted, [0.25, 0.75], ["column_name"], ["q1", "q3"], small)
+    quartiles = quantiles_of_counts(counted, [0.25, 0.75], ["column_name"], ["q1", "q3"])
     bounds = (quartiles.withColumn("lower_bound", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
               .withColumn("upper_bound", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))

@@ -12,23 +12,28 @@ from tidemark.operators.profiling import column_roles
 from tidemark.plans.counts import as_text
 
 
-def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every column pair over rows where both are present.
+PAIR_BATCH = 64
 
-    Each row is turned into one (pair, x, y) row per column pair; the partial
-    aggregation folds them into one state per pair before the exchange.
-    """
+
+def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Pearson correlation of every column pair over rows where both are present."""
     cols = list(cols if cols is not None else numeric_columns(df))
-    pairs = [F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"),
-                      F.lit(i).cast("long").alias("left_index"), F.lit(j).cast("long").alias("right_index"),
-                      number(df, a).alias("x"), number(df, b).alias("y"))
-             for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
-    if not pairs:
-        return df.sparkSession.createDataFrame(
-            [], "left_column string, right_column string, left_index long, right_index long, correlation double")
-    rows = df.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*")
-    return (rows.groupBy("left_column", "right_column", "left_index", "right_index")
-            .agg(F.corr("x", "y").alias("correlation")))
+    return _pair_correlations(df, cols, [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))])
+
+
+def _pair_correlations(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """One aggregate per pair, PAIR_BATCH of them in a scan; no row is copied and one row per task is exchanged."""
+    shaped = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
+    out = df.sparkSession.createDataFrame(
+        [], "left_column string, right_column string, left_index long, right_index long, correlation double")
+    for start in range(0, len(pairs), PAIR_BATCH):
+        batch = pairs[start:start + PAIR_BATCH]
+        wide = shaped.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"r{n}") for n, (i, j) in enumerate(batch)])
+        rows = [F.struct(F.lit(cols[i]).alias("left_column"), F.lit(cols[j]).alias("right_column"), F.lit(i).cast("long").alias("left_index"),
+                         F.lit(j).cast("long").alias("right_index"), F.col(f"r{n}").alias("correlation")) for n, (i, j) in enumerate(batch)]
+        found = wide.select(F.inline(F.array(*rows)))
+        out = found if start == 0 else out.unionByName(found)
+    return out
 
 
 def high_correlations(df: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -37,10 +42,11 @@ def high_correlations(df: DataFrame, threshold: float = 0.7) -> DataFrame:
             .select("left_column", "right_column", "correlation", (F.abs("correlation") > 0.9).alias("redundant")))
 
 
-def adjacent_correlations(df: DataFrame, n: int = 12) -> DataFrame:
-    """Whole-percent absolute correlation of column i with i+1, for the first n columns."""
-    return (correlations(df).filter((F.col("right_index") == F.col("left_index") + 1) & (F.col("left_index") < n))
-            .filter(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
+def adjacent_correlations(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Whole-percent absolute correlation of column i with i+1; with ``n``, for the first n columns."""
+    cols = numeric_columns(df)
+    pairs = [(i, i + 1) for i in range(len(cols) - 1)][:n]
+    return (_pair_correlations(df, cols, pairs).filter(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
             .select(F.concat(F.lit("n"), F.col("left_index").cast("string")).alias("label"),
                     F.floor(F.abs("correlation") * 100).cast("long").alias("value")))
 

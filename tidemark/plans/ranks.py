@@ -2,24 +2,31 @@
 
 Values are grouped first, then each key's value range is split at cut points and
 the running sum is taken inside a bucket; bucket totals, which are small, supply
-the offsets. The cut points are the ``BUCKETS`` values with the smallest hash, so
-they are an even random sample of the distinct values, never more than BUCKETS
-per key, and the same on every evaluation. The result does not depend on them.
+the offsets. The cut points are the values with the smallest hash, so they are an
+even random sample of the distinct values, as many as the data's size asks for up
+to a bound per key, and the same on every evaluation. The result does not depend on them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.kinds import number, numeric_columns, ref
-from tidemark.plans.sizing import SMALL_ROWS, fits
+from tidemark.plans.sizing import estimated_bytes
 
 BUCKETS = 256
+#: Most pieces: Spark keeps a ranking of up to this many rows per task ahead of its shuffle.
+MOST_BUCKETS = 1000
+PIECE_BYTES = 64 << 20
+STEP = 16
 
 
-STEP = 16
+def pieces_for(df: DataFrame) -> int:
+    """Pieces for this much data by Catalyst's estimate; no job, and no effect on results."""
+    return min(MOST_BUCKETS, max(BUCKETS, estimated_bytes(df) // PIECE_BYTES))
 
 
 def cut_points(counted: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
@@ -53,14 +60,14 @@ def with_bucket(df: DataFrame, cuts: DataFrame, keys: Sequence[str], value: str)
 
 
 def running(counted: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str],
-            buckets: int = BUCKETS) -> DataFrame:
+            buckets: int | None = None) -> DataFrame:
     """Adds ``<m>_upto`` (inclusive running sum by value) and ``<m>_total`` per key.
 
     ``counted`` holds one row per (keys, value); ``keys`` must be few (column
     names, periods) and may be empty.
     """
     keys = list(keys)
-    placed = with_bucket(counted, cut_points(counted, keys, value, buckets), keys, value)
+    placed = with_bucket(counted, cut_points(counted, keys, value, buckets or pieces_for(counted)), keys, value)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -76,43 +83,59 @@ def running(counted: DataFrame, keys: Sequence[str], value: str, measures: Seque
     return out.drop("_bucket", *[f"{m}_{x}" for m in measures for x in ("inside", "before")])
 
 
-def numeric_counts(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., column_name, value double, n) over the present values."""
+def at_ranks(counted: DataFrame, keys: Sequence[str], value: str, places: dict[str, Callable[[Column], Column]],
+             buckets: int | None = None) -> DataFrame:
+    """(keys..., _total, names...): the value at each place (a 0-based rank made from the total), null when out of range.
+
+    Bucket totals tell which bucket holds a place; only the values of those buckets
+    are sorted, at most two per hundred at the usual number of places.
+    """
+    keys = list(keys)
+    placed = with_bucket(counted, cut_points(counted, keys, value, buckets or pieces_for(counted)), keys, value)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_n")).select(
+        *keys, "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
+    ranks = {name: make(F.col("_total")) for name, make in places.items()}
+    holds = [(rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n")) for rank in ranks.values()]
+    wanted = totals.filter(functools.reduce(lambda x, y: x | y, holds)).drop("_n")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    # at most one bucket for each key and place
+    near = placed.join(F.broadcast(wanted), keys + ["_bucket"]).withColumn("_upto", F.col("_before") + F.sum("n").over(inside))
+    return near.groupBy(*keys).agg(F.max("_total").alias("_total"), *[
+        F.min(F.when(F.col("_upto") > rank, F.col(value))).alias(name) for name, rank in ranks.items()])
+
+
+def numeric_values(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column_name, value double): one row per present value."""
     cols = list(cols if cols is not None else [c for c in numeric_columns(df) if c not in by])
     shaped = df.select(*[ref(b) for b in by], *[(number(df, c) + F.lit(0.0)).alias(c) for c in cols])
     rows = shaped.unpivot([ref(b) for b in by], [ref(c) for c in cols], "column_name", "value")
-    return (rows.filter(F.col("value").isNotNull())
-            .groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    return rows.filter(F.col("value").isNotNull())
 
 
-def quantiles_of_counts(counted: DataFrame, probs: Sequence[float], keys: Sequence[str],
-                        names: Sequence[str], small: bool) -> DataFrame:
-    """Linear-interpolation quantiles per key from grouped values.
+def numeric_counts(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column_name, value double, n) over the present values."""
+    return numeric_values(df, cols, by).groupBy(*[ref(b) for b in by], "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
-    ``small`` (a counted bound on the input) uses Spark's exact ``percentile``,
-    which keeps a value map per key; otherwise ranks come from ``running``.
-    """
-    if small:
-        packed = counted.groupBy(*keys).agg(
-            F.percentile("value", [float(p) for p in probs], F.col("n")).alias("_q"))
-        return packed.select(*keys, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
-    ranked = running(counted, keys, "value", ["n"])
-    aggs = []
+
+def quantiles_of_counts(counted: DataFrame, probs: Sequence[float], keys: Sequence[str],
+                        names: Sequence[str]) -> DataFrame:
+    """Linear-interpolation quantiles per key from grouped values."""
+    place = lambda p, total: F.lit(float(p)) * (total - 1)
+    places = {}
     for i, p in enumerate(probs):
-        place = F.lit(float(p)) * (F.col("n_total") - 1)
-        aggs += [F.min(F.when(F.col("n_upto") > F.floor(place), F.col("value"))).alias(f"_lo{i}"),
-                 F.min(F.when(F.col("n_upto") > F.ceil(place), F.col("value"))).alias(f"_hi{i}"),
-                 F.max(place - F.floor(place)).alias(f"_f{i}")]
-    packed = ranked.groupBy(*keys).agg(*aggs)
-    pick = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(nm)
-            for i, nm in enumerate(names)]
-    return packed.select(*keys, *pick)
+        places[f"_lo{i}"] = lambda total, p=p: F.floor(place(p, total))
+        places[f"_hi{i}"] = lambda total, p=p: F.ceil(place(p, total))
+    found = at_ranks(counted, keys, "value", places)
+    share = lambda p: place(p, F.col("_total")) - F.floor(place(p, F.col("_total")))
+    pick = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * share(p)).alias(nm)
+            for i, (p, nm) in enumerate(zip(probs, names))]
+    return found.select(*keys, *pick)
 
 
 def quantiles(df: DataFrame, probs: Sequence[float], names: Sequence[str], cols: Sequence[str] | None = None,
-              by: Sequence[str] = (), small: bool | None = None) -> DataFrame:
+              by: Sequence[str] = ()) -> DataFrame:
     """(by..., column_name, names...): exact quantiles of every numeric column."""
     cols = list(cols if cols is not None else [c for c in numeric_columns(df) if c not in by])
-    if small is None:
-        small = fits(df, SMALL_ROWS)
-    return quantiles_of_counts(numeric_counts(df, cols, by), probs, [*by, "column_name"], names, small)
+    return quantiles_of_counts(numeric_counts(df, cols, by), probs, [*by, "column_name"], names)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-SMALL_ROWS = 1_000_000
 BROADCAST_ROWS = 200_000
 BYTES_PER_ROW_GUESS = 512
 

@@ -11,6 +11,7 @@ from tidemark.functions.kinds import is_missing, kind_of, number, ref
 from tidemark.operators.drift import ABSENT, bin_edges, right_closed_bin
 from tidemark.operators.quality import outlier_table
 from tidemark.plans.counts import as_text
+from tidemark.session import settle
 
 
 def fit_baseline(df: DataFrame, cols: Sequence[str], bins: int = 10) -> dict:
@@ -24,8 +25,8 @@ def fit_baseline(df: DataFrame, cols: Sequence[str], bins: int = 10) -> dict:
     shaped = df.select(*[number(df, c).alias(c) for c in nums]) if nums else None
     edges, shares = {}, None
     if nums:
-        rows = shaped.unpivot([], [ref(c) for c in nums], "column_name", "value").withColumn("n_ref", F.lit(1))
-        edges = {r.column_name: (r.low, r.high) for r in bin_edges(rows, bins).collect()}
+        rows = shaped.unpivot([], [ref(c) for c in nums], "column_name", "value")
+        edges = {r.column_name: (r.low, r.high) for r in bin_edges(rows).collect()}
         placed = rows.withColumn("bin", _bin_case(F.col("column_name"), F.col("value"), edges, bins))
         shares = placed.groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("n"))
     if texts:
@@ -34,8 +35,9 @@ def fit_baseline(df: DataFrame, cols: Sequence[str], bins: int = 10) -> dict:
         counted = rows.groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("n"))
         shares = counted if shares is None else shares.unionByName(counted)
     totals = shares.groupBy("column_name").agg(F.sum("n").alias("t"))
-    shares = shares.join(F.broadcast(totals), "column_name").select(
-        "column_name", "bin", ratio(F.col("n"), F.col("t")).alias("ref_share"))
+    # read by every micro-batch: settled once
+    shares = settle(shares.join(F.broadcast(totals), "column_name").select(
+        "column_name", "bin", ratio(F.col("n"), F.col("t")).alias("ref_share")), "baseline")
     return {"edges": edges, "shares": shares, "bins": bins, "numeric": nums, "text": texts}
 
 

@@ -181,7 +181,8 @@ DS = ("SELECT period, '{c}' AS column_name, count(*) AS count, count(*) - count(
 
 ORACLES = {
     "split_temporal": f"WITH {PERIODS} SELECT o_orderkey, period FROM split",
-    "split_random": "SELECT c_custkey, CASE WHEN ('0x' || substr(md5(c_custkey::varchar), 1, 8))::bigint < 3006477107 THEN 'ref' ELSE 'cur' END AS period FROM customer",
+    "split_random": """SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY ('0x' || substr(md5(c_custkey::varchar), 1, 8))::bigint, c_custkey)
+        <= floor(count(*) OVER () * 0.7::double) THEN 'ref' ELSE 'cur' END AS period FROM customer""",
     "ks_2samp": f"WITH {PERIODS}, {KS} SELECT column_name, {r('statistic')} AS statistic, ref_size, cur_size, {r('p_value')} AS p_value FROM ks",
     "chi_square": f"WITH {PERIODS}, {CHI} SELECT column_name, {r('statistic', 4)} AS statistic, dof, {r('statistic / all_rows')} AS drift_score FROM chi",
     "chi_square_2x2": f"WITH {PERIODS}, q AS (SELECT period, CASE WHEN status IN ('F', 'O') THEN status END AS status FROM p), "

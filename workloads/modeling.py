@@ -31,7 +31,7 @@ PROB = """CASE WHEN kind = 'numeric' THEN CASE WHEN distinct_count = 2 THEN 'bin
   WHEN distinct_count > 20 THEN 'text_classification' WHEN distinct_count > 2 THEN 'multiclass_classification' ELSE 'binary_classification' END"""
 MCOLS = f"m AS (SELECT column_name, kind, missing, missing_pct, distinct_count, unique_ratio, {ROLE} AS modeling_role, {SUIT} AS target_suitability, {QUAL} AS feature_quality, {PROB} AS problem_type FROM f)"
 SUGGEST = """SELECT column_name, target_suitability, problem_type, distinct_count, {r} AS missing_pct, weight FROM (SELECT *, CASE target_suitability WHEN 'excellent_binary_classification' THEN 5
-  WHEN 'good_multiclass_classification' THEN 4 WHEN 'good_regression' THEN 4 WHEN 'good_classification' THEN 3 ELSE 2 END::bigint AS weight FROM m WHERE target_suitability <> 'poor') ORDER BY weight DESC, column_name LIMIT 10""".replace("{r}", r("missing_pct"))
+  WHEN 'good_multiclass_classification' THEN 4 WHEN 'good_regression' THEN 4 WHEN 'good_classification' THEN 3 ELSE 2 END::bigint AS weight FROM m WHERE target_suitability <> 'poor')""".replace("{r}", r("missing_pct"))
 
 
 def lines(s, d):
@@ -168,7 +168,8 @@ QUERIES = {
     "modeling_recommendations": lambda s, d: rounded(op.modeling_recommendations(labelled(s, d)), measure=6),
     "feature_summary": lambda s, d: op.feature_summary(table(s, d, "part")),
     "train_test_split": lambda s, d: rounded(op.split_shares(op.train_test_split(
-        table(s, d, "orders"), "o_orderkey"), "o_orderstatus"), test_share=6),
+        table(s, d, "orders"), "o_orderkey", stratify="o_orderstatus"), "o_orderstatus"), test_share=6),
+    "train_test_split_rows": lambda s, d: op.train_test_split(table(s, d, "customer"), "c_custkey").select("c_custkey", "part"),
     "train_random_forest": lambda s, d: _class(s, d, "band", MULTI, "random_forest"),
     "train_random_forest_regression": lambda s, d: _reg(s, d, "random_forest"),
     "train_logistic_regression": lambda s, d: _class(s, d, "large", BIN, "logistic_regression"),
@@ -239,9 +240,13 @@ ORACLES = {
         SELECT rule, priority, {r('measure')} AS measure FROM t""",
     "feature_summary": f"""WITH {facts_sql('part', PART_KINDS)}, {MCOLS} SELECT 'kind' AS "grouping", kind AS label, count(*) AS columns FROM m GROUP BY kind UNION ALL SELECT 'quality', feature_quality, count(*) FROM m GROUP BY feature_quality""",
     "train_test_split": f"""SELECT o_orderstatus AS target, count(*) FILTER (WHERE t) AS test, count(*) AS total, {r('count(*) FILTER (WHERE t) / count(*)::double')} AS test_share
-        FROM (SELECT o_orderstatus, ('0x' || substr(md5('42:' || o_orderkey), 1, 8))::bigint < 858993459 AS t FROM orders) GROUP BY o_orderstatus""",
-    "train_linear_regression": """WITH t AS (SELECT l_quantity, l_quantity * 1000 + p_size * 10 + l_discount * 500 AS worth,
-          ('0x' || substr(md5('42:' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)), 1, 8))::bigint >= 858993459 AS train FROM lineitem JOIN part ON l_partkey = p_partkey),
+        FROM (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY ('0x' || substr(md5('42:' || o_orderkey), 1, 8))::bigint, o_orderkey::varchar)
+          <= floor(count(*) OVER (PARTITION BY o_orderstatus) * 0.2::double + 0.5) AS t FROM orders) GROUP BY o_orderstatus""",
+    "train_test_split_rows": """SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || c_custkey), 1, 8))::bigint, c_custkey::varchar)
+        <= ceil(count(*) OVER () * 0.2::double) THEN 'test' ELSE 'train' END AS part FROM customer""",
+    "train_linear_regression": """WITH t0 AS (SELECT l_quantity, l_quantity * 1000 + p_size * 10 + l_discount * 500 AS worth,
+          concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem JOIN part ON l_partkey = p_partkey),
+        t AS (SELECT *, rank() OVER (ORDER BY ('0x' || substr(md5('42:' || k), 1, 8))::bigint, k) > ceil(count(*) OVER () * 0.2::double) AS train FROM t0),
         f AS (SELECT regr_slope(worth, l_quantity) AS s, regr_intercept(worth, l_quantity) AS i FROM t WHERE train)
         SELECT round(avg(s * l_quantity + i), 3) AS mean_prediction, round(any_value(s), 4) AS slope FROM t, f""",
     "knn_classify": f"""WITH {KNN}, v AS (SELECT query_id, label, count(*) AS c FROM five GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, label) AS r FROM v)

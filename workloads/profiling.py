@@ -79,12 +79,12 @@ QUERIES = {
     "correlations": lambda s, d: rounded(rel.correlations(table(s, d, "lineitem")), correlation=6),
     "high_correlations": lambda s, d: rounded(rel.high_correlations(_tied(s, d)), correlation=6),
     "numeric_profile": lambda s, d: rounded(op.numeric_profile(table(s, d, "lineitem")), **NUMERIC_DIGITS),
-    "numeric_profile_ranked": lambda s, d: rounded(op.numeric_profile(sparse_lines(s, d), small=False), **NUMERIC_DIGITS),
+    "numeric_profile_ranked": lambda s, d: rounded(op.numeric_profile(sparse_lines(s, d)), **NUMERIC_DIGITS),
     "text_profile": lambda s, d: rounded(op.text_profile(table(s, d, "documents")), avg_length=6),
     "top_text": lambda s, d: longs(op.top_text(table(s, d, "part")), "position"),
     "categorical_profile": lambda s, d: op.categorical_profile(table(s, d, "part")),
     "describe": lambda s, d: rounded(op.describe(table(s, d, "orders")), mean=4, std=4, minimum=4, q25=4, q50=4, q75=4, maximum=4),
-    "describe_ranked": lambda s, d: rounded(op.describe(table(s, d, "orders"), small=False), mean=4, std=4, minimum=4,
+    "describe_ranked": lambda s, d: rounded(op.describe(table(s, d, "orders")), mean=4, std=4, minimum=4,
                                             q25=4, q50=4, q75=4, maximum=4),
     "datetime_profile": lambda s, d: op.datetime_profile(table(s, d, "orders")).select(
         "column_name", "valid", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"),
@@ -245,8 +245,9 @@ ORACLES = {
           UNION ALL SELECT 'transformation', 'medium', column_name, CASE WHEN dc > 0.5 * n THEN 'text_encoding' ELSE 'label_encoding' END FROM t
           UNION ALL SELECT 'encoding', 'medium', column_name, CASE WHEN dc < 10 THEN 'one_hot_encoding' ELSE 'target_encoding' END FROM t
           UNION ALL SELECT 'scaling', 'medium', column_name, CASE WHEN std > mean THEN 'standard_scaling' ELSE 'min_max_scaling' END FROM m WHERE std > mean OR mn >= 0
-          UNION ALL VALUES ('feature_engineering', 'medium', 'doc_id*n_chars', 'interaction_feature'), ('feature_engineering', 'medium', 'doc_id^2', 'polynomial_feature'))
-        SELECT * FROM s ORDER BY priority <> 'high', category, column_name, suggestion LIMIT 20""",
+          UNION ALL VALUES """ + ", ".join([f"('feature_engineering', 'medium', '{a}*{b}', 'interaction_feature')" for i, a in enumerate(LAB_NUM) for b in LAB_NUM[i + 1:]]
+             + [f"('feature_engineering', 'medium', '{a}^2', 'polynomial_feature')" for a in LAB_NUM]) + f""")
+        SELECT * FROM s""",
     "histogram": f"""WITH e AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high, count(*) AS total FROM orders),
         b AS (SELECT low, high, total, least(floor((o_totalprice - low) * 30 / (high - low)), 29)::bigint AS bin, count(*) AS n FROM orders, e GROUP BY 1, 2, 3, 4)
         SELECT 'o_totalprice' AS column_name, low, high, total, bin, n, {r('n * 30 / (total * (high - low))', 10)} AS density FROM b""",

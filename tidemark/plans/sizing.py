@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.session import settle
+
 BROADCAST_ROWS = 200_000
-BYTES_PER_ROW_GUESS = 512
+BROADCAST_BYTES = 64 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -13,20 +15,19 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True only when ``df`` is counted to hold at most ``max_rows`` rows.
-
-    The estimate rules out large inputs without a job, so the count runs only on
-    inputs that already look small, and it stops after ``max_rows + 1`` rows.
-    """
-    if estimated_bytes(df) > max_rows * BYTES_PER_ROW_GUESS:
-        return False
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when a settled or scanned ``df`` holds at most so many rows and bytes; reads file statistics only."""
+    return estimated_bytes(df) <= max_bytes and df.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast for a counted-small side; otherwise leave the join to AQE."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+    """Settle the side of a join, then hint a broadcast if its true size is small; otherwise leave the join to AQE.
+
+    Settling first means that the side is computed once and that its size is known, not
+    estimated from the tables it comes from.
+    """
+    settled = settle(df, "side")
+    return F.broadcast(settled) if fits(settled, max_rows) else settled
 
 
 def spread(scan: DataFrame) -> DataFrame:

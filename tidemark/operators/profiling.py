@@ -316,6 +316,8 @@ def scatter_sample(df: DataFrame, x: str, y: str, key: str, points: int = 1000)
 
 
 def kinds_of_columns(df: DataFrame) -> DataFrame:
-    """Column name, kind and Spark type, from the schema alone."""
+    """Column name, kind and Spark type from the schema, and how many rows fill the column."""
     rows = [(f.name, kind_of(f.dataType), f.dataType.simpleString()) for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "column_name string, kind string, data_type string")
+    kinds = df.sparkSession.createDataFrame(rows, "column_name string, kind string, data_type string")
+    filled = missing_counts(df).select("column_name", (F.col("row_count") - F.col("missing")).alias("filled"))
+    return kinds.join(F.broadcast(filled), "column_name")  # one row per column

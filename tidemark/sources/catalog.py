@@ -10,6 +10,8 @@ from tidemark.functions.kinds import kind_of, numeric_columns, ref
 from tidemark.operators.governance import pii_columns
 from tidemark.operators.profiling import describe
 from tidemark.operators.quality import completeness
+from tidemark.plans.counts import column_summary
+from tidemark.session import settle
 
 
 def table_catalog(tables: Mapping[str, DataFrame], sample_rows: int = 2) -> DataFrame:
@@ -63,11 +65,16 @@ def table_card(df: DataFrame, name: str, order: list[str], rows: int = 10) -> Da
 
 
 def compare_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Columns shared by name between each pair of tables, with their kinds."""
-    session = next(iter(tables.values())).sparkSession
-    rows = [(t, f.name.lower(), kind_of(f.dataType)) for t, df in tables.items() for f in df.schema.fields]
-    cols = session.createDataFrame(rows, "table_name string, column_name string, kind string")
-    left = cols.select(F.col("table_name").alias("left_table"), "column_name", F.col("kind").alias("left_kind"))
-    right = cols.select(F.col("table_name").alias("right_table"), "column_name", F.col("kind").alias("right_kind"))
-    return (left.join(right, "column_name").filter("left_table < right_table")
-            .select("left_table", "right_table", "column_name", (F.col("left_kind") == F.col("right_kind")).alias("same_kind")))
+    """Columns shared by name between each pair of tables, whether their kinds agree, and on each side the table's rows and the column's distinct values."""
+    out = None
+    for t, df in tables.items():
+        found = column_summary(df).select(F.lit(t).alias("table_name"), "column_name", "row_count", "distinct_count")
+        out = found if out is None else out.unionByName(found)
+    rows = [(t, f.name, kind_of(f.dataType)) for t, df in tables.items() for f in df.schema.fields]
+    kinds = out.sparkSession.createDataFrame(rows, "table_name string, column_name string, kind string")
+    cols = settle(out.join(F.broadcast(kinds), ["table_name", "column_name"]), "columns")  # one row per table and column
+    side = lambda name: cols.select(F.lower("column_name").alias("column_name"), F.col("table_name").alias(f"{name}_table"), F.col("kind").alias(f"{name}_kind"),
+                                    F.col("row_count").alias(f"{name}_rows"), F.col("distinct_count").alias(f"{name}_distinct"))
+    return (side("left").join(side("right"), "column_name").filter("left_table < right_table")
+            .select("left_table", "right_table", "column_name", (F.col("left_kind") == F.col("right_kind")).alias("same_kind"),
+                    "left_rows", "right_rows", "left_distinct", "right_distinct"))

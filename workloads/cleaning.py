@@ -161,8 +161,9 @@ ORACLES = {
     "registry_summary": f"""WITH {', '.join(pii_sql(t, cols, [c for c in cols if c.endswith('name') or c.endswith('segment')]).replace('pii AS', f'pii_{t} AS', 1) for t, cols in SCHEMA_COLS.items())}
         SELECT 4::bigint AS tables, 100.0::double AS mean_completeness, ({' + '.join(f'(SELECT count(*) FROM pii_{t})' for t in SCHEMA_COLS)})::bigint AS governance_findings""",
     "report_sink": "SELECT 'completeness' AS section, 7::bigint AS entries UNION ALL SELECT 'duplicates', 1",
-    "compare_tables": """SELECT * FROM (VALUES ('benchmark', 'documents', 'text', true), ('conversations', 'documents', 'text', true),
-        ('benchmark', 'conversations', 'text', true), ('documents', 'labels', 'doc_id', true)) t(left_table, right_table, column_name, same_kind)""",
+    "compare_tables": union(f"""SELECT '{a}' AS left_table, '{b}' AS right_table, '{c}' AS column_name, true AS same_kind, (SELECT count(*) FROM {a}) AS left_rows,
+        (SELECT count(*) FROM {b}) AS right_rows, (SELECT count(DISTINCT {c}) FROM {a}) AS left_distinct, (SELECT count(DISTINCT {c}) FROM {b}) AS right_distinct"""
+        for a, b, c in [("benchmark", "documents", "text"), ("conversations", "documents", "text"), ("benchmark", "conversations", "text"), ("documents", "labels", "doc_id")]),
     "select_checked": "SELECT o_orderkey, o_totalprice FROM orders",
     "drop_null_target": f"WITH {LABELLED} SELECT * FROM labelled WHERE quality IS NOT NULL",
     "impute": f"""WITH {SPARSE}, f AS (SELECT quantile_cont(l_discount, 0.5) AS md, quantile_cont(l_tax, 0.5) AS mt FROM sparse)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import patterns as fixed
 from tidemark.functions.similarity import words
 from tidemark.operators import activity, matching as op, retrieval as ret
-from workloads.common import ALL, longs, r, rounded, table, union
+from workloads.common import ALL, each, longs, r, rounded, table, union
 
 WORD = r"[\pL\pN_]{2,}"
 
@@ -224,9 +224,9 @@ ORACLES = {
         SELECT doc_id, position, term, {r('weight')} AS weight FROM k WHERE position <= 5""",
     "vector_topk": f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
         k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) SELECT query_id, rank, id, {r('score')} AS score FROM k WHERE rank <= 5""",
-    "match_columns": f"""WITH l AS (SELECT unnest([{', '.join(repr(c.replace('_', '')) for c in sorted({c for cs in ALL.values() for c in cs}))}]) AS a), k AS (SELECT unnest([{', '.join(repr(c) for c in ALL['lineitem'])}]) AS b),
-        s AS (SELECT DISTINCT a, b, {LEV} AS score FROM l, k WHERE {LEV} >= 0.8), o AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s)
-        SELECT a AS name, b AS column_name, {r('score')} AS score, rank FROM o WHERE rank <= 3""",
+    "match_columns": f"""WITH l AS (SELECT unnest([{', '.join(repr(c.replace('_', '')) for c in sorted({c for cs in ALL.values() for c in cs}))}]) AS a), k AS ({each(ALL['lineitem'], "SELECT '{c}' AS b, count({c}) AS filled FROM lineitem")}),
+        s AS (SELECT DISTINCT a, b, filled, {LEV} AS score FROM l, k WHERE {LEV} >= 0.8), o AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s)
+        SELECT a AS name, b AS column_name, {r('score')} AS score, rank, filled FROM o WHERE rank <= 3""",
     "match_tables": f"""WITH {PAIRS}, s AS (SELECT a, b, {LEV} AS score FROM l, k WHERE {LEV} >= 0.85), x AS (SELECT typo AS a, count(*) AS left_rows, min(p_partkey) AS left_key FROM typos GROUP BY typo),
         y AS (SELECT p_name AS b, count(*) AS right_rows, min(p_partkey) AS right_key FROM part GROUP BY p_name)
         SELECT a AS left_value, b AS right_value, {r('score')} AS score, left_rows, left_key, right_rows, right_key FROM s JOIN x USING (a) JOIN y USING (b)""",

@@ -261,7 +261,7 @@ ORACLES = {
         [("p_retailprice", "p_size"), ("p_retailprice", "p_doubled"), ("p_retailprice", "p_minus"), ("p_size", "p_doubled"),
          ("p_size", "p_minus"), ("p_doubled", "p_minus")]) + """)
         SELECT 'node' AS item, column_name AS source, NULL::varchar AS target, role FROM f UNION ALL SELECT 'edge', source, target, NULL FROM c WHERE abs(r) > 0.7""",
-    "column_kinds": union(f"SELECT '{f}' AS column_name, '{k}' AS kind, '{t}' AS data_type" for f, k, t in [
+    "column_kinds": union(f"SELECT '{f}' AS column_name, '{k}' AS kind, '{t}' AS data_type, count({f}) AS filled FROM lineitem" for f, k, t in [
         ("l_orderkey", "numeric", "bigint"), ("l_partkey", "numeric", "bigint"), ("l_suppkey", "numeric", "bigint"),
         ("l_linenumber", "numeric", "int"), ("l_quantity", "numeric", "double"), ("l_extendedprice", "numeric", "double"),
         ("l_discount", "numeric", "double"), ("l_tax", "numeric", "double"), ("l_returnflag", "text", "string"),

@@ -21,6 +21,7 @@ from tidemark.operators.profiling import histogram
 from tidemark.plans.counts import (column_summary, duplicate_count, long_values, top_values, value_counts)
 from tidemark.plans.ranks import at_ranks, quantiles, running
 from tidemark.plans.stats import missing_counts, moments
+from tidemark.session import settle
 
 ABSENT = 1e-6
 RESULT_COLUMNS = ["column_name", "test_method", "statistic", "p_value", "drift_score", "drift_detected", "severity"]
@@ -341,8 +342,11 @@ def pca_drift(df: DataFrame, cols: Sequence[str], components: int = 3) -> DataFr
 
 
 def drift_report(df: DataFrame, cols: Sequence[str], threshold: float = 0.05) -> dict[str, DataFrame]:
-    """Every section of the analysis, lazily, by name. Write it with ``sinks.write_report``."""
-    results = column_drift(df, cols, threshold)
+    """Every section of the analysis by name. Write it with ``sinks.write_report``.
+
+    The column results are settled, as three sections read them; the rest is lazy.
+    """
+    results = settle(column_drift(df, cols, threshold), "drift")
     nums = [c for c in cols if kind_of(df.schema[c].dataType) == "numeric"]
     texts = [c for c in cols if kind_of(df.schema[c].dataType) == "text"]
     sections = {"columns": results, "summary": drift_summary(results), "sizes": period_sizes(df),

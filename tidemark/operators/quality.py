@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import patterns as fixed
 from tidemark.functions.arithmetic import at_least, corrected_skew, percent, ratio
-from tidemark.functions.kinds import kind_column, kind_of, number, numeric_columns, ref, text_columns
+from tidemark.functions.kinds import is_missing, kind_column, kind_of, number, numeric_columns, ref, text_columns
 from tidemark.plans.counts import (LONG_TEXT, as_text, column_summary, duplicate_count, modes, value_counts)
 from tidemark.plans.ranks import numeric_counts, quantiles_of_counts
 from tidemark.plans.stats import beside, missing_counts, moments, per_column
+from tidemark.session import settle
 
 ISSUE_COLUMNS = ["column_name", "issue_type", "severity", "affected_rows", "affected_pct", "suggested_fix"]
 
 
 def missing_values(df: DataFrame) -> DataFrame:
     """Columns with missing values: count, percent, severity and fix."""
+    return _judge_missing(missing_counts(df))
+
+
+def _judge_missing(counts: DataFrame) -> DataFrame:
     pct = percent(F.col("missing"), F.col("row_count"))
-    return (missing_counts(df).filter("missing > 0")
+    return (counts.filter("missing > 0")
             .withColumn("missing_pct", pct)
             .withColumn("severity", F.when(F.col("missing_pct") > 50, "high")
                         .when(F.col("missing_pct") > 20, "medium").otherwise("low"))
@@ -91,8 +96,12 @@ def outlier_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 
 def outlier_issues(df: DataFrame, threshold: float = 5.0) -> DataFrame:
     """Columns whose outliers exceed ``threshold`` percent of all rows."""
-    rows = missing_counts(df, numeric_columns(df)).select("column_name", "row_count")
-    return (outlier_table(df).drop("outlier_pct").join(F.broadcast(rows), "column_name")
+    return _judge_outliers(outlier_table(df), missing_counts(df, numeric_columns(df)), threshold)
+
+
+def _judge_outliers(table: DataFrame, counts: DataFrame, threshold: float = 5.0) -> DataFrame:
+    rows = counts.select("column_name", "row_count")
+    return (table.drop("outlier_pct").join(F.broadcast(rows), "column_name")
             .withColumn("outlier_pct", percent(F.col("outliers"), F.col("row_count")))
             .filter(F.col("outlier_pct") > threshold))
 
@@ -111,18 +120,23 @@ def scan_quality(df: DataFrame) -> DataFrame:
                            as_col(fix).alias("suggested_fix"))
 
     whole = F.lit(100.0)
-    parts = [shape(missing_values(df), "missing_values", F.col("severity"), F.col("missing"),
+    texts = text_columns(df)
+    matching = lambda pattern: lambda c: F.count_if(ref(c).cast("string").rlike(pattern)) if c in texts else F.sum(F.lit(0))
+    # One scan for everything that is counted per column; one row per column.
+    facts = settle(per_column(df, df.columns, {"missing": lambda c: F.count_if(is_missing(df, c)), "dates": matching(fixed.DATE_PREFIX),
+                                               "numbers": matching(fixed.FORMATTED_NUMBER)}), "facts")
+    parts = [shape(_judge_missing(facts), "missing_values", F.col("severity"), F.col("missing"),
                    F.col("missing_pct"), F.col("suggested_fix"))]
-    if text_columns(df):
-        totals = F.broadcast(missing_counts(df, text_columns(df)).select("column_name", F.col("row_count").alias("total")))
+    if texts:
+        totals = F.broadcast(facts.select("column_name", F.col("row_count").alias("total")))
         parts += [
             shape(casing_issues(df).join(totals, "column_name"), "inconsistent_casing", "medium",
                   F.col("total"), whole, "standardize_case"),
-            shape(date_strings(df), "date_format", "medium", F.col("row_count"), whole, "to_datetime"),
-            shape(numeric_strings(df), "numeric_formatting", "medium", F.col("row_count"), whole, "to_number"),
+            shape(facts.filter("dates > 0"), "date_format", "medium", F.col("row_count"), whole, "to_datetime"),
+            shape(facts.filter("numbers > 0"), "numeric_formatting", "medium", F.col("row_count"), whole, "to_number"),
         ]
     if numeric_columns(df):
-        parts.append(shape(outlier_issues(df), "outliers", "low", F.col("outliers"), F.col("outlier_pct"), "iqr_filter"))
+        parts.append(shape(_judge_outliers(outlier_table(df), facts), "outliers", "low", F.col("outliers"), F.col("outlier_pct"), "iqr_filter"))
     dup = duplicate_rows(df).filter("duplicate_rows > 0").withColumn("column_name", F.lit("all_columns"))
     parts.append(shape(dup, "duplicate_rows", "medium", F.col("duplicate_rows"), F.col("duplicate_pct"), "drop_duplicates"))
     out = parts[0]

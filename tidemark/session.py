@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     Only a local-mode session (tests, laptops) gets a folder of its own when the
-    setting is missing; a cluster without it is a configuration error.
+    setting is missing, which goes when Python ends; a cluster without it is a configuration error.
     """
     context = spark.sparkContext
     active = context._jsc.sc().getCheckpointDir()
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 

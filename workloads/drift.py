@@ -168,7 +168,7 @@ QUERIES = {
     "five_numbers": lambda s, d: rounded(op.five_numbers(periods(s, d), NUMS), minimum=4, q25=4, median=4, q75=4, maximum=4),
     "compare_categories": lambda s, d: op.compare_categories(periods(s, d), TEXTS, 3),
     "drift_report": lambda s, d: report_rows(op.drift_report(periods(s, d), NUMS + TEXTS)).groupBy("section").agg(
-        F.count(F.lit(1)).alias("entries")).filter("section <> 'histograms'"),
+        F.count(F.lit(1)).alias("entries")),
     "monitor_drift": _monitor,
     "monitor_quality": _monitor_quality,
     "monitor_newest": _monitor_newest,

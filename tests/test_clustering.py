@@ -42,26 +42,41 @@ def test_dbscan_matches_brute_force(spark):
         assert [got[i] for i in range(len(xs))] == brute_dbscan(xs, 0.5, 5).tolist()
 
 
-def test_single_linkage_matches_brute_force(spark):
-    rng = np.random.default_rng(8)
-    xs = np.vstack([rng.normal(size=(20, 2)) * 0.3, rng.normal(size=(20, 2)) * 0.3 + 5, rng.normal(size=(10, 2)) * 0.3 + [0, 9]])
-    label = list(range(len(xs)))
+def brute_merge(xs, k, how):
+    """Greedy merging of the two nearest clusters."""
+    groups = [[i] for i in range(len(xs))]
     d = np.sqrt(((xs[:, None] - xs[None]) ** 2).sum(-1))
-    for i, j in sorted(((i, j) for i in range(len(xs)) for j in range(i)), key=lambda p: d[p]):
-        if len(set(label)) == 3:
-            break
-        a, b = label[i], label[j]
-        label = [a if x == b else x for x in label]
-    got = {r.id: r.cluster for r in cl.single_linkage(points(spark, xs), 3).collect()}
-    pairs = {(got[i], label[i]) for i in range(len(xs))}
-    assert len(pairs) == 3 == len({p[0] for p in pairs})
-
-
-def test_merge_weights_equal_points():
-    xs = np.array([[0.0], [1.0], [10.0], [11.5], [30.0]])
-    for how in ("ward", "average", "complete"):
-        label = cl.merge_centres(xs, np.ones(5), 3, how)
-        assert label[0] == label[1] and label[2] == label[3] and len(set(label)) == 3
+
+    def gap(a, b):
+        if how == "ward":
+            return 2 * len(a) * len(b) / (len(a) + len(b)) * ((xs[a].mean(0) - xs[b].mean(0)) ** 2).sum()
+        return {"single": np.min, "complete": np.max, "average": np.mean}[how](d[np.ix_(a, b)])
+
+    while len(groups) > k:
+        i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda p: gap(groups[p[0]], groups[p[1]]))
+        groups[j] += groups.pop(i)
+    label = np.empty(len(xs), int)
+    for n, g in enumerate(groups):
+        label[g] = n
+    return label
+
+
+def test_merge_trees_match_greedy_merging(spark):
+    rng = np.random.default_rng(8)
+    xs = np.vstack([rng.normal(size=(15, 2)), rng.normal(size=(10, 2)) * 0.3 + 3, rng.uniform(-4, 8, size=(9, 2))])
+    xs = np.vstack([xs, xs[:4], xs[:2]])  # copies
+    for how in cl.LINKAGES:
+        for k, block in ((4, 2_000), (4, 9))[:1 if how in ("single", "complete") else 2]:
+            want = brute_merge(xs, k, how)
+            got = {r.id: r.cluster for r in cl.hierarchical(points(spark, xs), k, how, block_rows=block).collect()}
+            assert len({(got[i], want[i]) for i in range(len(xs))}) == k == len(set(got.values())), (how, block)
+
+
+def test_ties_still_give_k_clusters(spark):
+    xs = np.array([[float(i), 0.0] for i in range(6)] + [[0.0, 0.0]])
+    for how in ("single", "ward"):
+        assert len({r.cluster for r in cl.hierarchical(points(spark, xs), 2, how).collect()}) == 2
+    assert len({r.cluster for r in cl.hierarchical(points(spark, xs), 9, "average").collect()}) == 6
 
 
 def test_silhouette_both_forms(spark):

@@ -20,7 +20,6 @@ from tidemark.session import settle
 
 SLICE_ROWS = 20_000
 DIRECT_PAIRS = 250_000
-MICRO_CLUSTERS = 1_000
 
 
 def prepare_features(df: DataFrame, key: str, cols: Sequence[str] | None = None) -> DataFrame:
@@ -263,99 +262,94 @@ def cluster_count(clustered: DataFrame) -> DataFrame:
 
 # ---- hierarchical ----
 
-def single_linkage(points: DataFrame, k: int = 3, rounds: int = 60) -> DataFrame:
-    """(id, cluster): the k clusters of single linkage.
+LINKAGES = ("single", "complete", "average", "ward")
 
-    Cutting the minimum spanning tree at distance d leaves the components of the
-    graph of pairs within d, which is density clustering with ``min_samples`` 1.
-    The cut is found by bisection on d; each probe is a grid join, never all
-    pairs. Equal merge distances that skip k give the next smaller count.
-    """
-    points = settle(points.select("id", "vec"), "points")
-    spread = points.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg((F.max("x") - F.min("x")).alias("w"))
-    width = spread.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w")).first()["w"] or 1.0
-    low, high, best = 0.0, width * 1.000001, None
-    # start at the distance of evenly spread points
-    total = points.count()
-    if total <= k:
-        return running(points.select(F.col("id").alias("value"), F.lit(1).alias("one")), [], "value", ["one"]).select(
-            F.col("value").alias("id"), (F.col("one_upto") - 1).cast("long").alias("cluster"))
-    probe = width / max(2.0, math.sqrt(total))
-    for _ in range(rounds):
-        found = settle(dbscan(points, probe, 1).select("id", "cluster"), "probe")
-        n = found.select("cluster").distinct().count()
-        if n <= k:
-            high, best = probe, found
-            if n == k:
-                break
-        else:
-            low = probe
-        if high - low <= 1e-12 * max(high, 1.0):
-            break
-        probe = (low + high) / 2 if low == 0.0 or high / low < 4 else math.sqrt(low * high)
-        if best is None and n > k:
-            probe = min(probe, low * 2) if low * 2 < high else probe
-    return best if best is not None else points.select("id", F.lit(0).cast("long").alias("cluster"))
-
-
-def merge_centres(centres: np.ndarray, weights: np.ndarray, k: int, linkage: str) -> np.ndarray:
-    """Labels of at most MICRO_CLUSTERS weighted centres after merging down to k (Lance-Williams updates)."""
-    n = len(centres)
-    d = np.sqrt(np.maximum(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(-1), 0))
-    w = weights.astype(float).copy()
+
+def _gaps(x: pd.DataFrame, y: pd.DataFrame, linkage: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(clusters of x, clusters of y, distances between them); rows hold whole clusters, sorted by cluster."""
+    heads = [np.flatnonzero(np.concatenate(([True], np.diff(t["cluster"].to_numpy()) != 0))) for t in (x, y)]
+    names = [t["cluster"].to_numpy()[h] for t, h in zip((x, y), heads)]
+    points = [np.vstack(t["vec"].to_numpy()) for t in (x, y)]
+    weights = [t["weight"].to_numpy() for t in (x, y)]
+    sizes = [np.add.reduceat(w, h) for w, h in zip(weights, heads)]
     if linkage == "ward":
-        d = d * d * (2 * w[:, None] * w[None, :] / (w[:, None] + w[None, :]))
-    np.fill_diagonal(d, np.inf)
-    label = np.arange(n)
-    alive = np.ones(n, bool)
-    for _ in range(max(0, n - k)):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
-        a, b, gap = d[i], d[j], d[i, j]
-        if linkage == "complete":
-            new = np.maximum(a, b)
-        elif linkage == "average":
-            new = (w[i] * a + w[j] * b) / (w[i] + w[j])
-        elif linkage == "ward":
-            new = ((w[i] + w) * a + (w[j] + w) * b - w * gap) / (w[i] + w[j] + w)
-        else:
-            raise ValueError(f"unknown linkage: {linkage}")
-        new[~alive] = np.inf
-        new[[i, j]] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j] = np.inf, np.inf
-        alive[j] = False
-        w[i] += w[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
-def hierarchical(points: DataFrame, k: int = 3, linkage: str = "ward", seed: int = 42) -> DataFrame:
+        centres = [np.add.reduceat(p * w[:, None], h, axis=0) / n[:, None] for p, w, h, n in zip(points, weights, heads, sizes)]
+        harmonic = 2 * sizes[0][:, None] * sizes[1][None, :] / (sizes[0][:, None] + sizes[1][None, :])
+        return names[0], names[1], harmonic * ((centres[0][:, None, :] - centres[1][None, :, :]) ** 2).sum(-1)
+    fold = {"single": np.minimum, "complete": np.maximum, "average": np.add}[linkage]
+    out = []
+    for start, end in zip(heads[0], np.append(heads[0][1:], len(points[0]))):  # one cluster of x at a time
+        d = np.sqrt(((points[0][start:end, None, :] - points[1][None, :, :]) ** 2).sum(-1))
+        if linkage == "average":
+            d = d * weights[0][start:end, None] * weights[1][None, :]
+        out.append(fold.reduceat(fold.reduce(d, axis=0), heads[1]))
+    gaps = np.array(out)
+    return names[0], names[1], gaps / (sizes[0][:, None] * sizes[1][None, :]) if linkage == "average" else gaps
+
+
+def merge_tree(points: DataFrame, linkage: str = "ward", block_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
+    """((vec, cluster), (a, b, height, round)): distinct points numbered, and every merge up to one cluster.
+
+    In each round all pairs of clusters that are each other's nearest are merged. For these
+    linkages such a merge is one of the final tree wherever it comes in the order, as a
+    merge never brings a third cluster nearer. Clusters are dealt whole to blocks, and
+    each pair of blocks gives one row per cluster: its nearest there. The cost is every
+    pair of points, in blocks; ties go to the lower number.
+    """
+    if linkage not in LINKAGES:
+        raise ValueError(f"unknown linkage: {linkage}")
+    folded = points.groupBy("vec").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.min("id").alias("first"))
+    numbered = running(folded.select("vec", "weight", F.struct("first").alias("value"), F.lit(1).alias("one")), [], "value", ["one"])
+    named = settle(numbered.select("vec", "weight", (F.col("one_upto") - 1).cast("long").alias("cluster")), "named")
+    members, merges, left = named, [], named.count()
+    while left > 1:
+        blocks = max(1, math.ceil(left / block_rows))
+        every = F.sequence(F.lit(0), F.lit(blocks - 1))
+        placed = members.withColumn("block", F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int"))
+        asked = placed.withColumnRenamed("block", "lb").withColumn("rb", F.explode(every))
+        held = placed.withColumnRenamed("block", "rb").withColumn("lb", F.explode(every))
+
+        def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(y):
+                return pd.DataFrame({"cluster": [], "other": [], "gap": []})
+            mine, theirs, gap = _gaps(x.sort_values("cluster", kind="stable"), y.sort_values("cluster", kind="stable"), linkage)
+            gap[mine[:, None] == theirs[None, :]] = np.inf
+            at = gap.argmin(axis=1)  # the lowest number among equals, as names are sorted
+            found = pd.DataFrame({"cluster": mine, "other": theirs[at], "gap": gap[np.arange(len(mine)), at]})
+            return found[np.isfinite(found["gap"])]
+
+        near = asked.groupBy("lb", "rb").cogroup(held.groupBy("lb", "rb")).applyInPandas(nearest, "cluster long, other long, gap double")
+        best = near.groupBy("cluster").agg(F.min(F.struct("gap", "other")).alias("n")).select("cluster", F.col("n.other").alias("other"), F.col("n.gap").alias("gap"))
+        best = settle(best, "nearest")
+        back = best.select(F.col("cluster").alias("other"), F.col("other").alias("cluster"))
+        pairs = settle(best.filter("cluster < other").join(back, ["cluster", "other"])
+                       .select(F.col("cluster").alias("a"), F.col("other").alias("b"), F.col("gap").alias("height"), F.lit(len(merges)).alias("round")), "merges")
+        merges.append(pairs)
+        renamed = pairs.select(F.col("b").alias("cluster"), F.col("a").alias("into"))
+        members = settle(members.join(renamed, "cluster", "left").select("vec", "weight", F.coalesce("into", "cluster").alias("cluster")), "members")
+        left -= pairs.count()
+    tree = points.sparkSession.createDataFrame([], "a long, b long, height double, round int")
+    for part in merges:
+        tree = tree.unionByName(part)
+    return named.select("vec", "cluster"), settle(tree, "tree")
+
+
+def hierarchical(points: DataFrame, k: int = 3, linkage: str = "ward", seed: int = 42, block_rows: int = 2_000) -> DataFrame:
     """(id, vec, cluster) for 'ward', 'complete', 'average', 'single' or 'bisecting'.
 
-    The quadratic linkages run in two stages: distinct points, or k-means
-    micro-clusters when there are more than MICRO_CLUSTERS of them, then a merge
-    of those few weighted centres, whose labels go back by a broadcast join.
+    The first four build the whole merge tree and undo its k - 1 highest merges, so there
+    are always k clusters (or as many as there are distinct points); of equal heights the
+    later merge is undone first.
     """
-    if linkage == "single":
-        return points.join(single_linkage(points, k), "id")
     if linkage == "bisecting":
         rows = with_vector(points)
         model = BisectingKMeans(k=k, seed=seed, predictionCol="cluster").fit(rows)
         return model.transform(rows).select("id", "vec", F.col("cluster").cast("long").alias("cluster"))
-    folded = settle(points.groupBy("vec").agg(F.count(F.lit(1)).cast("double").alias("weight")), "folded")
-    if folded.limit(MICRO_CLUSTERS + 1).count() <= MICRO_CLUSTERS:
-        small = folded.orderBy("vec").collect()  # at most MICRO_CLUSTERS rows
-        labels = merge_centres(np.array([r.vec for r in small], float), np.array([r.weight for r in small]), k, linkage)
-        table = points.sparkSession.createDataFrame([(list(map(float, r.vec)), int(l)) for r, l in zip(small, labels)], "vec array<double>, cluster long")
-        return points.join(F.broadcast(table), "vec").select("id", "vec", "cluster")
-    rows = folded.withColumn("features", array_to_vector("vec"))
-    model = KMeans(k=MICRO_CLUSTERS, seed=seed, maxIter=5, initMode="random", weightCol="weight", predictionCol="micro").fit(rows)
-    micro = model.transform(with_vector(points)).select("id", "vec", "micro")
-    sizes = {r["micro"]: r["n"] for r in micro.groupBy("micro").agg(F.count(F.lit(1)).alias("n")).collect()}
-    used = sorted(sizes)
-    found = model.clusterCenters()
-    centres = np.array([found[i] for i in used])
-    labels = merge_centres(centres, np.array([sizes[i] for i in used], float), k, linkage)
-    table = points.sparkSession.createDataFrame([(int(i), int(l)) for i, l in zip(used, labels)], "micro int, cluster long")
-    return micro.join(F.broadcast(table), "micro").select("id", "vec", "cluster")
+    named, tree = merge_tree(points.select("id", "vec"), linkage, block_rows)
+    undone = tree.orderBy(F.desc("height"), F.desc("round"), F.desc("a")).limit(k - 1)
+    kept = tree.join(undone, ["a", "b", "round"], "left_anti")
+    groups = connected_components(kept, "a", "b")
+    firsts = named.join(groups, F.col("cluster") == F.col("node"), "left").select("vec", F.coalesce("component", "cluster").alias("first"))
+    order = firsts.select("first").distinct().select(F.col("first").alias("value"), F.lit(1).alias("one"))  # k rows
+    labels = running(order, [], "value", ["one"]).select(F.col("value").alias("first"), (F.col("one_upto") - 1).cast("long").alias("cluster"))
+    return points.join(firsts.join(F.broadcast(labels), "first"), "vec").select("id", "vec", "cluster")

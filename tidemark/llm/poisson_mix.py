@@ -82,12 +82,15 @@ def replicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     packed = docs.select(F.struct(*docs.columns).alias("doc"))
     id_of, text_of = F.col("doc").getField(id_col), F.col("doc").getField(text_col)
     joined = packed.join(broadcast_if_small(named), F.col("doc").getField(source_col).eqNullSafe(F.col("for_source")))
-    ident = [F.coalesce(id_of.cast("string"), F.lit("")), F.md5(F.coalesce(text_of, F.lit("")))]
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, part: n + F.size(F.filter(
-        F.col("table"), lambda c: c <= uniform(F.lit(str(seed)), F.lit("n"), *ident, part.cast("string")))))
-    counted = joined.select("doc", drawn.alias("n")).filter("n > 0")
-    copies = counted.select("doc", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
-    keyed = copies.withColumn("key", uniform(F.lit(str(seed)), F.lit("o"), *ident, F.col("copy").cast("string")))
+    text_key = F.concat_ws("|", F.coalesce(id_of.cast("string"), F.lit("")), F.md5(F.coalesce(text_of, F.lit(""))))
+    # The hashes are made once per part, outside the comparison with the table.
+    chances = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda part: uniform(F.lit(str(seed)), F.lit("n"), F.col("ident"), part.cast("string")))
+    drawn = F.aggregate("chances", F.lit(0), lambda n, u: n + F.size(F.filter("table", lambda c: c <= u)))
+    named_rows = joined.withColumn("ident", text_key).withColumn("chances", chances)
+    counted = named_rows.select("doc", "ident", drawn.alias("n"))
+    # No filter on n: it would be pushed into the join and make every draw twice.
+    copies = counted.select("doc", "ident", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1))).alias("copy"))
+    keyed = copies.withColumn("key", uniform(F.lit(str(seed)), F.lit("o"), F.col("ident"), F.col("copy").cast("string"))).drop("ident")
     ordered = keyed.repartitionByRange("key").sortWithinPartitions(F.col("key"), id_of, F.col("copy"))
     own = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in (count_as, key_as)]
     return ordered.select(*own, F.col("copy").alias(count_as), F.col("key").alias(key_as))

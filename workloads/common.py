@@ -64,12 +64,12 @@ def each(cols: Iterable[str], template: str) -> str:
 
 def labelled(spark, sf):
     """documents with labels attached: about 60% of quality and toxic are null."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = table(spark, sf, "documents")
     return docs.join(table(spark, sf, "labels"), "doc_id", "left")
 
 
-LABELLED = "labelled AS (SELECT d.doc_id, lang, source, n_chars, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
-LABELLED_COLS = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
+LABELLED = "labelled AS (SELECT d.doc_id, text, lang, source, n_chars, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
+LABELLED_COLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 
 
 def sparse_lines(spark, sf):

@@ -231,7 +231,7 @@ ORACLES = {
           {r('cm - rm')} AS missing_ratio_change, {r('cd - rd')} AS duplicate_ratio_change FROM b""",
     "drift_suitability": f"""WITH {LABELLED}, t AS (SELECT *, 1.0::double AS fixed, doc_id::varchar AS doc FROM labelled),
         f AS ({union(f"SELECT '{c}' AS column_name, '{k}' AS kind, count(*) AS n, (count(*) - count({c})) * 100.0::double / count(*) AS missing_pct, count(DISTINCT {c}) AS distinct_count FROM t"
-              for c, k in [('doc_id', 'n'), ('lang', 't'), ('source', 't'), ('n_chars', 'n'), ('quality', 'n'), ('toxic', 'n'), ('fixed', 'n'), ('doc', 't')])}),
+              for c, k in [('doc_id', 'n'), ('text', 't'), ('lang', 't'), ('source', 't'), ('n_chars', 'n'), ('quality', 'n'), ('toxic', 'n'), ('fixed', 'n'), ('doc', 't')])}),
         g AS (SELECT *, CASE WHEN kind = 'n' AND distinct_count < 2 THEN 'Constant' WHEN kind = 'n' AND missing_pct > 90 THEN 'Too many missing' WHEN kind = 'n' THEN 'Numerical Distribution'
           WHEN distinct_count > 0.9 * n THEN 'High cardinality' ELSE 'Categorical Distribution' END AS drift_type FROM f)
         SELECT column_name, {r('missing_pct')} AS missing_pct, distinct_count, drift_type, drift_type NOT IN ('Constant', 'Too many missing', 'High cardinality') AS suitable FROM g""",

@@ -63,9 +63,9 @@ def pii_sql(source, all_cols, text_cols):
     return f"pii AS (SELECT * FROM ({union(by_name + by_value)}) WHERE pii_type IS NOT NULL)"
 
 
-GOV_LABELLED = f"""WITH {LABELLED}, {pii_sql('labelled', LABELLED_COLS, ['lang', 'source'])},
+GOV_LABELLED = f"""WITH {LABELLED}, {pii_sql('labelled', LABELLED_COLS, ['text', 'lang', 'source'])},
   m AS ({each(LABELLED_COLS, "SELECT count(*) AS row_count, count(*) - count({c}) AS missing FROM labelled")}),
-  casing AS ({each(['lang', 'source'], "SELECT (count(DISTINCT lower({c})) < count(DISTINCT {c}))::int AS bad FROM labelled")}),
+  casing AS ({each(['text', 'lang', 'source'], "SELECT (count(DISTINCT lower({c})) < count(DISTINCT {c}))::int AS bad FROM labelled")}),
   g AS (SELECT (SELECT 100 - sum(missing) * 100.0 / sum(row_count) FROM m)::double AS completeness,
     (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM labelled)) FROM labelled) AS duplicate_rows,
     (SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM labelled))) * 100.0 / count(*) FROM labelled)::double AS duplicate_pct,

@@ -175,6 +175,8 @@ QUERIES = {
     "train_logistic_regression": lambda s, d: _class(s, d, "large", BIN, "logistic_regression"),
     "train_linear_regression": lambda s, d: _ols(s, d),
     "train_decision_tree": lambda s, d: _class(s, d, "band", MULTI, "decision_tree"),
+    "train_decision_tree_regression": lambda s, d: _reg(s, d, "decision_tree"),
+    "train_knn": lambda s, d: _class(s, d, "band", ["l_quantity", "l_tax"], "knn"),
     "train_naive_bayes": lambda s, d: _class(s, d, "band", ["l_quantity", "l_tax"], "naive_bayes"),
     "train_svm": lambda s, d: _class(s, d, "band", ["l_quantity", "p_size"], "svm"),
     "train_auto": lambda s, d: _class(s, d, "large", BIN, "auto"),

@@ -10,7 +10,7 @@ from workloads.common import (ALL, LABELLED, LABELLED_COLS, NUMERIC, SPARSE, TEX
 from workloads.quality import QUART, long_cte
 
 TYPES = {
-    "doc_id": ("bigint", "Int 64"), "lang": ("string", "Object"), "source": ("string", "Object"),
+    "doc_id": ("bigint", "Int 64"), "text": ("string", "Object"), "lang": ("string", "Object"), "source": ("string", "Object"),
     "n_chars": ("bigint", "Int 64"), "quality": ("int", "Int 64"), "toxic": ("int", "Int 64"),
 }
 LINE_PAIRS = [(a, b) for i, a in enumerate(NUMERIC["lineitem"]) for b in NUMERIC["lineitem"][i + 1:]]
@@ -165,14 +165,14 @@ def _cramer_sql():
 
 PART_MOM = each(NUMERIC["part"], f"SELECT '{{c}}' AS column_name, min({{c}})::double AS mn, max({{c}})::double AS mx, avg({{c}}) AS mean, stddev_samp({{c}}) AS std, {G1} AS g1 FROM part")
 LAB_NUM = ["doc_id", "n_chars", "quality", "toxic"]
-LAB_TXT = ["lang", "source"]
-LAB_KINDS = {"doc_id": "numeric", "lang": "text", "source": "text", "n_chars": "numeric", "quality": "numeric", "toxic": "numeric"}
+LAB_TXT = ["text", "lang", "source"]
+LAB_KINDS = {"doc_id": "numeric", "text": "text", "lang": "text", "source": "text", "n_chars": "numeric", "quality": "numeric", "toxic": "numeric"}
 LAB_MOM = each(LAB_NUM, f"SELECT '{{c}}' AS column_name, min({{c}})::double AS mn, max({{c}})::double AS mx, avg({{c}}) AS mean, stddev_samp({{c}}) AS std, {G1} AS g1 FROM labelled")
 
 ORACLES = {
     "overview": f"""WITH {LABELLED} SELECT count(*) AS row_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM labelled)) AS duplicate_rows,
         sum((quality IS NULL)::bigint + (toxic IS NULL)::bigint)::bigint AS missing_cells,
-        sum(8 + strlen(lang) + strlen(source) + 8 + 4 + 4)::bigint AS logical_bytes, 6::bigint AS column_count FROM labelled""",
+        sum(8 + strlen(text) + strlen(lang) + strlen(source) + 8 + 4 + 4)::bigint AS logical_bytes, 7::bigint AS column_count FROM labelled""",
     "column_samples": f"""WITH vc AS ({each(ALL['part'], "SELECT DISTINCT '{c}' AS column_name, {c}::varchar AS value FROM part")}),
         ranked AS (SELECT column_name, row_number() OVER (PARTITION BY column_name ORDER BY value) AS position, value FROM vc)
         SELECT * FROM ranked WHERE position <= 3""",
@@ -253,7 +253,7 @@ ORACLES = {
         SELECT 'o_totalprice' AS column_name, low, high, total, bin, n, {r('n * 30 / (total * (high - low))', 10)} AS density FROM b""",
     "chart_data": f"""WITH {LABELLED}, f AS ({roles_sql('labelled', LAB_KINDS)}), miss AS ({each(LABELLED_COLS, "SELECT '{c}' AS label, count(*) - count({c}) AS n FROM labelled")})
         SELECT 'missing' AS chart, label, n FROM miss WHERE n > 0
-        UNION ALL SELECT 'types', label, count(*) FROM (VALUES ('bigint'), ('string'), ('string'), ('bigint'), ('int'), ('int')) t(label) GROUP BY label
+        UNION ALL SELECT 'types', label, count(*) FROM (VALUES ('bigint'), ('string'), ('string'), ('string'), ('bigint'), ('int'), ('int')) t(label) GROUP BY label
         UNION ALL SELECT 'roles', role, count(*) FROM f GROUP BY role UNION ALL SELECT 'distinct', column_name, distinct_count FROM f""",
     "column_graph": f"""WITH t AS (SELECT p_retailprice, p_size, p_retailprice * 2 + p_size AS p_doubled, -p_size AS p_minus FROM part),
         f AS ({roles_sql('t', {c: 'numeric' for c in ['p_retailprice', 'p_size', 'p_doubled', 'p_minus']})}), c AS (""" + union(

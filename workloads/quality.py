@@ -70,7 +70,7 @@ MESSY_SCAN = f"""WITH {MESSY}, {long_cte(['price'], 'messy')}, {QUART},
  UNION ALL SELECT 'all_columns', 'duplicate_rows', 'medium', total - d, {r('(total - d) * 100.0 / total')}, 'drop_duplicates' FROM dup WHERE total > d)"""
 
 LABELLED_NUM = ["doc_id", "n_chars", "quality", "toxic"]
-LABELLED_TXT = ["lang", "source"]
+LABELLED_TXT = ["text", "lang", "source"]
 
 ORACLES = {
     "missing_values": f"""WITH {LABELLED}, m AS ({MISSING_SQL})
@@ -137,7 +137,7 @@ ORACLES = {
     "column_issues": f"""WITH {LABELLED}, m AS ({each(LABELLED_COLS, "SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS dc FROM labelled")}),
         {long_cte(LABELLED_NUM, 'labelled')}, {QUART},
         f AS (SELECT m.column_name, CASE WHEN missing * 100.0 / m.row_count > 50 THEN 'high' WHEN missing * 100.0 / m.row_count > 5 THEN 'medium' END AS missing_severity,
-          m.column_name IN ('lang', 'source') AND dc / m.row_count::double > 0.5 AS high_cardinality,
+          m.column_name IN ('text', 'lang', 'source') AND dc / m.row_count::double > 0.5 AS high_cardinality,
           coalesce(outliers * 100.0 / m.row_count > 5, false) AS many_outliers FROM m LEFT JOIN o USING (column_name))
         SELECT *, (missing_severity IS NOT NULL)::bigint + high_cardinality::bigint + many_outliers::bigint AS issues,
           100 - 10 * ((missing_severity IS NOT NULL)::bigint + high_cardinality::bigint + many_outliers::bigint) AS score FROM f""",

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import forest_join, packing, poisson_mix, repetition, subword_classifier
-from tidemark.llm.common import load_tokenizer, read_table
+from tidemark.llm.common import read_table
 from tidemark.llm.queries import TOKENIZER, quality_model
 from tidemark.session import settle
 
@@ -37,8 +37,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    path = public_tokenizers.path(TOKENIZER)
-    return packing.with_crc(packing.pack(docs, path), load_tokenizer(path)[1])
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), digest=True)
 
 
 STAGES = [("quality rules", quality_rules), ("quality classifier", quality_classifier), ("n-gram Jaccard join", near_duplicates),

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from tidemark.llm import repetition
-from tidemark.llm.common import pieces_of, words_of
+from tidemark.llm.common import words_of
 
 EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "a b c d e " * 40), (6, "x" * 20000), (7, "a b c d e " * 40), (7, "a b c d e " * 40),
          (None, "one two three"), (9, "é ü 漢字 \U0001f600 " * 30), (10, "line one two\nline one two\n\n\nline one two")]
@@ -63,20 +63,52 @@ def test_loops_go_and_prose_stays():
     assert not repetition.measure(prose + "\n" + "\n".join(["the same line of eight or more words here"] * 60))[6]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=["a", "B", "é", " ", "\n", "\t", ".", "'", "s", "1", "\x1c", "　", "\0"], max_size=40))
-def test_pieces_cover_the_text(text):
-    assert "".join(pieces_of(text)) == text
+@pytest.fixture(scope="module")
+def encoder():
+    import public_tokenizers
+
+    from tidemark.llm.common import IdEncoder, load_tokenizer
+
+    return IdEncoder(*load_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def whole(encoder, text):
+    return encoder.whole(text) if text else b""
+
+
+@pytest.mark.parametrize("text", ["a  b", " a", "a ", "a\n b", "a \nb", "a\n\nb", "a\t b", "\n", "  ", "a   b\n\n  c", "it's 5 o'clock ", "x　 y",
+                                  "a,b.c!?;d ... e", "é, É.\nü: x", "word" * 3000, "", "a\nb c\nd", "…. a", "a’s b", "1,2 a1,b"])
+def test_ids_by_piece_equal_ids_of_the_whole(encoder, text):
+    texts = [text, text * 3, "<|endoftext|>" + text, None, "plain words here"]
+    assert encoder.encode(texts) == [whole(encoder, t) for t in texts]
 
 
-@pytest.mark.parametrize("text", ["a  b", " a", "a ", "a\n b", "a \nb", "a\n\nb", "a\t b", "\n", "  ", "a   b\n\n  c", "it's 5 o'clock ", "x　 y"])
-def test_ids_by_piece_equal_ids_of_the_whole(text):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=["a", "B", "é", " ", "\n", "\t", ".", ",", "'", "s", "1", "\x1c", "　", "\0", "…", "漢"], max_size=40), max_size=6))
+def test_ids_of_any_text(encoder, texts):
+    assert encoder.encode(texts) == [whole(encoder, t) for t in texts]
+
+
+def test_a_full_table_is_emptied(monkeypatch, encoder):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "ID_ENTRIES", 40)
+    words = [f"w{i}x common" for i in range(300)]
+    for start in range(0, 300, 7):
+        part = [" ".join(words[start:start + 3]), " ".join(words[start + 3:start + 7]) or "x"]
+        assert encoder.encode(part) == [whole(encoder, t) for t in part]
+
+
+def test_table_keeps_what_it_is_given():
     import numpy as np
-    import public_tokenizers
 
-    from tidemark.llm.common import IdEncoder, load_tokenizer
+    from tidemark.llm.common import IdTable
 
-    encoder = IdEncoder(*load_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
-    for t in (text, text * 3, "<|endoftext|>" + text):
-        want = np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.type).tobytes()
-        assert encoder.encode([t])[0] == want
+    table, rng = IdTable("<u2"), np.random.default_rng(1)
+    keys = np.unique(rng.integers(1, 1 << 62, 200_000, dtype=np.uint64) | np.uint64(1))
+    raws = [bytes(2 * (i % 4)) for i in range(len(keys))]
+    for start in range(0, len(keys), 30_011):
+        table.put(keys[start:start + 30_011], raws[start:start + 30_011])
+    slots = table.slots_of(keys)
+    assert (table.keys[slots] == keys).all() and (table.sizes[slots] == np.arange(len(keys)) % 4).all()
+    assert (table.keys[table.slots_of(keys + np.uint64(2))] != keys + np.uint64(2)).sum() >= len(keys) - 5

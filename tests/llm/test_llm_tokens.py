@@ -73,7 +73,7 @@ def test_windows_have_the_target_shares(spark):
 
 def test_packing_of_nothing(spark, docs):
     assert packing.pack(docs.limit(0), PATH).count() == 0
-    assert packing.with_crc(packing.pack(docs.filter("doc_id = 60"), PATH), 2).collect()[0].ids_crc32 == zlib.crc32(b"\0" * 4)
+    assert packing.pack(docs.filter("doc_id = 60"), PATH, digest=True).collect()[0].ids_crc32 == zlib.crc32(b"\0" * 4)
 
 
 def test_store_round_trip(spark, docs):

@@ -6,6 +6,7 @@ import os
 import re
 import sys
 import types
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,10 +19,60 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
+def _bytes_but(dropped: str) -> np.ndarray:
+    keep = np.ones(256, bool)
+    keep[list(dropped.encode())] = False
+    return keep
+
+
+#: Bytes of words, and of search terms, which end at ASCII punctuation as well.
+WORD_BYTES = _bytes_but(SPACES)
+TERM_BYTES = _bytes_but(SPACES + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_OF_BYTE = np.random.default_rng(64).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS = np.cumprod(np.full(4096, _BASE))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: every bit of the input moves every bit of the result."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_words(text: str | None, keep: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of kept bytes of a text, in order: polynomials over a table of byte values, the same everywhere."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    at = np.flatnonzero(keep[raw])
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
+    lengths = np.diff(np.append(first, len(at)))
+    longest = int(lengths.max())
+    powers = _POWERS if longest <= len(_POWERS) else np.cumprod(np.full(longest, _BASE))
+    values = _OF_BYTE[raw[at]] * powers[np.arange(len(at)) - np.repeat(first, lengths)]
+    return mixed(np.add.reduceat(values, first) + lengths.astype(np.uint64))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Entries of a worker's cache of words or pieces; it is emptied when full.
+CACHE_ENTRIES = 300_000
+#: Pieces whose ids a task keeps, about 60 bytes each.
+ID_ENTRIES = 1_500_000
+#: Rows that an operator turns into Python objects at once.
+SLICE_ROWS = 500
+
+
+def slices(batches):
+    """The batches in parts of at most SLICE_ROWS rows, without copying; empty ones are left out."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def words_of(text: str) -> list[str]:
     """Runs of characters other than the six ASCII white-space characters."""
     return WORD.findall(text) if WIDE_SPACE.search(text) else text.split()
@@ -65,9 +116,7 @@ def map_texts(df: DataFrame, inputs: list[str], kept: list[str], made: dict[str,
 
     def run(batches):
         work = start()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices(batches):
             rows = list(work(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs)))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             columns += [pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types_made)]
@@ -78,27 +127,83 @@ def map_texts(df: DataFrame, inputs: list[str], kept: list[str], made: dict[str,
 
 # Token ids
 
-_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-CACHE_ENTRIES = 1_000_000
-
-
-def pieces_of(text: str) -> list[str]:
-    """Cut a text where byte-level BPE's own pattern always cuts: before a space that a word follows, around other white space."""
-    if not text:
-        return []
-    single = text.count(" ") + text.count("\n")
-    if "\0" not in text and len(text.split()) == single + 1 and not WIDE_SPACE.search(text):
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-    return _PIECES.findall(text)
+#: What rules out that all white space is single spaces and line ends between words; the zero byte is the cutting mark.
+_NOT_SINGLE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f", "\0")
+def byte_alphabet() -> dict[str, int]:
+    """Character of a byte-level vocabulary to byte: printable bytes are themselves, the others follow from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {**{chr(b): b for b in printable}, **{chr(256 + i): b for i, b in enumerate(rest)}}
+
+
+class IdTable:
+    """Ids of pieces by the 64-bit hash of the piece, in flat arrays, so that millions of pieces fit and whole batches are looked up at once."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.reset(1 << 17)
+
+    def reset(self, slots: int) -> None:
+        self.mask = np.uint64(slots - 1)
+        self.keys, self.at, self.sizes = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.ids, self.used, self.count = np.zeros(1 << 16, self.kind), 0, 0
+
+    def slots_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, or of the free place where its search ends."""
+        slots = hashes & self.mask
+        open_ = np.flatnonzero((self.keys[slots] != hashes) & (self.keys[slots] != 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + np.uint64(1)) & self.mask
+            there = self.keys[slots[open_]]
+            open_ = open_[(there != hashes[open_]) & (there != 0)]
+        return slots
+
+    def put(self, hashes: np.ndarray, raws: list[bytes]) -> None:
+        """Add distinct hashes that are not there yet."""
+        if self.count + len(hashes) > ID_ENTRIES:
+            self.reset(len(self.keys))
+        while 2 * (self.count + len(hashes)) > len(self.keys):
+            self.grow()
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // self.ids.itemsize
+        flat = np.frombuffer(b"".join(raws), self.kind)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.kind)])
+        self.ids[self.used:self.used + len(flat)] = flat
+        self.place(hashes, self.used + np.cumsum(sizes) - sizes, sizes)
+        self.used += len(flat)
+        self.count += len(hashes)
+
+    def place(self, hashes: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> None:
+        left = np.arange(len(hashes))
+        while len(left):
+            slots = self.slots_of(hashes[left])
+            self.keys[slots] = hashes[left]  # of several hashes that want one slot, the last stays
+            won = self.keys[slots] == hashes[left]
+            self.at[slots[won]], self.sizes[slots[won]] = at[left[won]], sizes[left[won]]
+            left = left[~won]
+
+    def grow(self) -> None:
+        full = np.flatnonzero(self.keys)
+        keys, at, sizes = self.keys[full], self.at[full], self.sizes[full]
+        slots = 2 * len(self.keys)
+        self.mask = np.uint64(slots - 1)
+        self.keys, self.at, self.sizes = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.place(keys, at, sizes)
+
+
+ASCII_LETTER = np.zeros(256, bool)
+ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+POINT = ~_bytes_but(".,;:!?")
 
 
 class IdEncoder:
-    """Token ids of whole texts as little-endian bytes, through the tokenizers library with a cache of pieces.
+    """Token ids of whole texts as little-endian bytes, through the tokenizers library, which sees each piece of text once.
 
-    A text's ids are the ids of its pieces one after another, because the
-    pre-tokenizer never joins characters over a piece's edge; texts for which
-    that is not known (another pre-tokenizer, added tokens in the text) are
-    encoded whole.
+    A text's ids are the ids of its pieces one after another, because the pre-tokenizer
+    never joins characters over a piece's edge: pieces start at spaces between words, at and
+    after line ends between words, and where points follow a plain letter. Pieces are known
+    by a 64-bit hash. Texts for which the edges are not known (other white space, added
+    tokens, another pre-tokenizer) are encoded whole.
     """
 
     def __init__(self, tokenizer_json: str, width: int = 4):
@@ -106,70 +211,87 @@ class IdEncoder:
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
-        self.type = f"<u{width}"
+        self.type, self.kind = f"<u{width}", {2: "H", 4: "I"}[width]
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.by_piece = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer) \
-            and "use_regex=True" in str(self.tokenizer.pre_tokenizer)
-        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.newline = newline[0] if len(newline) == 1 else None
-        self.cache: dict[str, bytes] = {}
+        cut = str(self.tokenizer.pre_tokenizer)
+        self.by_piece = (self.tokenizer.normalizer is None and cut.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in cut
+                         and str(self.tokenizer.model).startswith("BPE("))
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.space, self.model = self.letters[32], self.tokenizer.model
+        self.table = IdTable(self.type)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
 
-    def learn(self, missing: list[str]) -> None:
-        """Encode unseen pieces in one call, a line each, and cut the ids at the line ends."""
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
-            self.cache.clear()
-        lined = [m for m in missing if "\n" not in m] if self.newline is not None else []
-        odd = [m for m in missing if "\n" in m] if self.newline is not None else missing
-        plain = [m for m in lined if not m.isspace()]
-        odd += [m for m in lined if m.isspace()]
-        for m in odd:
-            self.cache[m] = self.whole(m)
-        for i in range(0, len(plain), 4096):
-            group = plain[i:i + 4096]
-            # A piece without a leading space still starts after the line end, as \s+ takes that alone.
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(group)], add_special_tokens=False)[0].ids, dtype=self.type)
-            ends = np.flatnonzero(ids == self.newline)
-            if len(ends) != len(group) - 1:
-                for m in group:
-                    self.cache[m] = self.whole(m)
-                continue
-            raw, size = ids.tobytes(), ids.itemsize
-            bounds = [0, *((ends + 1) * size).tolist(), len(raw) + size]
-            self.cache.update(zip(group, [raw[a:b - size] for a, b in zip(bounds, bounds[1:])]))
+    def piece(self, raw: bytes) -> bytes:
+        word = raw[1:] if raw[:1] == b" " else raw
+        if word.isalpha():  # ASCII letters, one pre-token: the model alone merges its bytes
+            spelled = word.decode() if word is raw else self.space + word.decode()
+            return array(self.kind, [t.id for t in self.model.tokenize(spelled)]).tobytes() if sys.byteorder == "little" else self.whole(raw.decode())
+        return self.whole(raw.decode("utf-8", "surrogatepass"))
+
+    def simple(self, text: str) -> bool:
+        """All white space is single spaces and line ends between words, and no added token occurs."""
+        return not (text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, _NOT_SINGLE)) or WIDE_SPACE.search(text)
+                    or any(map(text.__contains__, self.added)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        group, size = [], 0
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not self.by_piece or any(a in text for a in self.added):
-                out[i] = self.whole(text)
+            if self.by_piece and self.simple(text):
+                group.append((i, text.encode()))
+                size += len(group[-1][1])
+                if size > 1 << 20:
+                    self._encode(group, out)
+                    group, size = [], 0
             else:
-                cut.append((i, pieces_of(text)))
-        cache = self.cache
-        for start in range(0, len(cut), 256):
-            part = cut[start:start + 256]
-            missing = {p for _, pieces in part for p in pieces if p not in cache}
-            if missing:
-                before = len(cache)
-                self.learn(list(missing))
-                if len(cache) < before + len(missing):  # the cache was emptied: fetch what it had
-                    self.learn([p for p in {p for _, pieces in part for p in pieces} if p not in cache])
-            for i, pieces in part:
-                out[i] = b"".join(map(cache.__getitem__, pieces))
+                out[i] = self.whole(text)
+        if group:
+            self._encode(group, out)
         return out
 
-
-def id_encoder(tokenizer_json: str, width: int) -> IdEncoder:
-    """The worker's encoder for this vocabulary, kept between tasks."""
-    key = f"ids-{width}-{hash(tokenizer_json)}"
-    return worker_store(key, lambda: {"encoder": IdEncoder(tokenizer_json, width)})["encoder"]
+    def _encode(self, group: list[tuple[int, bytes]], out: list[bytes]) -> None:
+        """Look up all pieces of some texts at once, after learning the new ones."""
+        raw = b"".join([t for _, t in group])
+        ends = np.cumsum([len(t) for _, t in group])
+        data = np.frombuffer(raw, np.uint8)
+        line = data == 10
+        start = line | (data == 32)
+        start[1:] |= line[:-1] | (POINT[data[1:]] & ASCII_LETTER[data[:-1]])
+        start[0] = True
+        start[ends[:-1]] = True
+        first = np.flatnonzero(start)
+        lengths = np.diff(np.append(first, len(data)))
+        longest = int(lengths.max())
+        powers = _POWERS if longest <= len(_POWERS) else np.cumprod(np.full(longest, _BASE))
+        hashes = np.add.reduceat(_OF_BYTE[data] * powers[np.arange(len(data)) - np.repeat(first, lengths)], first)
+        hashes = mixed(hashes + lengths.astype(np.uint64)) | np.uint64(1)  # never zero, the mark of a free slot
+        slots = self.table.slots_of(hashes)
+        new = np.flatnonzero(self.table.keys[slots] == 0)
+        if len(new):
+            distinct, where = np.unique(hashes[new], return_index=True)
+            spots = first[new[where]]
+            before = self.table.count
+            self.table.put(distinct, [self.piece(raw[a:b]) for a, b in zip(spots.tolist(), (spots + lengths[new[where]]).tolist())])
+            if self.table.count != before + len(distinct):  # the table was emptied: learn this group's other pieces again
+                distinct, where = np.unique(hashes, return_index=True)
+                lost = self.table.keys[self.table.slots_of(distinct)] == 0
+                spots = first[where[lost]]
+                self.table.put(distinct[lost], [self.piece(raw[a:b]) for a, b in zip(spots.tolist(), (spots + lengths[where[lost]]).tolist())])
+            slots = self.table.slots_of(hashes)
+        sizes = self.table.sizes[slots].astype(np.int64)
+        stops = np.cumsum(sizes)
+        ids = self.table.ids[np.repeat(self.table.at[slots] - (stops - sizes), sizes) + np.arange(int(stops[-1]))].tobytes()
+        width = self.table.ids.itemsize
+        edges = (stops[np.searchsorted(first, ends, side="left") - 1] * width).tolist()
+        at = 0
+        for (i, _), end in zip(group, edges):
+            out[i], at = ids[at:end], end
 
 
 def load_tokenizer(path: str) -> tuple[str, int]:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tidemark.llm.common import id_encoder, load_tokenizer
+from tidemark.llm.common import IdEncoder, load_tokenizer, slices
 from tidemark.plans.sizing import broadcast_if_small
 from tidemark.session import settle
 
@@ -44,8 +44,8 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokeni
     end = int(end_id).to_bytes(width, "little")
 
     def run(batches):
-        encoder, served = id_encoder(vocabulary, width), {}
-        for batch in batches:
+        encoder, served = IdEncoder(vocabulary, width), {}
+        for batch in slices(batches):
             sources, before, lengths, ids = batch.column(0).to_pylist(), [], [], []
             for name, raw in zip(sources, encoder.encode(batch.column(2).to_pylist())):
                 ids.append(raw + end)
@@ -95,14 +95,17 @@ def quanta(totals: dict, weights: dict | None, window_tokens: int) -> dict:
 
 
 PIECES = [("start", T.LongType()), ("length", T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()),
-          ("offset", T.LongType()), ("source", T.StringType()), ("ids", T.BinaryType())]
+          ("offset", T.LongType()), ("source", T.StringType())]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          length: int = LENGTH, window_tokens: int = WINDOW_TOKENS, weights: dict[str, float] | None = None, end_id: int = END_ID,
-         max_queues: int = QUEUES) -> DataFrame:
+         max_queues: int = QUEUES, digest: bool = False) -> DataFrame:
     """Pieces (id_col, start, length, doc_tokens, sequence_id, offset, source, ids); ``ids`` are little-endian, 2 or 4 bytes wide.
 
+    With ``digest``, ``ids_crc32`` stands in place of ``ids``: the crc32 of the ids as
+    little-endian unsigned 32-bit integers.
+
     Documents are queued in the order in which they are read. A null text is an empty
     document of the end id alone; a null source is a queue; repeated rows are packed as
     often as they occur. With ``weights``, sources not named are served at the least
@@ -132,16 +135,20 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     outer = placed.groupBy("queue", "part").agg(F.sum("n").alias("n")).withColumn("outer", F.sum("n").over(
         Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
     zero = F.lit(0).cast("bigint")
-    heads = settle(inner.join(outer, ["queue", "part"]).select(
+    heads = (inner.join(outer, ["queue", "part"]).select(
         F.col("source").alias("s"), F.col("part").alias("p"), "queue",
-        (F.coalesce("inner", zero) + F.coalesce("outer", zero)).alias("ahead")), "heads")
+        (F.coalesce("inner", zero) + F.coalesce("outer", zero)).alias("ahead")))
     found = tokens.join(broadcast_if_small(heads), F.expr("part = p AND source <=> s")) \
         .select("id", "source", "queue", (F.col("ahead") + F.col("before")).alias("token"), "n_tokens", "ids")
-    schema = T.StructType([T.StructField(id_col, tokens.schema["id"].dataType), *(T.StructField(n, t) for n, t in PIECES)])
+    schema = T.StructType([T.StructField(id_col, tokens.schema["id"].dataType), *(T.StructField(n, t) for n, t in PIECES),
+                           T.StructField("ids_crc32", T.LongType()) if digest else T.StructField("ids", T.BinaryType())])
+
+    def finished(raw: bytes):
+        return zlib.crc32(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()) if digest else raw
 
     def run(batches):
         schedule = Schedule(*plan)
-        for batch in batches:
+        for batch in slices(batches):
             take, rows = [], []
             for i, (queue, token, n, raw) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))):
                 for at, first, count in schedule.spans(queue, token, n):
@@ -150,26 +157,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                         size = min(count - done, length - (at + done) % length)
                         start = first + done - token
                         take.append(i)
-                        rows.append((start, size, n, (at + done) // length, (at + done) % length, raw[start * width:(start + size) * width]))
+                        rows.append((start, size, n, (at + done) // length, (at + done) % length, finished(raw[start * width:(start + size) * width])))
                         done += size
             columns = list(zip(*rows)) if rows else [[]] * 6
             made = [pa.array(c, pa.int64()) for c in columns[:5]]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *made,
-                                              batch.column(1).take(pa.array(take, pa.int64())), pa.array(columns[5], pa.binary())],
-                                             names=[id_col, *(n for n, _ in PIECES)])
+                                              batch.column(1).take(pa.array(take, pa.int64())), pa.array(columns[5], pa.int64() if digest else pa.binary())],
+                                             names=schema.names)
 
     return found.mapInArrow(run, schema)
-
-
-def with_crc(pieces: DataFrame, width: int) -> DataFrame:
-    """``ids`` replaced by ``ids_crc32``: the crc32 of the ids as little-endian unsigned 32-bit integers."""
-    fields = [f for f in pieces.schema.fields if f.name != "ids"]
-
-    def run(batches):
-        for batch in batches:
-            crcs = [zlib.crc32(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
-                    for raw in batch.column(batch.schema.get_field_index("ids")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in fields), pa.array(crcs, pa.int64())],
-                                             names=[*(f.name for f in fields), "ids_crc32"])
-
-    return pieces.mapInArrow(run, T.StructType([*fields, T.StructField("ids_crc32", T.LongType())]))

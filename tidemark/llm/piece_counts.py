@@ -15,19 +15,12 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import CACHE_ENTRIES, map_texts, worker_store, words_of
+from tidemark.llm.common import CACHE_ENTRIES, byte_alphabet, map_texts, words_of
 
-#: What marks a word start in byte-level vocabularies, and the classes of bytes that stand for themselves there.
+#: What marks a word start in byte-level vocabularies.
 WORD_START = "Ġ"
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Character of a byte-level vocabulary to byte: printable bytes are themselves, the others follow from 256 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in printable]
-    return {**{chr(b): b for b in printable}, **{chr(256 + i): b for i, b in enumerate(rest)}}
-
-
 def read_vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
     """(pieces that start a word, pieces inside words) of a byte-level tokenizer file; the space of word starts is cut off."""
     with open(path, encoding="utf-8") as f:
@@ -141,10 +134,9 @@ def piece_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
     shuffle; the automaton's size is that of the vocabulary.
     """
     automaton = build(*read_vocabulary(vocabulary_path))
-    name = f"pieces-{vocabulary_path}-{len(automaton.keys)}"
 
     def start():
-        counter = worker_store(name, lambda: {"counter": Counter(automaton)})["counter"]
+        counter = Counter(automaton)
 
         def work(texts):
             for text in texts:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import (blockmax_search, forest_join, huffman_store, language_profiles, packing, piece_counts, poisson_mix, repetition,
                            subword_classifier, wrapper_extraction)
-from tidemark.llm.common import load_tokenizer, read_table, remainder
+from tidemark.llm.common import read_table, remainder
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,9 +33,7 @@ def op4_huffman_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(TOKENIZER)
-    pieces = packing.pack(read_table(spark, sf_dir, "documents"), path)
-    return packing.with_crc(pieces, load_tokenizer(path)[1])
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), digest=True)
 
 
 def op6_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:

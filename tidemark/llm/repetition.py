@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import SPACES, map_texts, words_of
+from tidemark.llm.common import SPACES, map_texts, slices, words_of
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SYMBOLS = "#*$%&|<>"
@@ -108,7 +108,7 @@ def keep_passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass every rule, with all columns as they were."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             verdict = [measure(t)[6] for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield batch.filter(pa.array(verdict, type=pa.bool_()))
 

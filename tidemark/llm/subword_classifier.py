@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import CACHE_ENTRIES, map_texts, words_of
+from tidemark.llm.common import CACHE_ENTRIES, map_texts, slices, words_of
 
 #: Labelled rows used for training at most; those with the lowest hash of their id.
 SAMPLE_ROWS = 3000
@@ -85,7 +85,7 @@ class Features:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Know the words of these texts from now on."""
-        if len(self.words) > CACHE_ENTRIES // 4:
+        if len(self.words) > CACHE_ENTRIES:
             self.reset()
         unseen: set[str] = set()
         for words in texts:
@@ -272,7 +272,7 @@ def keep_positive(docs: DataFrame, model: Model | None, text_col: str = "text",
 
     def run(batches):
         score = make()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([s >= threshold for s in score(texts)], type=pa.bool_()))
 

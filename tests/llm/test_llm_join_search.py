@@ -2,12 +2,15 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from tidemark.llm import blockmax_search, forest_join
+from tidemark.llm.common import WORD_BYTES, hashed_words
 
 
 def corpus():
@@ -25,7 +28,7 @@ def corpus():
     seed = [rng.choice(words) for _ in range(150)]
     for i in range(90):  # one large group of near copies
         copy = list(seed)
-        copy[rng.randrange(150)] = f"x{i}"
+        copy[rng.randrange(150)] = f"X{i}-é, (y)"
         docs.append(" ".join(copy))
     docs += ["short one", "short one", "", None, None, "  ", docs[0], docs[0], docs[-1]]
     return [(i * 3 + 1, t) for i, t in enumerate(docs)]
@@ -91,20 +94,20 @@ def test_recall_of_candidates():
 
 
 def bm25(rows, queries, k):
-    strip = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-    vectors = [(i, Counter(w for w in (x.strip(strip) for x in (t or "").lower().split()) if w)) for i, t in rows]
+    cut = re.compile(r"[^\x09-\x0d\x20-/:-@\[-`{-~]+")
+    vectors = [(i, Counter(cut.findall((t or "").lower()))) for i, t in rows]
     n, mean = len(vectors), sum(sum(v.values()) for _, v in vectors) / len(vectors)
     df = Counter(t for _, v in vectors for t in v)
     out = {}
     for q, text in queries:
-        wanted = Counter(w for w in (x.strip(strip) for x in (text or "").lower().split()) if w)
+        wanted = Counter(cut.findall((text or "").lower()))
         scored = []
         for i, v in vectors:
             length = sum(v.values())
             parts = [v[t] * 2.2 / (v[t] + 1.2 * (0.25 + 0.75 * length / mean)) * (f * math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)))
                      for t, f in wanted.items() if t in v]
             if parts:
-                scored.append((-math.fsum(parts), i))
+                scored.append((-round(math.fsum(parts), 9), i))
         out[q] = sorted(scored)[:k]
     return out
 
@@ -127,3 +130,15 @@ def test_search_edges(spark):
     some = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (None, "a"), (4, "..."), (1, "a b")], "doc_id bigint, text string")
     assert blockmax_search.top_k(empty, empty).count() == 0 and blockmax_search.top_k(some, empty).count() == 0
     assert [(r.query_id, r.doc_id) for r in blockmax_search.top_k(some, some).collect()] == [(1, 1), (1, 1)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n\té\x0b.x漢", max_size=60))
+def test_word_hashes_tell_words_apart(text):
+    words = re.findall(r"[^\x20\x09-\x0d]+", text)
+    hashes = hashed_words(text, WORD_BYTES).tolist()
+    assert len(hashes) == len(words) and len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
+
+
+def test_hash_of_a_very_long_word():
+    assert len(hashed_words("x" * 100_000 + " y", WORD_BYTES)) == 2

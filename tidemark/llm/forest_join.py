@@ -21,9 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import CACHE_ENTRIES, words_of
+from tidemark.llm.common import WORD_BYTES, hashed_words, mixed, slices
 from tidemark.plans.components import connected_components
-from tidemark.plans.sizing import keep_parallel
+from tidemark.plans.sizing import broadcast_if_small, keep_parallel
 from tidemark.session import settle
 
 SIZE = 5
@@ -44,35 +44,16 @@ def prefix_depth(threshold: float = THRESHOLD, target: float = TARGET, trees: in
     return depth
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingler:
-    """Sets of word n-gram hashes. A text of fewer words than ``size`` is one n-gram of all its words."""
-
-    def __init__(self, size: int = SIZE):
-        self.size, self.hashes = size, {}
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = words_of(text or "")
-        known = self.hashes
-        if len(known) > CACHE_ENTRIES // 2:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        ids = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        if not words:
-            return ids
-        n = min(self.size, len(words))
-        rolled = np.full(len(words) - n + 1, n, np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(n):
-                rolled = rolled * BASE + ids[j:len(ids) - n + 1 + j]
-        return np.unique(_mix(rolled))
+def gram_set(text: str | None, size: int = SIZE) -> np.ndarray:
+    """Sorted hashes of a text's word n-grams. A text of fewer words than ``size`` is one n-gram of all its words."""
+    ids = hashed_words(text, WORD_BYTES)
+    if not len(ids):
+        return ids
+    n = min(size, len(ids))
+    rolled = np.full(len(ids) - n + 1, n, np.uint64)
+    for j in range(n):
+        rolled = rolled * BASE + ids[j:len(ids) - n + 1 + j]
+    return np.unique(mixed(rolled))
 
 
 def signer(trees: int, depth: int):
@@ -83,16 +64,15 @@ def signer(trees: int, depth: int):
 
     def sign(members: np.ndarray) -> np.ndarray:
         least = np.full(trees * depth, np.iinfo(np.uint64).max)
-        with np.errstate(over="ignore"):
-            for start in range(0, len(members), 2048):
-                part = members[start:start + 2048]
-                values = factors[:, None] * part[None, :] + shifts[:, None]
-                least = np.minimum(least, (values ^ (values >> np.uint64(32))).min(axis=1))
-            rows = _mix(least).reshape(trees, depth)
-            prefix = np.zeros(trees, np.uint64)
-            for j in range(depth):
-                prefix = prefix * BASE + rows[:, j]
-        return _mix(prefix)
+        for start in range(0, len(members), 2048):
+            part = members[start:start + 2048]
+            values = factors[:, None] * part[None, :] + shifts[:, None]
+            least = np.minimum(least, (values ^ (values >> np.uint64(32))).min(axis=1))
+        rows = mixed(least).reshape(trees, depth)
+        prefix = np.zeros(trees, np.uint64)
+        for j in range(depth):
+            prefix = prefix * BASE + rows[:, j]
+        return mixed(prefix)
 
     return sign
 
@@ -103,11 +83,11 @@ def signatures(rows: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
                            T.StructField("prefixes", T.BinaryType())])
 
     def run(batches):
-        shingler, sign = Shingler(size), signer(trees, depth)
-        for batch in batches:
+        sign = signer(trees, depth)
+        for batch in slices(batches):
             keys, prefixes = [], []
             for text in batch.column(2).to_pylist():
-                members = shingler.of(text)
+                members = gram_set(text, size)
                 keys.append(xxhash.xxh3_128_digest(members.astype("<u8").tobytes()) if len(members) else None)
                 prefixes.append(sign(members).astype("<u8").tobytes() if len(members) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(prefixes, pa.binary())],
@@ -121,9 +101,8 @@ def gram_sets(rows: DataFrame, size: int) -> DataFrame:
     rest = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batches):
-        shingler = Shingler(size)
-        for batch in batches:
-            grams = [shingler.of(t).astype("<u8").tobytes() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        for batch in slices(batches):
+            grams = [gram_set(t, size).astype("<u8").tobytes() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in rest), pa.array(grams, pa.binary())],
                                              names=[*(f.name for f in rest), "grams"])
 
@@ -266,12 +245,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .withColumn("block", F.pmod(F.xxhash64("rep", "prefix"), parts).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
               .select("rep", "tree", "prefix", "block", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1")))
-    # Only texts with a candidate are read again and turned into sets.
+    # Only texts with a candidate are turned into sets. Their ids are broadcast while counted small; else all texts are shuffled once.
     needed = classes.join(member.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("text_hash").alias("h"), "n_docs", "prefixes")
-    texts = (rows.filter("id IS NOT NULL").join(needed, F.expr("id = rep AND text_hash = h")).dropDuplicates(["id", "text_hash"])
-             .select("rep", "n_docs", "prefixes", "text"))
+    texts = rows.filter("id IS NOT NULL").join(broadcast_if_small(needed), F.expr("id = rep AND text_hash = h")) \
+        .select("rep", "n_docs", "prefixes", "text")
+    sets = gram_sets(texts, size).dropDuplicates(["rep"])  # rows may repeat
     run_keys = ["tree", "prefix", "b0", "b1"]
-    loaded = member.join(gram_sets(texts, size), "rep").select(*run_keys, F.col("rep").alias("id"), "n_docs", "grams", "prefixes", "block")
+    loaded = member.join(sets, "rep").select(*run_keys, F.col("rep").alias("id"), "n_docs", "grams", "prefixes", "block")
     dealt = keep_parallel(loaded, *run_keys).sortWithinPartitions(*run_keys)
     found = settle(dealt.mapInArrow(_verify(trees, threshold), VERIFIED), "links")
 
@@ -305,6 +285,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = "kept_" + max(docs.columns, key=len)
     lowest = joined.filter(F.col("class_id") == F.col(id_col)).groupBy(F.col(id_col).alias(made)).agg(F.count(F.lit(1)).alias("n"))
     single, several = lowest.filter("n = 1").select(made), lowest.filter("n > 1").select(made)
-    once = docs.join(single, own == F.col(made), "left_semi")
-    repeated = docs.join(several, own == F.col(made), "left_semi").dropDuplicates([id_col])
+    once = docs.join(broadcast_if_small(single), own == F.col(made), "left_semi")
+    repeated = docs.join(broadcast_if_small(several), own == F.col(made), "left_semi").dropDuplicates([id_col])
     return once.unionByName(repeated).unionByName(docs.filter(F.col(id_col).isNull()))

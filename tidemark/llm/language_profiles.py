@@ -8,109 +8,92 @@ profile lacks costs the full profile length. The nearest language wins.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import CACHE_ENTRIES, map_texts
+from tidemark.llm.common import map_texts, slices, worker_store
 
 PROFILE = 400
-SIZES = (1, 2, 3)
-LETTERS = re.compile(r"[^\W\d_]+")
 MARK = ord("_")
+#: An n-gram's code holds its code points, this many bits each, so it is exact and sorts alike everywhere.
 BITS = 21
+#: The same for texts whose letters all lie below NARROW: half the bytes to sort.
+NARROW_BITS, NARROW = 10, 1 << 10
 UNKNOWN = "und"
 #: Languages at most; there are fewer codes than this in the widest standard.
 LANGUAGES = 10_000
-
-
-def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, n-gram code) of every n-gram; a code holds the code points themselves, so it is exact and sorts alike everywhere."""
-    codes = np.frombuffer("".join([f"_{w}_" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    word = np.repeat(np.arange(len(words)), lengths)
-    left = (np.cumsum(lengths))[word] - np.arange(len(codes))
-    of, made, rolled = [], [], codes
-    for n in range(1, max(SIZES) + 1):
-        if n > 1:
-            rolled = (rolled[:-1] << BITS) | codes[n - 1:]
-        if n in SIZES:
-            at = np.flatnonzero(left[:len(rolled)] >= n)
-            at = at[rolled[at] != MARK]
-            of.append(word[at])
-            made.append(rolled[at])
-    return np.concatenate(of), np.concatenate(made)
-
-
-def letters_of(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
-
-
-class Grams:
-    """Numbers n-grams as they turn up and keeps each word's numbers, within a bound."""
+#: Distinct n-grams that a task gathers before it adds them up.
+HELD = 2_000_000
+
+
+def letter_table() -> np.ndarray:
+    """Whether each code point is a letter, made once per worker."""
+    return worker_store("letters", lambda: {"is": np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)})["is"]
+
+
+def grams_of(text: str | None, letters: np.ndarray) -> tuple[np.ndarray, int]:
+    """(codes of all n-grams of the text's lower-cased words, bits per letter in them). Words are runs of letters."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = letters[codes]
+    if not inside.any():
+        return np.zeros(0, np.int64), BITS
+    # One mark between two words serves both: n-grams with a mark in the middle are left out.
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    marked = np.where(inside, codes, MARK)[keep]
+    word = inside[keep]
+    wide = int(marked.max()) >= NARROW
+    bits = BITS if wide else NARROW_BITS
+    edge = np.zeros(1, bool)
+    marked = np.concatenate(([MARK], marked, [MARK])).astype(np.int64 if wide else np.int32)
+    word = np.concatenate((edge, word, edge))
+    two = marked[:-1] << bits | marked[1:]
+    three = two[:-1] << bits | marked[2:]
+    return np.concatenate([marked[word], two[word[:-1] | word[1:]], three[word[1:-1]]]), bits
+
+
+def counted(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes with BITS per letter, counts)."""
+    ordered = np.sort(codes)
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    counts = np.diff(np.append(first, len(ordered)))
+    distinct = ordered[first].astype(np.int64)
+    if bits != BITS:
+        low = (1 << bits) - 1
+        distinct = (distinct >> 2 * bits) << 2 * BITS | (distinct >> bits & low) << BITS | distinct & low
+    return distinct, counts
+
+
+class Profiles:
+    """Ranks of the n-grams of all profiles, by code."""
 
     def __init__(self, profiles: dict[str, list[int]]):
-        self.languages = sorted(profiles)
-        self.rank_of = [{g: r for r, g in enumerate(profiles[name])} for name in self.languages]
-        self.reset()
-
-    def reset(self) -> None:
-        self.words: dict[str, np.ndarray] = {}
-        self.numbers: dict[int, int] = {}
-        self.codes = np.zeros(0, np.int64)
-        self.ranks = np.zeros((0, len(self.languages)), np.int32)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE_ENTRIES // 8 or len(self.numbers) > 1 << 16:
-            self.reset()
-        new = [w for w in words if w not in self.words]
-        if not new:
-            return
-        of, codes = grams_of(new)
-        distinct, at = np.unique(codes, return_inverse=True)
-        numbers = self.numbers
-        fresh = [c for c in distinct.tolist() if c not in numbers]
-        for c in fresh:
-            numbers[c] = len(numbers)
-        if fresh:
-            self.codes = np.append(self.codes, np.array(fresh, np.int64))
-            ranks = [[ranks.get(c, PROFILE) for ranks in self.rank_of] for c in fresh]
-            self.ranks = np.concatenate([self.ranks, np.array(ranks, np.int32).reshape(len(fresh), len(self.languages))])
-        made = np.fromiter(map(numbers.__getitem__, distinct.tolist()), np.int64, len(distinct))[at]
-        order = np.argsort(of, kind="stable")
-        parts = np.split(made[order], np.cumsum(np.bincount(of, minlength=len(new)))[:-1])
-        self.words.update(zip(new, parts))
-
-    def top(self, words: list[str]) -> np.ndarray:
-        """Numbers of the most frequent n-grams, by falling count, then by code."""
-        counted = Counter(words)
-        self.learn(set(counted))
-        parts = [self.words[w] for w in counted]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        weights = np.repeat(np.fromiter(counted.values(), np.float64, len(parts)), sizes)
-        flat = np.concatenate(parts)
-        if len(flat) * 4 > len(self.codes):
-            counts = np.bincount(flat, weights)
-            present = np.flatnonzero(counts)
-            counts = counts[present]
-        else:
-            present, at = np.unique(flat, return_inverse=True)
-            counts = np.bincount(at, weights)
-        if len(present) > PROFILE:
-            least = np.partition(counts, len(counts) - PROFILE)[len(counts) - PROFILE]
-            keep = counts >= least
-            present, counts = present[keep], counts[keep]
-        return present[np.lexsort((self.codes[present], -counts))][:PROFILE]
+        self.languages, self.letters = sorted(profiles), letter_table()
+        self.codes = np.unique(np.array([c for p in profiles.values() for c in p] + [-1], np.int64))
+        self.ranks = np.full((len(self.codes), len(self.languages)), PROFILE, np.int32)
+        for j, name in enumerate(self.languages):
+            own = np.array(profiles[name], np.int64)
+            self.ranks[np.searchsorted(self.codes, own), j] = np.arange(len(own))
+
+    def top(self, text: str | None) -> np.ndarray:
+        """Codes of the text's most frequent n-grams, by falling count, then by code."""
+        codes, bits = grams_of(text, self.letters)
+        if not len(codes):
+            return codes
+        distinct, counts = counted(codes, bits)
+        if len(distinct) > PROFILE:
+            keep = counts >= np.partition(counts, len(counts) - PROFILE)[len(counts) - PROFILE]
+            distinct, counts = distinct[keep], counts[keep]
+        return distinct[np.lexsort((distinct, -counts))][:PROFILE]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = letters_of(text)
-        if not words or not self.languages:
+        top = self.top(text)
+        if not len(top) or not self.languages:
             return UNKNOWN, 0.0
-        top = self.top(words)
-        ranks = self.ranks[top]
+        at = np.searchsorted(self.codes, top)
+        at[at == len(self.codes)] = 0
+        ranks = np.where((self.codes[at] == top)[:, None], self.ranks[at], PROFILE)
         own = np.arange(len(top), dtype=np.int32)[:, None]
         distance = np.where(ranks < PROFILE, np.abs(ranks - own), PROFILE).sum(axis=0)
         best = int(distance.argmin())
@@ -120,7 +103,7 @@ class Grams:
 def learn_profiles(docs: DataFrame, text_col: str, lang_col: str, size: int = PROFILE) -> dict[str, list[int]]:
     """Per language its ``size`` most frequent n-grams (ties by code), from all rows with a language.
 
-    Each task counts words and sends one row per language and n-gram; the sums run as a
+    Each task adds up n-grams and sends one row per language and n-gram; the sums run as a
     partial and a final aggregation, and the ranking keeps ``size`` rows per language
     before its shuffle. What the driver gets is bounded by ``LANGUAGES`` times ``size``.
     """
@@ -128,25 +111,37 @@ def learn_profiles(docs: DataFrame, text_col: str, lang_col: str, size: int = PR
         .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches):
-        counts: dict[str, Counter] = {}
+        letters = letter_table()
+        held: dict[str, list] = {}
+        size = 0
+
+        def summed(parts):
+            codes, counts = (np.concatenate(x) for x in zip(*parts))
+            distinct, at = np.unique(codes, return_inverse=True)
+            return distinct, np.bincount(at, counts).astype(np.int64)
 
         def flush():
-            for lang, words in counts.items():
-                if words:
-                    of, codes = grams_of(list(words))
-                    distinct, at = np.unique(codes, return_inverse=True)
-                    n = np.bincount(at, np.fromiter(words.values(), np.float64, len(words))[of]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct, pa.int64()),
-                                                      pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-            counts.clear()
-
-        for batch in batches:
+            for lang, parts in held.items():
+                distinct, counts = summed(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct, pa.int64()),
+                                                  pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
+            held.clear()
+
+        for batch in slices(batches):
+            found: dict[tuple[str, int], list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts.setdefault(lang, Counter()).update(letters_of(text))
-                if len(counts) > 512:
+                codes, bits = grams_of(text, letters)
+                found.setdefault((lang, bits), []).append(codes)
+            for (lang, bits), parts in found.items():
+                codes = np.concatenate(parts)
+                if len(codes):
+                    held.setdefault(lang, []).append(counted(codes, bits))
+            size = sum(len(p[0]) for parts in held.values() for p in parts)
+            if size > HELD:
+                for lang, parts in held.items():
+                    held[lang] = [summed(parts)]
+                if sum(len(p[0]) for parts in held.values() for p in parts) > HELD // 2 or len(held) > 512:
                     yield from flush()
-            if sum(map(len, counts.values())) > CACHE_ENTRIES // 2:
-                yield from flush()
         yield from flush()
 
     summed = rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -169,8 +164,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     """
 
     def start():
-        grams = Grams(profiles)
-        return lambda texts: map(grams.predict, texts)
+        known = Profiles(profiles)
+        return lambda texts: map(known.predict, texts)
 
     return map_texts(docs, [text_col], kept or [docs.columns[0]], {"lang_pred": "string", "score": "double"}, start)
 

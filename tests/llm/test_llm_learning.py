@@ -37,8 +37,8 @@ def test_profiles_and_distance_by_hand(spark):
     assert profiles == {"x": [code(g) for g in grams(["aab", "aab", "ab"])], "y": [code(g) for g in grams(["ccd"])]}
     own, ranks = grams(["ab", "b"]), {g: i for i, g in enumerate(grams(["aab", "aab", "ab"]))}
     distance = sum(abs(i - ranks[g]) if g in ranks else lp.PROFILE for i, g in enumerate(own))
-    assert lp.Grams(profiles).predict("ab b") == ("x", 1 - distance / (lp.PROFILE * len(own)))
-    edges = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (3, "12 ... !", "q"), (4, "ab " * 20000, "q"), (4, "ab", "q"), (None, "漢字", "q")],
+    assert lp.Profiles(profiles).predict("ab b") == ("x", 1 - distance / (lp.PROFILE * len(own)))
+    edges = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (3, "12 ½ Ⅷ ... !", "q"), (4, "ab " * 20000, "q"), (4, "ab", "q"), (None, "漢字", "q")],
                                   "doc_id bigint, text string, lang_pred string")
     got = [(r.doc_id, r.lang_pred) for r in lp.identify(edges, profiles, kept=["doc_id"]).collect()]
     assert got == [(1, "und"), (2, "und"), (3, "und"), (4, "x"), (4, "x"), (None, "x")]
@@ -56,8 +56,8 @@ def test_classifier_held_out(spark):
 
 def test_word_numbers_equal_the_document_vector():
     text = "Some words, some other words and words again " * 3
-    model = sc.train_on([sc.Counter().counted(text), sc.Counter().counted("b c d e")], [1, 0], epochs=3)
-    buckets, counts = sc.Counter().counted(text)
+    model = sc.train_on(sc.Counter().counted([text, "b c d e"]), [1, 0], epochs=3)
+    [(buckets, counts)] = sc.Counter().counted([text])
     hidden = (counts / counts.sum()) @ model.vectors[buckets].astype(float)
     logits = model.output.astype(float) @ hidden + model.bias
     want = math.exp(logits[1]) / np.exp(logits).sum()

@@ -118,24 +118,28 @@ class Features:
 
 
 class Counter(Features):
-    """Keeps each word's buckets, to train on."""
+    """Keeps each word's buckets, to train on, in one flat array."""
 
     def reset(self) -> None:
         super().reset()
-        self.flat: list[np.ndarray] = []
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, of: np.ndarray, made: np.ndarray, n: int) -> None:
-        order = np.argsort(of, kind="stable")
-        self.flat.extend(np.split(made[order], np.cumsum(np.bincount(of, minlength=n))[:-1]))
+        sizes = np.bincount(of, minlength=n)
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.flat = np.append(self.flat, made[np.argsort(of, kind="stable")].astype(np.int32))
 
-    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct buckets of a text and how often each occurs."""
-        words = words_of(text or "")
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.learn([words])
-        ids = self.ids(words)
-        return np.unique(np.concatenate([*(self.flat[i] for i in ids.tolist()), self.context(ids)]), return_counts=True)
+    def counted(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Distinct buckets of each text and how often each occurs."""
+        cut = [words_of(t or "") for t in texts]
+        self.learn(cut)
+        return [self._count(self.ids(words)) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for words in cut]
+
+    def _count(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[ids]
+        at = np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return np.unique(np.concatenate([self.flat[at], self.context(ids)]), return_counts=True)
 
 
 def train_on(features: list[tuple[np.ndarray, np.ndarray]], labels: list, buckets: int = BUCKETS, dims: int = DIMENSIONS,
@@ -182,11 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     def train(batches):
         counter, made, wanted = Counter(), [], []
-        for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                buckets, counts = counter.counted(text)
-                made.append((buckets.astype(np.uint32), counts.astype(np.float32)))
-                wanted.append(label)
+        for batch in slices(batches):
+            made += [(buckets.astype(np.uint32), counts.astype(np.float32)) for buckets, counts in counter.counted(batch.column(1).to_pylist())]
+            wanted += batch.column(0).to_pylist()
         if wanted:
             model = train_on(made, wanted)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.vectors, model.output, model.bias)]

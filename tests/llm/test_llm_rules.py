@@ -83,8 +83,8 @@ def test_ids_by_piece_equal_ids_of_the_whole(encoder, text):
     assert encoder.encode(texts) == [whole(encoder, t) for t in texts]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=["a", "B", "é", " ", "\n", "\t", ".", ",", "'", "s", "1", "\x1c", "　", "\0", "…", "漢"], max_size=40), max_size=6))
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.text(alphabet=["a", "B", "é", " ", "\n", "\t", "\r", "\v", ".", ",", "'", "s", "1", "\x1c", "　", "\0", "…", "漢"], max_size=40), max_size=6))
 def test_ids_of_any_text(encoder, texts):
     assert encoder.encode(texts) == [whole(encoder, t) for t in texts]
 
@@ -112,3 +112,9 @@ def test_table_keeps_what_it_is_given():
     slots = table.slots_of(keys)
     assert (table.keys[slots] == keys).all() and (table.sizes[slots] == np.arange(len(keys)) % 4).all()
     assert (table.keys[table.slots_of(keys + np.uint64(2))] != keys + np.uint64(2)).sum() >= len(keys) - 5
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\ta.", max_size=14), min_size=2, max_size=5))
+def test_ids_around_white_space(encoder, texts):
+    assert encoder.encode(texts) == [whole(encoder, t) for t in texts]

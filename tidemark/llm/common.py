@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import sys
@@ -67,10 +68,17 @@ SLICE_ROWS = 500
 
 
 def slices(batches):
-    """The batches in parts of at most SLICE_ROWS rows, without copying; empty ones are left out."""
+    """The batches in parts of at most SLICE_ROWS rows, without copying; empty ones are left out.
+
+    After the last one, memory that the worker holds but does not use goes back to the system.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(start, SLICE_ROWS)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library that most systems have
+    if trim is not None:
+        trim(0)
 
 
 def words_of(text: str) -> list[str]:
@@ -127,8 +135,6 @@ def map_texts(df: DataFrame, inputs: list[str], kept: list[str], made: dict[str,
 
 # Token ids
 
-#: What rules out that all white space is single spaces and line ends between words; the zero byte is the cutting mark.
-_NOT_SINGLE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f", "\0")
 def byte_alphabet() -> dict[str, int]:
     """Character of a byte-level vocabulary to byte: printable bytes are themselves, the others follow from 256 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -191,6 +197,8 @@ class IdTable:
         self.place(keys, at, sizes)
 
 
+#: A word of plain letters, with a space before it or not, and one to three points after it. The pre-tokenizer cuts between the two.
+_WORD_AND_POINTS = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]{1,3})?")
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 POINT = ~_bytes_but(".,;:!?")
@@ -200,10 +208,10 @@ class IdEncoder:
     """Token ids of whole texts as little-endian bytes, through the tokenizers library, which sees each piece of text once.
 
     A text's ids are the ids of its pieces one after another, because the pre-tokenizer
-    never joins characters over a piece's edge: pieces start at spaces between words, at and
-    after line ends between words, and where points follow a plain letter. Pieces are known
-    by a 64-bit hash. Texts for which the edges are not known (other white space, added
-    tokens, another pre-tokenizer) are encoded whole.
+    never joins characters over a piece's edge: pieces start where white space follows a
+    word, after a single line end or tab, and where points follow a plain letter. Pieces
+    are known by a 64-bit hash. Texts for which the edges are not known (white space beyond
+    ASCII, added tokens, another pre-tokenizer) are encoded whole.
     """
 
     def __init__(self, tokenizer_json: str, width: int = 4):
@@ -219,22 +227,33 @@ class IdEncoder:
                          and str(self.tokenizer.model).startswith("BPE("))
         self.letters = {b: c for c, b in byte_alphabet().items()}
         self.space, self.model = self.letters[32], self.tokenizer.model
-        self.table = IdTable(self.type)
+        self.table, self.points, self.swapped = IdTable(self.type), {}, sys.byteorder != "little"
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
 
     def piece(self, raw: bytes) -> bytes:
+        """Ids of one piece. Plain words are one pre-token, whose bytes the model alone merges."""
         word = raw[1:] if raw[:1] == b" " else raw
-        if word.isalpha():  # ASCII letters, one pre-token: the model alone merges its bytes
-            spelled = word.decode() if word is raw else self.space + word.decode()
-            return array(self.kind, [t.id for t in self.model.tokenize(spelled)]).tobytes() if sys.byteorder == "little" else self.whole(raw.decode())
-        return self.whole(raw.decode("utf-8", "surrogatepass"))
+        if word.isalpha():  # ASCII letters
+            return self.merged(word.decode() if word is raw else self.space + word.decode())
+        found = _WORD_AND_POINTS.fullmatch(raw.decode("utf-8", "surrogatepass"))
+        if found is None:
+            return self.whole(raw.decode("utf-8", "surrogatepass"))
+        ids = self.merged(found[1].encode().decode("latin-1").translate(self.letters))
+        if not found[2]:
+            return ids
+        if found[2] not in self.points:
+            self.points[found[2]] = self.whole(found[2])
+        return ids + self.points[found[2]]
+
+    def merged(self, spelled: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(spelled)], self.type).tobytes() if self.swapped else \
+            array(self.kind, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def simple(self, text: str) -> bool:
-        """All white space is single spaces and line ends between words, and no added token occurs."""
-        return not (text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, _NOT_SINGLE)) or WIDE_SPACE.search(text)
-                    or any(map(text.__contains__, self.added)))
+        """All white space is ASCII, and no added token occurs."""
+        return not (WIDE_SPACE.search(text) or any(map(text.__contains__, self.added)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
@@ -260,9 +279,14 @@ class IdEncoder:
         raw = b"".join([t for _, t in group])
         ends = np.cumsum([len(t) for _, t in group])
         data = np.frombuffer(raw, np.uint8)
-        line = data == 10
-        start = line | (data == 32)
-        start[1:] |= line[:-1] | (POINT[data[1:]] & ASCII_LETTER[data[:-1]])
+        blank = ~WORD_BYTES[data]
+        run = blank.copy()  # first of a run of white space: the pre-tokenizer always cuts before it
+        run[1:] &= ~blank[:-1]
+        alone = run.copy()
+        alone[:-1] &= ~blank[1:]
+        alone &= data != 32  # a single one but a space is a token of its own
+        start = run
+        start[1:] |= alone[:-1] | (POINT[data[1:]] & ASCII_LETTER[data[:-1]])
         start[0] = True
         start[ends[:-1]] = True
         first = np.flatnonzero(start)

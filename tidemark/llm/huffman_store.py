@@ -2,7 +2,7 @@
 
 A store is a folder of two Parquet tables. ``codebook`` has one row per used id: its code
 length. ``blocks`` has one row per block of whole documents, files and rows in ascending
-document order: the packed codes, the bit lengths of every STRIDE ids (checkpoints), and
+document order: the ids before it in its file, the packed codes, the bit lengths of every STRIDE ids (checkpoints), and
 the documents' ids and token counts. A block needs nothing but the codebook to be
 decoded. Codes come from the counts of all ids; canonical codes follow from the lengths,
 so only those are stored. Decoding looks up MAX_BITS bits at a time in one table and runs
@@ -15,9 +15,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.llm.common import id_encoder, load_tokenizer
+from tidemark.llm.common import IdEncoder, load_tokenizer, slices
 from tidemark.session import scratch_path, settle
 
 MAX_BITS = 20
@@ -140,8 +140,8 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str,
     end = int(end_id).to_bytes(width, "little")
 
     def run(batches):
-        encoder = id_encoder(vocabulary, width)
-        for batch in batches:
+        encoder = IdEncoder(vocabulary, width)
+        for batch in slices(batches):
             ids = [raw + end for raw in encoder.encode(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["id", "text_hash", "ids"])
 
@@ -204,22 +204,22 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
         .coalesce(1).write.parquet(f"{path}/codebook")
     ordered = tokens.repartitionByRange("id", "text_hash").sortWithinPartitions("id", "text_hash").withColumn("shard", F.spark_partition_id())
     id_type = tokens.schema["id"]
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("n_tokens", T.LongType()),
-                           T.StructField("codes", T.BinaryType()), T.StructField("marks", T.BinaryType()),
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("before", T.LongType()),
+                           T.StructField("n_tokens", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("marks", T.BinaryType()),
                            T.StructField("ids", T.ArrayType(id_type.dataType)), T.StructField("lengths", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        encoder, number, shard = Encoder(lengths), 0, None
+        encoder, number, shard, before = Encoder(lengths), 0, None, 0
         names, sizes, raws, held = [], [], [], 0
 
         def close():
             packed = encoder.pack(np.frombuffer(b"".join(raws), f"<u{width}").astype(np.int64))
             return pa.RecordBatch.from_pydict({
-                "shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "n_tokens": pa.array([held], pa.int64()),
+                "shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "before": pa.array([before], pa.int64()), "n_tokens": pa.array([held], pa.int64()),
                 "codes": pa.array([packed[0]], pa.binary()), "marks": pa.array([packed[1]], pa.binary()),
                 "ids": pa.array([names], pa.list_(id_arrow)), "lengths": pa.array([sizes], pa.list_(pa.int64()))})
 
-        for batch in batches:
+        for batch in slices(batches):
             id_arrow = batch.column(0).type
             for name, raw, shard in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 names.append(name)
@@ -228,27 +228,26 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
                 held += sizes[-1]
                 if held >= block_tokens:
                     yield close()
-                    number, names, sizes, raws, held = number + 1, [], [], [], 0
+                    number, before, names, sizes, raws, held = number + 1, before + held, [], [], [], 0
         if names:
             yield close()
 
     ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
+def read_store(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """(id, start, n_tokens, ids) per stored document, decoded from the files; ``ids`` are little-endian 32-bit.
 
-    ``start`` counts the ids of all documents before it: the block's place comes from a
-    running sum over the blocks' token counts, per shard and then over the shards' totals.
+    With ``digest``, ``ids_crc32`` stands in place of ``ids``.
+
+    ``start`` counts the ids of all documents before it: a block knows the ids before it in
+    its shard, and the shards' totals are summed up in order.
     """
     book = spark.read.parquet(f"{path}/codebook").collect()  # one row per id of the vocabulary
     lengths = np.zeros(max((r.token for r in book), default=-1) + 1, np.uint8)
     for r in book:
         lengths[r.token] = r.bits
     blocks = spark.read.parquet(f"{path}/blocks")
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    inner = blocks.select("shard", "block", "n_tokens").withColumn("inner", F.coalesce(F.sum("n_tokens").over(before), zero)).drop("n_tokens")
     # One row per shard, that is per file.
     totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
     heads, head = [], 0
@@ -256,11 +255,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         heads.append((r.shard, head))
         head += r.n
     heads = F.broadcast(spark.createDataFrame(heads, "shard int, head bigint"))
-    placed = blocks.join(inner, ["shard", "block"]).join(heads, "shard").select((F.col("head") + F.col("inner")).alias("at"), "n_tokens", "codes",
-                                                                                 "marks", "ids", "lengths")
+    placed = blocks.join(heads, "shard").select((F.col("head") + F.col("before")).alias("at"), "n_tokens", "codes", "marks", "ids", "lengths")
     id_type = blocks.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids", T.BinaryType())])
+                           T.StructField("ids_crc32", T.LongType()) if digest else T.StructField("ids", T.BinaryType())])
 
     def run(batches):
         decoder = Decoder(lengths)
@@ -272,10 +270,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 sizes = columns[5][i].values.to_numpy(zero_copy_only=False)
                 starts = np.cumsum(sizes) - sizes
                 at = columns[0][i].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [columns[4][i].values, pa.array(at + starts, pa.int64()), pa.array(sizes, pa.int64()),
-                     pa.array([raw[4 * s:4 * (s + k)] for s, k in zip(starts.tolist(), sizes.tolist())], pa.binary())],
-                    names=["id", "start", "n_tokens", "ids"])
+                own = [raw[4 * s:4 * (s + k)] for s, k in zip(starts.tolist(), sizes.tolist())]
+                last = pa.array(map(zlib.crc32, own), pa.int64()) if digest else pa.array(own, pa.binary())
+                yield pa.RecordBatch.from_arrays([columns[4][i].values, pa.array(at + starts, pa.int64()), pa.array(sizes, pa.int64()), last],
+                                                 names=schema.names)
 
     return placed.mapInArrow(run, schema)
 
@@ -284,13 +282,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Write a store to the shared folder and read it back, with ``ids_crc32`` in place of the ids."""
     path = scratch_path(docs.sparkSession, "store")
     write_store(docs, path, tokenizer_path, **options)
-    read = read_store(docs.sparkSession, path)
-    fields = [f for f in read.schema.fields if f.name != "ids"]
-
-    def run(batches):
-        for batch in batches:
-            crcs = [zlib.crc32(raw) for raw in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(crcs, pa.int64())],
-                                             names=["id", "start", "n_tokens", "ids_crc32"])
-
-    return read.mapInArrow(run, T.StructType([*fields, T.StructField("ids_crc32", T.LongType())]))
+    return read_store(docs.sparkSession, path, digest=True)

@@ -220,7 +220,8 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.type, self.kind = f"<u{width}", {2: "H", 4: "I"}[width]
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        # Parsing the vocabulary takes a fifth of a second, so a worker does it once.
+        self.tokenizer = worker_store(f"tokenizer-{hash(tokenizer_json)}", lambda: {"it": Tokenizer.from_str(tokenizer_json)})["it"]
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         cut = str(self.tokenizer.pre_tokenizer)
         self.by_piece = (self.tokenizer.normalizer is None and cut.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in cut

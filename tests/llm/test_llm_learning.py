@@ -96,6 +96,15 @@ def test_template_texts_go_where_there_is_no_article(spark):
     assert got[2] == "Story 2" and got[6] == "same"
 
 
+def test_texts_of_few_pages_are_no_template(spark):
+    rows = [(0, "http://one.org/", "<body><h1>Title</h1><p>a</p><p>b</p></body>")]
+    rows += [(i, "http://h.org/", f"<body><div>Site name</div><h2>Story {i}</h2><p>text {i}</p><p>more {i}</p></body>") for i in range(1, 20)]
+    rows += [(20, "http://h.org/", "<body><div>Site name</div><blockquote>Only quote</blockquote><p>x <b>bold</b> y</p><p>z</p></body>")]
+    for parts in (1, 5):
+        got = {r.page_id: r.text for r in we.extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(parts)).collect()}
+        assert got[0] == "Title\na\nb" and got[7] == "Story 7\ntext 7\nmore 7" and got[20] == "Only quote\nx bold y\nz"
+
+
 def test_wrapper_is_union_free():
     pages = ["<ul><li><a>1</a></li><li><a>2</a></li></ul><p>x</p>", "<ul><li><a>3</a></li></ul><b>new</b><p>y</p>", "<ul></ul><p>z</p><p>w</p>"]
     wrapper = we.infer(we.parse(pages[0]))

@@ -105,6 +105,18 @@ def test_texts_of_few_pages_are_no_template(spark):
         assert got[0] == "Title\na\nb" and got[7] == "Story 7\ntext 7\nmore 7" and got[20] == "Only quote\nx bold y\nz"
 
 
+def test_wrapper_decides_inside_articles(spark):
+    page = ("<body><article><h1>Head {n}</h1><p>Same words</p><p>Text {n}</p><ul class='x'><li><a href='#'>Tweet</a><li><a href='#'>Mail</a></ul>"
+            "<ul><li><a href='#'>Link {n}</a><li><a href='#'>Link {n} b</a></ul><div>Get our letter</div></article><div>Same words</div></body>")
+    rows = [(i, "http://h.org/", page.format(n=i)) for i in range(12)] + [(i, "http://copies.org/", page.format(n=0)) for i in range(12, 30)]
+    rows += [(30, "http://h.org/", "<body><article><h1>Head</h1><blockquote>Tweet</blockquote><p>Mail</p></article></body>")]
+    for parts in (1, 4):
+        got = {r.page_id: r.text for r in we.extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(parts)).collect()}
+        assert got[5] == "Head 5\nText 5\nLink 5\nLink 5 b"
+        assert got[30] == "Head\nTweet\nMail"
+        assert got[20] == "Head 0\nSame words\nText 0\nTweet\nMail\nLink 0\nLink 0 b\nGet our letter"
+
+
 def test_wrapper_is_union_free():
     pages = ["<ul><li><a>1</a></li><li><a>2</a></li></ul><p>x</p>", "<ul><li><a>3</a></li></ul><b>new</b><p>y</p>", "<ul></ul><p>z</p><p>w</p>"]
     wrapper = we.infer(we.parse(pages[0]))

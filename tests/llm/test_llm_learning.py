@@ -117,6 +117,27 @@ def test_wrapper_decides_inside_articles(spark):
         assert got[20] == "Head 0\nSame words\nText 0\nTweet\nMail\nLink 0\nLink 0 b\nGet our letter"
 
 
+@pytest.mark.parametrize("part", ['<section id="discussion"><p>x</p></section>', '<section class="discussion"><p>x</p></section>', '<h2 id="search-methods">x</h2>',
+                                  '<h2 id="related-work">x</h2>', '<div class="social-history">x</div>', '<p id="form">x</p>', '<p title="the hidden cost">x</p>',
+                                  '<a title="a hidden gem">x</a>', '<p data-class="ad" data-id="comments">x</p>', '<div class="section" id="comments">x</div>',
+                                  "<p title='class=ad'>x</p>", '<p title="style=display:none">x</p>', '<div class="ad-hoc">x</div>', '<div class="header">x</div>'])
+def test_parts_of_articles_stay(part):
+    assert we.main_text(we.parse(f"<article><p>a</p>{part}<p>b</p></article>")) == "a\nx\nb"
+
+
+@pytest.mark.parametrize("part", ['<div class="big ad">x</div>', '<section class="comments">x</section>', '<article class="comment">x</article>', '<div id="comments">x</div>',
+                                  '<ul class="share-buttons"><li>x</ul>', '<p hidden>x</p>', '<p hidden="">x</p>', "<p aria-hidden='true'>x</p>", '<p style="color:red;display: none">x</p>',
+                                  '<div role="search">x</div>', '<DIV CLASS=ADVERT>x</DIV>'])
+def test_furniture_of_articles_goes(part):
+    assert we.main_text(we.parse(f"<article><p>a</p>{part}<p>b</p></article>")) == "a\nb"
+
+
+def test_part_words_need_the_wrapper(spark):
+    rows = [(i, "http://h.org/", f"<article><p>Text {i}</p><div class='notice'>All rights</div><div class='notice'>Own notice {i}</div></article>") for i in range(3)]
+    got = {r.page_id: r.text for r in we.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[1] == "Text 1\nOwn notice 1"
+
+
 def test_wrapper_is_union_free():
     pages = ["<ul><li><a>1</a></li><li><a>2</a></li></ul><p>x</p>", "<ul><li><a>3</a></li></ul><b>new</b><p>y</p>", "<ul></ul><p>z</p><p>w</p>"]
     wrapper = we.infer(we.parse(pages[0]))

@@ -72,6 +72,22 @@ def test_merge_trees_match_greedy_merging(spark):
             assert len({(got[i], want[i]) for i in range(len(xs))}) == k == len(set(got.values())), (how, block)
 
 
+def test_large_clusters_are_cut_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    xs = np.vstack([rng.normal(size=(30, 2)), rng.normal(size=(12, 2)) * 0.3 + 9, rng.uniform(12, 20, size=(6, 2))])
+    nearest = cl._nearest
+
+    def bounded(x, y, linkage):
+        assert len(x) <= 7 and len(y) <= 7
+        return nearest(x, y, linkage)
+
+    monkeypatch.setattr(cl, "_nearest", bounded)
+    for how in cl.LINKAGES:
+        want = brute_merge(xs, 3, how)
+        got = {r.id: r.cluster for r in cl.hierarchical(points(spark, xs), 3, how, block_rows=7).collect()}
+        assert len({(got[i], want[i]) for i in range(len(xs))}) == 3 == len(set(got.values())), how
+
+
 def test_ties_still_give_k_clusters(spark):
     xs = np.array([[float(i), 0.0] for i in range(6)] + [[0.0, 0.0]])
     for how in ("single", "ward"):

@@ -16,6 +16,7 @@ from tidemark.functions.kinds import is_missing, numeric_columns, ref
 from tidemark.operators.cleaning import fit_scaler, scale
 from tidemark.plans.components import connected_components
 from tidemark.plans.ranks import running
+from tidemark.plans.sizing import broadcast_if_small
 from tidemark.session import settle
 
 SLICE_ROWS = 20_000
@@ -265,26 +266,65 @@ def cluster_count(clustered: DataFrame) -> DataFrame:
 LINKAGES = ("single", "complete", "average", "ward")
 
 
-def _gaps(x: pd.DataFrame, y: pd.DataFrame, linkage: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(clusters of x, clusters of y, distances between them); rows hold whole clusters, sorted by cluster."""
+#: Numbers in the largest array of coordinate differences.
+CELLS = 4_000_000
+
+
+def _gaps(x: pd.DataFrame, y: pd.DataFrame, linkage: str) -> tuple[list, list, np.ndarray]:
+    """(names, weights, whether cut) of x and of y by cluster, and their distances folded over the rows at hand.
+
+    Rows are sorted by cluster. 'average' gives weighted sums, 'ward' wants one row per cluster.
+    """
     heads = [np.flatnonzero(np.concatenate(([True], np.diff(t["cluster"].to_numpy()) != 0))) for t in (x, y)]
-    names = [t["cluster"].to_numpy()[h] for t, h in zip((x, y), heads)]
-    points = [np.vstack(t["vec"].to_numpy()) for t in (x, y)]
-    weights = [t["weight"].to_numpy() for t in (x, y)]
-    sizes = [np.add.reduceat(w, h) for w, h in zip(weights, heads)]
-    if linkage == "ward":
-        centres = [np.add.reduceat(p * w[:, None], h, axis=0) / n[:, None] for p, w, h, n in zip(points, weights, heads, sizes)]
-        harmonic = 2 * sizes[0][:, None] * sizes[1][None, :] / (sizes[0][:, None] + sizes[1][None, :])
-        return names[0], names[1], harmonic * ((centres[0][:, None, :] - centres[1][None, :, :]) ** 2).sum(-1)
-    fold = {"single": np.minimum, "complete": np.maximum, "average": np.add}[linkage]
-    out = []
-    for start, end in zip(heads[0], np.append(heads[0][1:], len(points[0]))):  # one cluster of x at a time
-        d = np.sqrt(((points[0][start:end, None, :] - points[1][None, :, :]) ** 2).sum(-1))
-        if linkage == "average":
-            d = d * weights[0][start:end, None] * weights[1][None, :]
-        out.append(fold.reduceat(fold.reduce(d, axis=0), heads[1]))
-    gaps = np.array(out)
-    return names[0], names[1], gaps / (sizes[0][:, None] * sizes[1][None, :]) if linkage == "average" else gaps
+    points, weights = [np.vstack(t["vec"].to_numpy()) for t in (x, y)], [t["weight"].to_numpy() for t in (x, y)]
+    sides = [(t["cluster"].to_numpy()[h], np.add.reduceat(w, h), t["cut"].to_numpy()[h]) for t, h, w in zip((x, y), heads, weights)]
+    fold = {"single": np.minimum, "complete": np.maximum, "average": np.add, "ward": np.add}[linkage]
+    step, parts = max(1, CELLS // max(1, points[1].size)), []
+    for at in range(0, len(points[0]), step):
+        d, w = ((points[0][at:at + step, None, :] - points[1][None, :, :]) ** 2).sum(-1), weights[0][at:at + step, None]
+        if linkage == "ward":
+            d = 2 * w * weights[1] / (w + weights[1]) * d
+        else:
+            d = np.sqrt(d) * (w * weights[1] if linkage == "average" else 1)
+        parts.append(fold.reduceat(d, heads[1], axis=1))
+    return *sides, fold.reduceat(np.vstack(parts), heads[0], axis=0)
+
+
+def _nearest(x: pd.DataFrame, y: pd.DataFrame, linkage: str) -> pd.DataFrame:
+    """(cluster, partner, other, value, pairs) of two blocks, or of one with itself.
+
+    Clusters that lie whole in their blocks give their nearest, with partner -1; a pair with a
+    cut cluster gives what its points here add to its distance.
+    """
+    if not len(x) or not len(y):
+        return pd.DataFrame({"cluster": [], "partner": [], "other": [], "value": [], "pairs": []})
+    alone = x["lb"].iloc[0] == x["rb"].iloc[0]
+    (mine, here, cut), (theirs, there, cut_there), fold = _gaps(x.sort_values("cluster", kind="stable"), y.sort_values("cluster", kind="stable"), linkage)
+    if alone:  # the same number for a pair from both ends, whatever the order of a sum
+        fold = np.triu(fold, 1)
+        fold = fold + fold.T
+    same, parted = mine[:, None] == theirs[None, :], cut[:, None] | cut_there[None, :]
+    gap = np.where(same | parted, np.inf, fold / (here[:, None] * there[None, :]) if linkage == "average" else fold)
+    found = []
+    for names, others, g in ((mine, theirs, gap), (theirs, mine, gap.T))[:1 if alone else 2]:
+        at = g.argmin(axis=1)  # the lowest number among equals, as names are sorted
+        least = g[np.arange(len(names)), at]
+        ok = np.isfinite(least)
+        found.append(pd.DataFrame({"cluster": names[ok], "partner": -1, "other": others[at][ok], "value": least[ok], "pairs": 0.0}))
+    i, j = np.nonzero(np.triu(parted & ~same) if alone else parted & ~same)
+    a, b = np.minimum(mine[i], theirs[j]), np.maximum(mine[i], theirs[j])
+    found.append(pd.DataFrame({"cluster": a, "partner": b, "other": b, "value": fold[i, j], "pairs": here[i] * there[j]}))
+    return pd.concat(found)
+
+
+def _in_blocks(members: DataFrame, rows: int, block_rows: int) -> DataFrame:
+    """Adds ``block``, of ``block_rows`` points in the order of their clusters, and ``cut``: the cluster lies in more than one."""
+    if rows <= block_rows:
+        return members.withColumns({"block": F.lit(0), "cut": F.lit(False)})
+    ranked = running(members.withColumns({"value": F.struct("cluster", "point"), "one": F.lit(1)}), [], "value", ["one"])
+    placed = settle(ranked.select(*members.columns, F.floor((F.col("one_upto") - 1) / block_rows).cast("int").alias("block")), "placed")
+    cut = placed.groupBy("cluster").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).filter("lo < hi").select("cluster", F.lit(True).alias("cut"))
+    return placed.join(F.broadcast(cut), "cluster", "left").fillna(False, ["cut"])  # fewer cut clusters than blocks
 
 
 def merge_tree(points: DataFrame, linkage: str = "ward", block_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
@@ -292,48 +332,61 @@ def merge_tree(points: DataFrame, linkage: str = "ward", block_rows: int = 2_000
 
     In each round all pairs of clusters that are each other's nearest are merged. For these
     linkages such a merge is one of the final tree wherever it comes in the order, as a
-    merge never brings a third cluster nearer. Clusters are dealt whole to blocks, and
-    each pair of blocks gives one row per cluster: its nearest there. The cost is every
-    pair of points, in blocks; ties go to the lower number.
+    merge never brings a third cluster nearer. Blocks hold ``block_rows`` points in every round,
+    so a large cluster is cut over blocks: each pair of blocks gives one row per whole cluster, its
+    nearest there, and for pairs with a cut cluster a partial minimum, maximum or sum, folded
+    afterwards. Ward's clusters are one row each, centre and weight. The cost is every pair of
+    points, in blocks; ties go to the lower number.
     """
     if linkage not in LINKAGES:
         raise ValueError(f"unknown linkage: {linkage}")
     folded = points.groupBy("vec").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.min("id").alias("first"))
     numbered = running(folded.select("vec", "weight", F.struct("first").alias("value"), F.lit(1).alias("one")), [], "value", ["one"])
     named = settle(numbered.select("vec", "weight", (F.col("one_upto") - 1).cast("long").alias("cluster")), "named")
-    members, merges, left = named, [], named.count()
+    members, merges, left = named.withColumn("point", F.col("cluster")), [], named.count()
+    rows = left
+    fold = {"single": F.min, "complete": F.max}.get(linkage, F.sum)
     while left > 1:
-        blocks = max(1, math.ceil(left / block_rows))
-        every = F.sequence(F.lit(0), F.lit(blocks - 1))
-        placed = members.withColumn("block", F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int"))
-        asked = placed.withColumnRenamed("block", "lb").withColumn("rb", F.explode(every))
-        held = placed.withColumnRenamed("block", "rb").withColumn("lb", F.explode(every))
-
-        def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            if not len(x) or not len(y):
-                return pd.DataFrame({"cluster": [], "other": [], "gap": []})
-            mine, theirs, gap = _gaps(x.sort_values("cluster", kind="stable"), y.sort_values("cluster", kind="stable"), linkage)
-            gap[mine[:, None] == theirs[None, :]] = np.inf
-            at = gap.argmin(axis=1)  # the lowest number among equals, as names are sorted
-            found = pd.DataFrame({"cluster": mine, "other": theirs[at], "gap": gap[np.arange(len(mine)), at]})
-            return found[np.isfinite(found["gap"])]
-
-        near = asked.groupBy("lb", "rb").cogroup(held.groupBy("lb", "rb")).applyInPandas(nearest, "cluster long, other long, gap double")
-        best = near.groupBy("cluster").agg(F.min(F.struct("gap", "other")).alias("n")).select("cluster", F.col("n.other").alias("other"), F.col("n.gap").alias("gap"))
+        last = max(1, math.ceil(rows / block_rows)) - 1
+        placed = _in_blocks(members, rows, block_rows)
+        asked = placed.withColumnRenamed("block", "lb").withColumn("rb", F.explode(F.sequence("lb", F.lit(last))))
+        again = placed.select(*[F.col(c).alias(c) for c in placed.columns])  # columns of their own, for both sides of the cogroup
+        held = again.withColumnRenamed("block", "rb").withColumn("lb", F.explode(F.sequence(F.lit(0), "rb")))
+        near = asked.groupBy("lb", "rb").cogroup(held.groupBy("lb", "rb")).applyInPandas(
+            lambda x, y: _nearest(x, y, linkage), "cluster long, partner long, other long, value double, pairs double")
+        known = settle(near.groupBy("cluster", "partner").agg(F.min(F.struct("value", "other")).alias("n"), fold("value").alias("value"),
+                                                              F.sum("pairs").alias("pairs")), "known")
+        parted = known.filter("partner >= 0").select("cluster", "partner", (F.col("value") / F.col("pairs") if linkage == "average" else F.col("value")).alias("gap"))
+        seen = (known.filter("partner < 0").select("cluster", F.col("n.value").alias("gap"), F.col("n.other").alias("other"))
+                .unionByName(parted.select("cluster", "gap", F.col("partner").alias("other")))
+                .unionByName(parted.select(F.col("partner").alias("cluster"), "gap", F.col("cluster").alias("other"))))
+        best = seen.groupBy("cluster").agg(F.min(F.struct("gap", "other")).alias("n")).select("cluster", F.col("n.other").alias("other"), F.col("n.gap").alias("gap"))
         best = settle(best, "nearest")
         back = best.select(F.col("cluster").alias("other"), F.col("other").alias("cluster"))
         pairs = settle(best.filter("cluster < other").join(back, ["cluster", "other"])
                        .select(F.col("cluster").alias("a"), F.col("other").alias("b"), F.col("gap").alias("height"), F.lit(len(merges)).alias("round")), "merges")
         merges.append(pairs)
-        renamed = pairs.select(F.col("b").alias("cluster"), F.col("a").alias("into"))
-        members = settle(members.join(renamed, "cluster", "left").select("vec", "weight", F.coalesce("into", "cluster").alias("cluster")), "members")
+        renamed = broadcast_if_small(pairs.select(F.col("b").alias("cluster"), F.col("a").alias("into")))
+        joined = members.join(renamed, "cluster", "left").select("vec", "weight", F.coalesce("into", "cluster").alias("cluster"), "point")
         left -= pairs.count()
+        if linkage == "ward":
+            joined, rows = _centres(joined), left
+        members = settle(joined, "members")
     tree = points.sparkSession.createDataFrame([], "a long, b long, height double, round int")
     for part in merges:
         tree = tree.unionByName(part)
     return named.select("vec", "cluster"), settle(tree, "tree")
 
 
+def _centres(members: DataFrame) -> DataFrame:
+    """One row per cluster, its centre and weight, from the one or two clusters that it was."""
+    both = members.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("point", "weight", "vec"))).alias("of"))
+    a, b = F.get("of", 0), F.get("of", 1)
+    centre = F.zip_with(a["vec"], b["vec"], lambda p, q: (p * a["weight"] + q * b["weight"]) / (a["weight"] + b["weight"]))
+    return both.select(F.when(b.isNull(), a["vec"]).otherwise(centre).alias("vec"), (a["weight"] + F.coalesce(b["weight"], F.lit(0.0))).alias("weight"),
+                       "cluster", F.col("cluster").alias("point"))
+
+
 def hierarchical(points: DataFrame, k: int = 3, linkage: str = "ward", seed: int = 42, block_rows: int = 2_000) -> DataFrame:
     """(id, vec, cluster) for 'ward', 'complete', 'average', 'single' or 'bisecting'.
 

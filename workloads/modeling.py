@@ -150,6 +150,11 @@ def _main_points(s, d):
     return blobs(s, d).filter("blob >= 0").select("id", F.array("x", "y").alias("vec"))
 
 
+def _distinct_points(s, d):
+    """The main points, each moved by its key: as many distinct points as rows."""
+    return blobs(s, d).filter("blob >= 0").select("id", F.array(F.col("x") + F.col("id") * 1e-7, "y").alias("vec"))
+
+
 def _numbered(clustered):
     """Clusters named by their smallest id, comparable whatever the algorithm's numbering."""
     names = clustered.groupBy("cluster").agg(F.min("id").alias("name"))
@@ -209,6 +214,9 @@ QUERIES = {
     "hierarchical_single": lambda s, d: _numbered(cl.hierarchical(_main_points(s, d), 3, "single")),
     "hierarchical_ward": lambda s, d: _numbered(cl.hierarchical(_main_points(s, d), 3, "ward")),
     "hierarchical_average": lambda s, d: _numbered(cl.hierarchical(_main_points(s, d), 3, "average")),
+    "hierarchical_single_distinct": lambda s, d: _numbered(cl.hierarchical(_distinct_points(s, d), 3, "single")),
+    "hierarchical_ward_distinct": lambda s, d: _numbered(cl.hierarchical(_distinct_points(s, d), 3, "ward")),
+    "hierarchical_average_distinct": lambda s, d: _numbered(cl.hierarchical(_distinct_points(s, d), 3, "average")),
 }
 
 MI = """cells AS ({cells}), c2 AS (SELECT column_name, x, y, count(*)::double AS n FROM cells GROUP BY ALL),
@@ -282,4 +290,7 @@ ORACLES = {
     "hierarchical_single": f"WITH {BLOBS} {NAMES}",
     "hierarchical_ward": f"WITH {BLOBS} {NAMES}",
     "hierarchical_average": f"WITH {BLOBS} {NAMES}",
+    "hierarchical_single_distinct": f"WITH {BLOBS} {NAMES}",
+    "hierarchical_ward_distinct": f"WITH {BLOBS} {NAMES}",
+    "hierarchical_average_distinct": f"WITH {BLOBS} {NAMES}",
 }

@@ -76,6 +76,11 @@ def _label_encode(s, d):
     return op.label_encode(df, "p_name", codes)
 
 
+def _label_encode_all(s, d):
+    df = table(s, d, "part").select("p_partkey", "p_name")
+    return op.label_encode(df, "p_name", op.label_codes(df, "p_name"))
+
+
 def _clean_messy(s, d):
     df = messy(s, d)
     out = op.apply_cleaning(df, quality.suggest_cleaning(quality.scan_quality(df)))
@@ -122,6 +127,7 @@ QUERIES = {
         table(s, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_extendedprice * (1 - l_discount) AS net"], "l_quantity > 48"),
     "one_hot": _one_hot,
     "label_encode": _label_encode,
+    "label_encode_all": _label_encode_all,
     "label_codes": lambda s, d: op.label_codes(table(s, d, "customer"), "c_name"),
     "target_encode": lambda s, d: rounded(op.target_encode(
         table(s, d, "part").select("p_partkey", "p_brand", "p_size"), "p_brand", "p_size"), p_brand_target=6),
@@ -206,3 +212,6 @@ ORACLES = {
         SELECT count(*) AS row_count, count(DISTINCT priority) AS priorities, max(price) AS max_price,
           sum(replace(price_text, ',', '')::decimal(18,2))::double AS price_sum, max(day_text) AS last_day FROM k""",
 }
+
+#: The same check with codes from all parts.
+ORACLES["label_encode_all"] = ORACLES["label_encode"].replace(" WHERE p_partkey % 2 = 0", "")

@@ -73,6 +73,19 @@ def _spelling(s, d):
     return op.correct_spelling(asked, vocabulary_words(s, d, 5, ascii_words))
 
 
+def _spelling_all(s, d):
+    """Whole Unicode words of any frequency, in every language of the texts; no SQL, as DuckDB measures edits on bytes."""
+    langs = table(s, d, "documents").select("lang").distinct()  # a handful
+    asked = table(s, d, "benchmark").select(F.explode(words(F.col("text"))).alias("word")).distinct().crossJoin(F.broadcast(langs))
+    return op.correct_spelling(asked, vocabulary_words(s, d, 1))
+
+
+def _messages_all(s, d):
+    vocab = vocabulary_words(s, d, 1).select(F.col("word").alias("term")).distinct()
+    msgs = table(s, d, "conversations").filter("role = 'user'").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    return op.correct_messages(msgs, "id", "text", vocab, 0.75, True)
+
+
 def _messages(s, d):
     vocab = vocabulary_words(s, d, 20).select(F.col("word").alias("term")).distinct()
     msgs = table(s, d, "conversations").filter("role = 'user'").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
@@ -137,6 +150,11 @@ QUERIES = {
         vocabulary_words(s, d, 20).select(F.col("word").alias("term")), ["revenue", "returns"],
         [table(s, d, "nation"), table(s, d, "region"), table(s, d, "part").select("p_name", "p_brand")]),
     "correct_spelling": _spelling,
+    "correct_spelling_all": _spelling_all,
+    "correct_messages_all": _messages_all,
+    "build_vocabulary_all": lambda s, d: op.build_vocabulary(
+        vocabulary_words(s, d, 1).select(F.col("word").alias("term")), ["revenue", "returns"],
+        [table(s, d, "nation"), table(s, d, "region"), table(s, d, "part").select("p_name", "p_brand")]),
     "classify_intent": lambda s, d: rounded(ret.classify_intent(questions(s, d), "question").drop("question"), confidence=6),
     "classify_intent_docs_only": lambda s, d: rounded(
         ret.classify_intent(questions(s, d), "question", has_tables=False).groupBy("intent", "confidence").agg(F.count(F.lit(1)).alias("n")), confidence=6),
@@ -244,3 +262,6 @@ ORACLES = {
         SELECT *, upstream + downstream AS connected, least(100, 10 * (upstream + downstream))::bigint AS impact_score,
           CASE WHEN upstream + downstream > 5 THEN 'high' WHEN upstream + downstream > 2 THEN 'medium' ELSE 'low' END AS risk FROM c""",
 }
+
+#: The same check on words of any frequency.
+ORACLES["build_vocabulary_all"] = ORACLES["build_vocabulary"].replace("count(*) >= 20", "count(*) >= 1")

@@ -214,6 +214,13 @@ QUERIES = {
     "hierarchical_single": lambda s, d: _numbered(cl.hierarchical(_main_points(s, d), 3, "single")),
     "hierarchical_ward": lambda s, d: _numbered(cl.hierarchical(_main_points(s, d), 3, "ward")),
     "hierarchical_average": lambda s, d: _numbered(cl.hierarchical(_main_points(s, d), 3, "average")),
+    "kmeans_all": lambda s, d: _numbered(cl.kmeans(_points(s, d), 3)),
+    "silhouette_all": lambda s, d: rounded(cl.silhouette(_points(s, d).withColumn("cluster", F.pmod("id", F.lit(3)).cast("long"))), silhouette=6),
+    "silhouette_exact_all": lambda s, d: rounded(cl.silhouette(_points(s, d).withColumn(
+        "cluster", F.floor(F.col("vec")[0] / 10).cast("long")), exact=True), silhouette=6),
+    "hierarchical_single_all": lambda s, d: _numbered(cl.hierarchical(_points(s, d), 3, "single")),
+    "hierarchical_ward_all": lambda s, d: _numbered(cl.hierarchical(_points(s, d), 3, "ward")),
+    "hierarchical_average_all": lambda s, d: _numbered(cl.hierarchical(_points(s, d), 3, "average")),
     "hierarchical_single_distinct": lambda s, d: _numbered(cl.hierarchical(_distinct_points(s, d), 3, "single")),
     "hierarchical_ward_distinct": lambda s, d: _numbered(cl.hierarchical(_distinct_points(s, d), 3, "ward")),
     "hierarchical_average_distinct": lambda s, d: _numbered(cl.hierarchical(_distinct_points(s, d), 3, "average")),
@@ -294,3 +301,6 @@ ORACLES = {
     "hierarchical_ward_distinct": f"WITH {BLOBS} {NAMES}",
     "hierarchical_average_distinct": f"WITH {BLOBS} {NAMES}",
 }
+
+#: The same check on all points, lone ones too.
+ORACLES["silhouette_all"] = ORACLES["silhouette"].replace(" WHERE blob >= 0", "")

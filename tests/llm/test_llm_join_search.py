@@ -77,6 +77,18 @@ def test_join_edges(spark):
     assert sorted((r.doc_id or 0) for r in forest_join.keep_first(docs).collect()) == [0, 7, 9]
 
 
+def test_low_thresholds_get_more_trees(spark):
+    assert forest_join.forest_shape() == (forest_join.TREES, forest_join.prefix_depth())
+    for threshold in (0.05, 0.1, 0.2, 0.3, 0.4):
+        trees, depth = forest_join.forest_shape(threshold)
+        assert 1 - (1 - threshold ** depth) ** trees >= forest_join.TARGET
+    # pairs with 6 of 30 words in common: 0.11
+    rows = [(2 * i + j, " ".join([f"c{i}x{w}" for w in range(6)] + [f"o{i}y{j}z{w}" for w in range(24)])) for i in range(40) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = forest_join.jaccard_join(docs, size=1, threshold=0.1).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_prefix_depth_meets_the_target():
     for threshold in (0.5, 0.8, 0.95):
         d = forest_join.prefix_depth(threshold, 0.999)

@@ -1,14 +1,15 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard self-join by a MinHash LSH forest reduced to one depth, with exact verification.
 
 1. Each text becomes its set of word n-gram hashes and a signature of TREES rows of
    minimum hashes. Texts with the same set are one class; all later work is on one
    representative per class.
-2. A tree of the forest is a trie over one row of the signature. Two texts are
-   candidates when they share a prefix in some tree. Starting at the full row, the
-   prefix is shortened until a pair exactly at the threshold is found with the target
-   recall, 1 - (1 - s^depth)^trees.
-3. Sorting a tree by its prefixes makes every candidate set a run of equal prefixes.
-   Runs of one are dropped, and runs with the same members as a run of an earlier tree.
+2. Two texts are candidates when they share a prefix in some tree. The prefix has one
+   length for all texts, set before the data is read: the longest at which a pair exactly
+   at the threshold is found with the target recall, 1 - (1 - s^depth)^trees. Where one
+   hash is still too long, trees are added. No trie is built and no prefix is shortened
+   per match: the minima of a prefix are hashed to one key, which is banding.
+3. A candidate set is a run of equal prefixes in a tree. Runs of one are dropped, and
+   runs with the same members as a run of an earlier tree.
 4. Each run is verified exactly, long runs in pairs of blocks, so no task holds more
    than two blocks. A pair is counted in the first tree in which it meets. A block gives
    link counts and the edges of a spanning forest, never a row per pair.
@@ -44,6 +45,16 @@ def prefix_depth(threshold: float = THRESHOLD, target: float = TARGET, trees: in
     return depth
 
 
+def forest_shape(threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, depth: int = DEPTH) -> tuple[int, int]:
+    """(trees, prefix length) that meet the target: more trees than asked for when even prefixes of one hash miss it."""
+    if not 0 < threshold <= 1 or not 0 <= target < 1:
+        raise ValueError("threshold must be above 0 and at most 1, target at least 0 and below 1")
+    depth = prefix_depth(threshold, target, trees, depth)
+    while 1 - (1 - threshold ** depth) ** trees < target:
+        trees += 1
+    return trees, depth
+
+
 def gram_set(text: str | None, size: int = SIZE) -> np.ndarray:
     """Sorted hashes of a text's word n-grams. A text of fewer words than ``size`` is one n-gram of all its words."""
     ids = hashed_words(text, WORD_BYTES)
@@ -224,7 +235,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null classes and null counts. A null text or one without words has no n-gram: it links
     to nothing and is a class of its own. Repeated rows (same id and text) are copies of each other.
     """
-    depth = prefix_depth(threshold, target, trees, depth)
+    trees, depth = forest_shape(threshold, target, trees, depth)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     signed = settle(signatures(rows, size, trees, depth), "forest")
     known = signed.filter("id IS NOT NULL AND class_key IS NOT NULL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import (blockmax_search, forest_join, huffman_store, language_profiles, packing, piece_counts, poisson_mix, repetition,
+from tidemark.llm import (blockmax_search, conversation_trie, forest_join, huffman_store, language_profiles, packing, piece_counts, poisson_mix, repetition,
                            subword_classifier, vector_codes, wrapper_extraction)
 from tidemark.llm.common import read_table, remainder
 
@@ -66,13 +66,19 @@ def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.piece_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), kept=["doc_id"])
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = conversation_trie.ranked_turns(read_table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(*conversation_trie.with_shared_heads(turns, members))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_repetition, op2_language_profiles, op3_blockmax_search, op4_huffman_store, op5_packing, op6_forest_join, op7_poisson_mix, op8_subword_quality,
-    op9_wrapper_extraction, op10_piece_counts, op12_vector_codes)}
+    op9_wrapper_extraction, op10_piece_counts, op11_conversation_trie,
+    op12_vector_codes)}
 
 _TOP = ", ".join(f"max(CASE WHEN n = {n} AND c > 1 THEN c * chars ELSE 0 END) AS top{n}_chars" for n in repetition.TOP_LIMITS)
 _INSIDE = ", ".join(f"sum(CASE WHEN n = {n} AND cov THEN len ELSE 0 END) AS repeat{n}_chars" for n in repetition.REPEAT_LIMITS)

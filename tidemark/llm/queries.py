@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import (blockmax_search, conversation_trie, forest_join, huffman_store, language_profiles, packing, piece_counts, poisson_mix, repetition,
-                           subword_classifier, vector_codes, wrapper_extraction)
+from tidemark.llm import (blockmax_search, circulant_minhash, conversation_trie, forest_join, huffman_store, language_profiles, packing,
+                           piece_counts, poisson_mix, repetition, subword_classifier, vector_codes, wrapper_extraction)
 from tidemark.llm.common import read_table, remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,10 +75,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_repetition, op2_language_profiles, op3_blockmax_search, op4_huffman_store, op5_packing, op6_forest_join, op7_poisson_mix, op8_subword_quality,
     op9_wrapper_extraction, op10_piece_counts, op11_conversation_trie,
-    op12_vector_codes)}
+    op12_vector_codes, op13_circulant_minhash)}
 
 _TOP = ", ".join(f"max(CASE WHEN n = {n} AND c > 1 THEN c * chars ELSE 0 END) AS top{n}_chars" for n in repetition.TOP_LIMITS)
 _INSIDE = ", ".join(f"sum(CASE WHEN n = {n} AND cov THEN len ELSE 0 END) AS repeat{n}_chars" for n in repetition.REPEAT_LIMITS)

@@ -166,7 +166,7 @@ ORACLES = {
                            f"(SELECT string_agg(column_name, ',') FROM (DESCRIBE {t})) AS column_names FROM {t}" for t in TABLES),
     "registry_summary": f"""WITH {', '.join(pii_sql(t, cols, [c for c in cols if c.endswith('name') or c.endswith('segment')]).replace('pii AS', f'pii_{t} AS', 1) for t, cols in SCHEMA_COLS.items())}
         SELECT 4::bigint AS tables, 100.0::double AS mean_completeness, ({' + '.join(f'(SELECT count(*) FROM pii_{t})' for t in SCHEMA_COLS)})::bigint AS governance_findings""",
-    "report_sink": "SELECT 'completeness' AS section, 7::bigint AS entries UNION ALL SELECT 'duplicates', 1",
+    "report_sink": "SELECT 'completeness' AS section, 8::bigint AS entries UNION ALL SELECT 'duplicates', 1",
     "compare_tables": union(f"""SELECT '{a}' AS left_table, '{b}' AS right_table, '{c}' AS column_name, true AS same_kind, (SELECT count(*) FROM {a}) AS left_rows,
         (SELECT count(*) FROM {b}) AS right_rows, (SELECT count(DISTINCT {c}) FROM {a}) AS left_distinct, (SELECT count(DISTINCT {c}) FROM {b}) AS right_distinct"""
         for a, b, c in [("benchmark", "documents", "text"), ("conversations", "documents", "text"), ("benchmark", "conversations", "text"), ("documents", "labels", "doc_id")]),
@@ -175,7 +175,7 @@ ORACLES = {
     "impute": f"""WITH {SPARSE}, f AS (SELECT quantile_cont(l_discount, 0.5) AS md, quantile_cont(l_tax, 0.5) AS mt FROM sparse)
         SELECT l_orderkey, l_linenumber, count(*) AS n, round(sum(coalesce(l_discount, md)), 6) AS discount, round(sum(coalesce(l_tax, mt)), 6) AS tax
         FROM sparse, f GROUP BY l_orderkey, l_linenumber""",
-    "fill_for_scoring": f"""WITH {LABELLED} SELECT doc_id, lang, CASE WHEN doc_id % 4 > 0 THEN source ELSE 'missing' END AS source, n_chars,
+    "fill_for_scoring": f"""WITH {LABELLED} SELECT doc_id, text, lang, CASE WHEN doc_id % 4 > 0 THEN source ELSE 'missing' END AS source, n_chars,
         coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic FROM labelled""",
     "forward_fill": """SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reading FROM events""",

@@ -10,7 +10,7 @@ from tidemark.functions import patterns as fixed
 from tidemark.functions.arithmetic import at_least, corrected_skew, percent, ratio
 from tidemark.functions.kinds import is_missing, kind_column, kind_of, number, numeric_columns, ref, text_columns
 from tidemark.plans.counts import (LONG_TEXT, as_text, column_summary, duplicate_count, modes, value_counts)
-from tidemark.plans.ranks import numeric_counts, quantiles_of_counts
+from tidemark.plans.ranks import quantiles
 from tidemark.plans.stats import beside, missing_counts, moments, per_column
 from tidemark.session import settle
 
@@ -78,19 +78,25 @@ def numeric_strings(df: DataFrame) -> DataFrame:
 def outlier_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Interquartile bounds and the rows outside them, for every numeric column.
 
-    Bounds meet the grouped values through an equi-join on the column name; the
-    base table is read once.
+    The bounds are one row per column, so that rows outside are counted in one more scan
+    without a shuffle of values.
     """
     cols = list(cols if cols is not None else numeric_columns(df))
-    counted = numeric_counts(df, cols)
-    quartiles = quantiles_of_counts(counted, [0.25, 0.75], ["column_name"], ["q1", "q3"])
-    bounds = (quartiles.withColumn("lower_bound", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
-              .withColumn("upper_bound", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
-    outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
-    return (counted.join(F.broadcast(bounds), "column_name")  # one row per column
-            .groupBy("column_name", "q1", "q3", "lower_bound", "upper_bound")
-            .agg(F.sum("n").alias("valid"),
-                 F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outliers"))
+    quartiles = quantiles(df, [0.25, 0.75], ["q1", "q3"], cols)
+    bounds = settle(quartiles.withColumn("lower_bound", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
+                    .withColumn("upper_bound", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))), "bounds")
+    edges = {r.column_name: (r.lower_bound, r.upper_bound) for r in bounds.collect()}
+    kept = [c for c in cols if c in edges]
+    if not kept:
+        return bounds.select("*", F.lit(0).cast("long").alias("valid"), F.lit(0).cast("long").alias("outliers"), F.lit(0.0).alias("outlier_pct"))
+
+    def outside(c):
+        v, (low, high) = number(df, c), edges[c]
+        return F.count_if((v < F.lit(low)) | (v > F.lit(high)))
+
+    counts = per_column(df, kept, {"valid": lambda c: F.count(number(df, c)), "outliers": outside}).drop("row_count")
+    return (bounds.join(F.broadcast(counts), "column_name")  # one row per column
+            .select("column_name", "q1", "q3", "lower_bound", "upper_bound", "valid", "outliers")
             .withColumn("outlier_pct", percent(F.col("outliers"), F.col("valid"))))
 
 

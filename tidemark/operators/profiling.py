@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions import patterns as fixed
 from tidemark.functions.arithmetic import (at_least, corrected_skew, kolmogorov_p, normality_p, percent, ratio)
@@ -66,26 +66,44 @@ def column_table(df: DataFrame) -> DataFrame:
         F.round(F.least(F.lit(100.0), at_least(100.0 - 0.8 * pct, 0.0)), 1).alias("score"), "distinct_count")
 
 
+def _column_prints(df: DataFrame) -> dict[str, tuple]:
+    """An order-free fingerprint per column: columns equal on every row have equal ones."""
+    def plain(f):
+        return ref(f.name) + F.lit(0.0).cast(f.dataType) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else ref(f.name)
+
+    row = F.xxhash64(*[plain(f) for f in df.schema.fields])
+    shaped = df.select(row.alias("_row"), *[plain(f).alias(f"_c{i}") for i, f in enumerate(df.schema.fields)])
+    # The place of a value counts through its row's hash; null is hashed as such.
+    cells = [F.xxhash64("_row", F.col(f"_c{c}").isNull(), f"_c{c}") for c in range(len(df.columns))]
+    facts = shaped.agg(*[x for c, h in enumerate(cells) for x in (F.bit_xor(h).alias(f"x{c}"), F.sum(h.bitwiseAND(F.lit((1 << 24) - 1))).alias(f"s{c}"))]).first()
+    return {name: (facts[f"x{c}"], facts[f"s{c}"]) for c, name in enumerate(df.columns)}
+
+
 def duplicate_columns(df: DataFrame, batch: int = 200) -> DataFrame:
     """Pairs of same-type columns that are equal on every row (null equals null).
 
-    Wide tables are compared in batches of pairs, each one aggregation.
+    One scan gives a fingerprint per column; pairs with equal ones are then compared value
+    by value, ``batch`` of them in an aggregation. The work is linear in the columns and
+    in the pairs returned. Columns that hold maps are left out.
     """
-    fields = df.schema.fields
-    pairs = [(a.name, b.name) for i, a in enumerate(fields) for b in fields[i + 1:] if a.dataType == b.dataType]
-    parts = []
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    df = df.select(*[ref(c) for c in hashable])
+    empty = df.sparkSession.createDataFrame([], "left_column string, right_column string")
+    if len(hashable) < 2:
+        return empty
+    prints = _column_prints(df)
+    alike: dict[tuple, list[str]] = {}
+    for f in df.schema.fields:
+        alike.setdefault((f.dataType.simpleString(), prints[f.name]), []).append(f.name)
+    pairs = [(a, b) for names in alike.values() for i, a in enumerate(names) for b in names[i + 1:]]
+    out = empty
     for start in range(0, len(pairs), batch):
-        chunk = pairs[start:start + batch]
-        wide = df.agg(*[F.bool_and(ref(a).eqNullSafe(ref(b))).alias(f"p{i}") for i, (a, b) in enumerate(chunk)])
+        some = pairs[start:start + batch]
+        wide = df.agg(*[F.bool_and(ref(a).eqNullSafe(ref(b))).alias(f"p{i}") for i, (a, b) in enumerate(some)])
         rows = [F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.col(f"p{i}").alias("same"))
-                for i, (a, b) in enumerate(chunk)]
-        parts.append(wide.select(F.inline(F.array(*rows))))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "left_column string, right_column string")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.filter("same").drop("same")
+                for i, (a, b) in enumerate(some)]
+        out = out.unionByName(wide.select(F.inline(F.array(*rows))).filter("same").drop("same"))
+    return out
 
 
 def numeric_profile(df: DataFrame) -> DataFrame:

@@ -10,9 +10,7 @@ from tidemark.functions.arithmetic import ratio
 from tidemark.functions.kinds import number, numeric_columns, ref, text_columns
 from tidemark.operators.profiling import column_roles
 from tidemark.plans.counts import as_text
-
-
-PAIR_BATCH = 64
+from tidemark.plans.products import pair_moments
 
 
 def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -22,18 +20,15 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def _pair_correlations(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
-    """One aggregate per pair, PAIR_BATCH of them in a scan; no row is copied and one row per task is exchanged."""
-    shaped = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
-    out = df.sparkSession.createDataFrame(
-        [], "left_column string, right_column string, left_index long, right_index long, correlation double")
-    for start in range(0, len(pairs), PAIR_BATCH):
-        batch = pairs[start:start + PAIR_BATCH]
-        wide = shaped.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"r{n}") for n, (i, j) in enumerate(batch)])
-        rows = [F.struct(F.lit(cols[i]).alias("left_column"), F.lit(cols[j]).alias("right_column"), F.lit(i).cast("long").alias("left_index"),
-                         F.lit(j).cast("long").alias("right_index"), F.col(f"r{n}").alias("correlation")) for n, (i, j) in enumerate(batch)]
-        found = wide.select(F.inline(F.array(*rows)))
-        out = found if start == 0 else out.unionByName(found)
-    return out
+    """All pairs from one scan. Null without common rows or spread, NaN with infinite values."""
+    spark = df.sparkSession
+    names = spark.createDataFrame([(i, j, cols[i], cols[j]) for i, j in pairs], "i int, j int, left_column string, right_column string")
+    out = ["left_column", "right_column", F.col("i").cast("long").alias("left_index"), F.col("j").cast("long").alias("right_index"), "correlation"]
+    if not pairs:
+        return names.withColumn("correlation", F.lit(0.0)).select(*out)
+    r = F.col("xy") / (F.sqrt("xx") * F.sqrt("yy"))
+    r = F.when(F.col("odd") > 0, F.lit(float("nan"))).when((F.col("xx") > 0) & (F.col("yy") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return names.join(pair_moments(df, cols, pairs), ["i", "j"], "left").withColumn("correlation", r).select(*out)
 
 
 def high_correlations(df: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions import patterns as fixed
 from tidemark.functions.similarity import words
-from tidemark.operators.matching import best_match, ngram_match
+from tidemark.operators.matching import best_ngram_match
 from tidemark.plans.nearest import nearest
+from tidemark.session import settle
 
 
 # ---- chunks ----
@@ -182,12 +183,13 @@ def search_with_fallback(queries: DataFrame, corpus: DataFrame, query_key: str,
 
     Both sides carry a vector and a text column.
     """
-    direct = vector_topk(queries, corpus, query_key, key, vec, k, min_score).withColumn("via", F.lit("vector"))
-    missed = queries.join(direct.select(F.col("query_id").alias(query_key)).distinct(), query_key, "left_anti")
-    matched = best_match(ngram_match(missed, corpus, text, text, text_threshold)).select(
+    direct = settle(vector_topk(queries, corpus, query_key, key, vec, k, min_score), "direct").withColumn("via", F.lit("vector"))
+    missed = settle(queries.join(direct.select(F.col("query_id").alias(query_key)).distinct(), query_key, "left_anti")
+                    .select(query_key, text), "missed")
+    matched = best_ngram_match(missed, corpus, text, text, text_threshold).select(
         F.col("left_value").alias("_q"), F.col("right_value").alias("_c"))
     heads = corpus.groupBy(F.col(text).alias("_c")).agg(F.min_by(F.col(vec), F.col(key)).alias("_v"))
-    again = (missed.select(query_key, F.col(text).alias("_q")).join(matched, "_q").join(heads, "_c")
-             .select(query_key, F.col("_v").alias(vec)))
+    again = settle(missed.select(query_key, F.col(text).alias("_q")).join(matched, "_q").join(heads, "_c")
+                   .select(query_key, F.col("_v").alias(vec)), "again")
     second = vector_topk(again, corpus, query_key, key, vec, k, min_score).withColumn("via", F.lit("text"))
     return direct.unionByName(second)

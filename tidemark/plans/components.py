@@ -30,9 +30,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, component): component is the smallest node reachable. Only nodes with an edge appear."""
-    current = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).filter("a <> b").distinct()
-    current = settle(current, "stars")
+    """(node, component): component is the smallest node reachable. Only nodes with an edge appear. ``edges`` is computed once."""
+    edges = settle(edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).distinct(), "edges")
+    current = edges.filter("a <> b")
     before = None
     while True:
         current = settle(_star(_star(current, True), False), "stars")
@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         before = state
     members = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    loops = edges.select(F.col(src).alias("node")).filter(F.col(src) == F.col(dst)).distinct()
+    loops = edges.filter("a = b").select(F.col("a").alias("node"))
     known = members.unionByName(roots)
     alone = loops.join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
     return known.unionByName(alone)

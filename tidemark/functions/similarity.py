@@ -68,6 +68,9 @@ def words(text: Column) -> Column:
 
 
 def char_grams(text: Column, n: int) -> Column:
-    size = F.length(text) - (n - 1)
-    at = F.when(size > 0, F.sequence(F.lit(1), F.greatest(size, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.substring(text, i, F.lit(n)))
+    """Runs of ``n`` code points. The characters are cut once; a substring per position would read the text from its start each time."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    runs = F.greatest(F.size(chars) - (n - 1), F.lit(0))
+    zipped = F.arrays_zip(*[F.slice(chars, F.lit(i + 1), runs) for i in range(n)])
+    grams = F.transform(zipped, lambda x: F.concat(*[x[str(i)] for i in range(n)]))
+    return F.coalesce(grams, F.array().cast("array<string>"))

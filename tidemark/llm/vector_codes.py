@@ -92,14 +92,19 @@ class CellCache:
         out = []
         step = max(1, BLOCK // max(1, len(self.book)))
         for start in range(0, len(cells), step):
-            low = (cells[start:start + step] << self.shift)[:, None, :]
-            high = low + ((1 << self.shift) - 1)
-            below, above = low - self.book[None], self.book[None] - high
-            least = (np.maximum(np.maximum(below, above), 0) ** 2).sum(axis=2)
-            # The farthest corner of the box.
-            greatest = (np.maximum(np.abs(above), np.abs(below)) ** 2).sum(axis=2)
+            some = cells[start:start + step]
+            least = np.zeros((len(some), len(self.book)), np.int64)
+            greatest = least.copy()
+            for j in range(some.shape[1]):
+                # Distances along one axis depend on one coordinate, of which there are few.
+                at, which = np.unique(some[:, j], return_inverse=True)
+                low = (at << self.shift)[:, None]
+                below, above = low - self.book[None, :, j], self.book[None, :, j] - (low + ((1 << self.shift) - 1))
+                least += (np.maximum(np.maximum(below, above), 0) ** 2)[which]
+                greatest += (np.maximum(np.abs(above), np.abs(below)) ** 2)[which]
             keep = least <= greatest.min(axis=1)[:, None]
-            out += [np.flatnonzero(k) for k in keep]
+            sizes, entry = keep.sum(axis=1), np.nonzero(keep)[1]
+            out += np.split(entry, np.cumsum(sizes)[:-1])
         return out
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

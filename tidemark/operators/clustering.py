@@ -17,6 +17,7 @@ from tidemark.operators.cleaning import fit_scaler, scale
 from tidemark.plans.components import connected_components
 from tidemark.plans.ranks import running
 from tidemark.plans.sizing import broadcast_if_small
+from tidemark.plans.spanning import minimum_spanning_tree
 from tidemark.session import settle
 
 SLICE_ROWS = 20_000
@@ -330,11 +331,11 @@ def _in_blocks(members: DataFrame, rows: int, block_rows: int) -> DataFrame:
 def merge_tree(points: DataFrame, linkage: str = "ward", block_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
     """((vec, cluster), (a, b, height, round)): distinct points numbered, and every merge up to one cluster.
 
-    In each round all pairs of clusters that are each other's nearest are merged. For these
-    linkages such a merge is one of the final tree wherever it comes in the order, as a
-    merge never brings a third cluster nearer. Blocks hold ``block_rows`` points in every round,
+    'single' takes the edges of the minimum spanning tree. For the others, in each round all
+    pairs of clusters that are each other's nearest are merged. Such a merge is one of the
+    final tree wherever it comes in the order, as a merge never brings a third cluster nearer. Blocks hold ``block_rows`` points in every round,
     so a large cluster is cut over blocks: each pair of blocks gives one row per whole cluster, its
-    nearest there, and for pairs with a cut cluster a partial minimum, maximum or sum, folded
+    nearest there, and for pairs with a cut cluster a partial maximum or sum, folded
     afterwards. Ward's clusters are one row each, centre and weight. The cost is every pair of
     points, in blocks; ties go to the lower number.
     """
@@ -343,6 +344,9 @@ def merge_tree(points: DataFrame, linkage: str = "ward", block_rows: int = 2_000
     folded = points.groupBy("vec").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.min("id").alias("first"))
     numbered = running(folded.select("vec", "weight", F.struct("first").alias("value"), F.lit(1).alias("one")), [], "value", ["one"])
     named = settle(numbered.select("vec", "weight", (F.col("one_upto") - 1).cast("long").alias("cluster")), "named")
+    if linkage == "single":
+        tree = minimum_spanning_tree(named.select(F.col("cluster").alias("node"), "vec"), block_rows)
+        return named.select("vec", "cluster"), tree
     members, merges, left = named.withColumn("point", F.col("cluster")), [], named.count()
     rows = left
     fold = {"single": F.min, "complete": F.max}.get(linkage, F.sum)

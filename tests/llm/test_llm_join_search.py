@@ -154,3 +154,13 @@ def test_word_hashes_tell_words_apart(text):
 
 def test_hash_of_a_very_long_word():
     assert len(hashed_words("x" * 100_000 + " y", WORD_BYTES)) == 2
+
+
+def test_ids_that_repeat_with_other_texts_lose_no_link_and_no_row(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (5, a), (8, None), (8, ""), (None, a)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_text_links) for r in forest_join.jaccard_join(table).collect() if r.doc_id is not None)
+    assert got == [(5, 5, 1), (5, 5, 1), (5, 5, 1), (6, 5, 1), (7, 5, 1), (8, 8, 0), (8, 8, 0)]
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in forest_join.keep_first(table).collect()))
+    assert kept == [(0, a), (5, a), (5, b), (8, ""), (8, "")]

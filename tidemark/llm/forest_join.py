@@ -154,7 +154,7 @@ def links(tree: int, ids: np.ndarray, sizes: np.ndarray, grams: list[np.ndarray]
     cols = np.flatnonzero(~first) if first is not None else rows
     wanted = np.ones((len(rows), len(cols)), bool)
     if first is None:
-        wanted = ids[rows][:, None] < ids[cols][None, :]
+        wanted = (ids[rows][:, None] < ids[cols][None, :]).astype(bool)
     for t in range(tree):
         wanted &= prefixes[rows, t][:, None] != prefixes[cols, t][None, :]
     small, large = np.minimum(sizes[rows][:, None], sizes[cols][None, :]), np.maximum(sizes[rows][:, None], sizes[cols][None, :])
@@ -184,7 +184,8 @@ def _roots(pairs: np.ndarray) -> np.ndarray:
         root = new
 
 
-VERIFIED = "id bigint, links bigint, docs bigint, root bigint"
+VERIFIED = "id binary, links bigint, docs bigint, root binary"
+KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _verify(trees: int, threshold: float):
@@ -192,7 +193,7 @@ def _verify(trees: int, threshold: float):
 
     def block(key, rows) -> tuple[list, ...]:
         rows.sort(key=lambda r: r[0])
-        ids = np.array([r[0] for r in rows])
+        ids = np.array([r[0] for r in rows], object)
         weight = np.array([r[1] for r in rows])
         grams = [np.frombuffer(r[2], "<u8") for r in rows]
         prefixes = np.stack([np.frombuffer(r[3], "<u8") for r in rows])
@@ -217,23 +218,18 @@ def _verify(trees: int, threshold: float):
                             o.extend(x)
                     at, rows = key, []
                 rows.append(tuple(c[i].as_py() for c in rest))
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["id", "links", "docs", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, KINDS)], names=["id", "links", "docs", "root"])
         if len(rows) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in block(at, rows)], names=["id", "links", "docs", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(block(at, rows), KINDS)], names=["id", "links", "docs", "root"])
 
     return run
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD,
-                 target: float = TARGET, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """(id_col, class_id, text_class, n_copies, n_text_links, n_links): one row per row of ``docs``.
+def _classed_rows(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float, target: float, trees: int, depth: int,
+                  block: int) -> DataFrame:
+    """(id, text_hash, class_key, class_id, first_hash, text_class, n_docs, n_text_links, n_links) per row; the row of class_id and first_hash stands for the class.
 
-    ``text_class``: lowest id among the rows with the same n-gram set. ``class_id``: lowest
-    id reachable over links (Jaccard similarity of at least ``threshold``). ``n_copies``:
-    rows of the text class; ``n_text_links``: other text classes similar to it; ``n_links``:
-    other rows similar to it, copies included. Ids are integers; a row with a null id has
-    null classes and null counts. A null text or one without words has no n-gram: it links
-    to nothing and is a class of its own. Repeated rows (same id and text) are copies of each other.
+    Texts are known by the digest of their set throughout, as ids may repeat.
     """
     trees, depth = forest_shape(threshold, target, trees, depth)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
@@ -244,58 +240,81 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                      .select("class_key", F.col("r.id").alias("rep"), "r.text_hash", "n_docs", "prefixes"), "classes")
 
     # One row per class and tree, without the sets.
-    entries = classes.select("rep", F.posexplode(F.transform(
+    entries = classes.select("class_key", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("prefixes", t * 8 + 1, F.lit(8)))).alias("tree", "prefix"))
-    runs = entries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lowest"),
-                                                 F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("print")).filter("members > 1")
+    mark = F.xxhash64("class_key")
+    runs = entries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members"), F.min(mark).alias("lowest"),
+                                                 F.sum(mark.cast("decimal(38,0)")).alias("print")).filter("members > 1")
     # Runs with the same members in several trees: the first tree verifies all their pairs.
     runs = settle(runs.groupBy("members", "lowest", "print").agg(F.min(F.struct("tree", "prefix")).alias("run"))
                   .select("run.tree", "run.prefix", "members"), "runs")
     parts = F.ceil(F.col("members") / block).cast("int")
     member = (entries.join(runs, ["tree", "prefix"])
-              .withColumn("block", F.pmod(F.xxhash64("rep", "prefix"), parts).cast("int"))
+              .withColumn("block", F.pmod(F.xxhash64("class_key", "prefix"), parts).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-              .select("rep", "tree", "prefix", "block", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1")))
+              .select("class_key", "tree", "prefix", "block", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1")))
     # Only texts with a candidate are turned into sets. Their ids are broadcast while counted small; else all texts are shuffled once.
-    needed = classes.join(member.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("text_hash").alias("h"), "n_docs", "prefixes")
+    needed = classes.join(member.select("class_key").distinct(), "class_key", "left_semi").select(
+        "class_key", "rep", F.col("text_hash").alias("h"), "n_docs", "prefixes")
     texts = rows.filter("id IS NOT NULL").join(broadcast_if_small(needed), F.expr("id = rep AND text_hash = h")) \
-        .select("rep", "n_docs", "prefixes", "text")
-    sets = gram_sets(texts, size).dropDuplicates(["rep"])  # rows may repeat
+        .select("class_key", "n_docs", "prefixes", "text")
+    sets = gram_sets(texts, size).dropDuplicates(["class_key"])  # rows may repeat
     run_keys = ["tree", "prefix", "b0", "b1"]
-    loaded = member.join(sets, "rep").select(*run_keys, F.col("rep").alias("id"), "n_docs", "grams", "prefixes", "block")
+    loaded = member.join(sets, "class_key").select(*run_keys, F.col("class_key").alias("id"), "n_docs", "grams", "prefixes", "block")
     dealt = keep_parallel(loaded, *run_keys).sortWithinPartitions(*run_keys)
     found = settle(dealt.mapInArrow(_verify(trees, threshold), VERIFIED), "links")
 
-    counts = found.groupBy("id").agg(F.sum("links").alias("n_text_links"), F.sum("docs").alias("linked_docs"))
-    groups = connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")))
-    classed = (classes.select("class_key", "rep", "n_docs").join(counts.withColumnRenamed("id", "rep"), "rep", "left")
-               .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-               .select(F.col("class_key").alias("k"), F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("text_class"),
-                       F.col("n_docs").alias("n_copies"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"),
+    counts = found.groupBy(F.col("id").alias("class_key")).agg(F.sum("links").alias("n_text_links"), F.sum("docs").alias("linked_docs"))
+    groups = settle(connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst"))), "groups")
+    named = groups.join(classes.select(F.col("class_key").alias("node"), "rep", "text_hash"), "node")
+    heads = named.groupBy("component").agg(F.min(F.struct("rep", "text_hash")).alias("head"))
+    linked = groups.join(heads, "component").select(F.col("node").alias("class_key"), "head")
+    classed = (classes.select("class_key", "rep", "text_hash", "n_docs").join(counts, "class_key", "left").join(linked, "class_key", "left")
+               .select(F.col("class_key").alias("k"), F.coalesce("head.rep", "rep").alias("class_id"),
+                       F.coalesce("head.text_hash", "text_hash").alias("first_hash"), F.col("rep").alias("text_class"), "n_docs",
+                       F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"),
                        (F.coalesce("linked_docs", F.lit(0)) + F.col("n_docs") - 1).alias("n_links")))
-    out = signed.select("id", "class_key").join(classed, F.col("class_key") == F.col("k"), "left")
+    return signed.select("id", "text_hash", "class_key").join(classed, F.col("class_key") == F.col("k"), "left").drop("k")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD,
+                 target: float = TARGET, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """(id_col, class_id, text_class, n_copies, n_text_links, n_links): one row per row of ``docs``.
+
+    ``text_class``: lowest id among the rows with the same n-gram set. ``class_id``: lowest
+    id reachable over links (Jaccard similarity of at least ``threshold``). ``n_copies``:
+    rows of the text class; ``n_text_links``: other text classes similar to it; ``n_links``:
+    other rows similar to it, copies included. Ids are integers; a row with a null id has
+    null classes and null counts. A null text or one without words has no n-gram: it links
+    to nothing and is a class of its own. Repeated rows (same id and text) are copies of each
+    other; rows that share an id but not the text are separate texts, linked by their texts only.
+    """
+    out = _classed_rows(docs, id_col, text_col, size, threshold, target, trees, depth, block)
     alone = F.col("id").isNotNull() & F.col("class_key").isNull()
     known_id = F.col("id").isNotNull()
     return out.select(
         F.col("id").alias(id_col),
         F.when(alone, F.col("id")).when(known_id, F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("id")).when(known_id, F.col("text_class")).alias("text_class"),
-        F.when(alone, F.lit(1)).when(known_id, F.col("n_copies")).cast("bigint").alias("n_copies"),
+        F.when(alone, F.lit(1)).when(known_id, F.col("n_docs")).cast("bigint").alias("n_copies"),
         F.when(alone, F.lit(0)).when(known_id, F.col("n_text_links")).cast("bigint").alias("n_text_links"),
         F.when(alone, F.lit(0)).when(known_id, F.col("n_links")).cast("bigint").alias("n_links"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of ``docs`` per class: the one with the lowest id; all columns as they were.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD,
+               target: float = TARGET, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """One row of ``docs`` per class: the one with the lowest id (of equal ids the lowest text hash); all columns as they were.
 
-    Rows with a null id stay. Of rows that repeat the lowest id of a class, one stays.
+    Rows with a null id stay, and so does each row without words that has a text hash of its own. Of
+    rows that repeat both id and text, one stays.
     """
-    joined = settle(jaccard_join(docs, id_col, text_col, **options), "classes")
-    own = F.col(id_col).cast("bigint")
+    joined = _classed_rows(docs, id_col, text_col, size, threshold, target, trees, depth, block).filter("id IS NOT NULL")
+    own, text_hash = F.col(id_col).cast("bigint"), F.xxhash64(text_col)
     # The columns made here are renamed past any name of docs.
-    made = "kept_" + max(docs.columns, key=len)
-    lowest = joined.filter(F.col("class_id") == F.col(id_col)).groupBy(F.col(id_col).alias(made)).agg(F.count(F.lit(1)).alias("n"))
-    single, several = lowest.filter("n = 1").select(made), lowest.filter("n > 1").select(made)
-    once = docs.join(broadcast_if_small(single), own == F.col(made), "left_semi")
-    repeated = docs.join(broadcast_if_small(several), own == F.col(made), "left_semi").dropDuplicates([id_col])
+    made, hashed = ("kept_" + max(docs.columns, key=len) + x for x in ("", "_"))
+    first = settle(joined.filter("class_key IS NULL OR id = class_id AND text_hash = first_hash").groupBy(
+        F.col("id").alias(made), F.col("text_hash").alias(hashed)).agg(F.count(F.lit(1)).alias("n")), "first")
+    same = (own == F.col(made)) & (text_hash == F.col(hashed))
+    once = docs.join(broadcast_if_small(first.filter("n = 1").select(made, hashed)), same, "left_semi")
+    repeated = docs.join(broadcast_if_small(first.filter("n > 1").select(made, hashed)), same, "left_semi").dropDuplicates([id_col, text_col])
     return once.unionByName(repeated).unionByName(docs.filter(F.col(id_col).isNull()))

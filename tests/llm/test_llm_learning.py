@@ -112,7 +112,8 @@ def test_wrapper_decides_inside_articles(spark):
     rows += [(30, "http://h.org/", "<body><article><h1>Head</h1><blockquote>Tweet</blockquote><p>Mail</p></article></body>")]
     for parts in (1, 4):
         got = {r.page_id: r.text for r in we.extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(parts)).collect()}
-        assert got[5] == "Head 5\nText 5\nLink 5\nLink 5 b"
+        # A paragraph that all articles share stays, containers of template texts go.
+        assert got[5] == "Head 5\nSame words\nText 5\nLink 5\nLink 5 b"
         assert got[30] == "Head\nTweet\nMail"
         assert got[20] == "Head 0\nSame words\nText 0\nTweet\nMail\nLink 0\nLink 0 b\nGet our letter"
 
@@ -127,17 +128,40 @@ def test_parts_of_articles_stay(part):
 
 @pytest.mark.parametrize("part", ['<div class="big ad">x</div>', '<section class="comments">x</section>', '<article class="comment">x</article>', '<div id="comments">x</div>',
                                   '<ul class="share-buttons"><li>x</ul>', '<p hidden>x</p>', '<p hidden="">x</p>', "<p aria-hidden='true'>x</p>", '<p style="color:red;display: none">x</p>',
-                                  '<div role="search">x</div>', '<DIV CLASS=ADVERT>x</DIV>'])
+                                  '<div role="search">x</div>', '<DIV CLASS=ADVERT>x</DIV>', '<div class="notice">x</div>', '<ul class="menu"><li>x</ul>',
+                                  '<div id="related"><a>x</a> <a>x</a></div>', "<div>" * 150 + "<nav><div>x</div></nav>" + "</div>" * 150])
 def test_furniture_of_articles_goes(part):
     assert we.main_text(we.parse(f"<article><p>a</p>{part}<p>b</p></article>")) == "a\nb"
 
 
 def test_part_words_need_the_wrapper(spark):
-    rows = [(i, "http://h.org/", f"<article><p>Text {i}</p><div class='notice'>All rights</div><div class='notice'>Own notice {i}</div></article>") for i in range(3)]
+    rows = [(i, "http://h.org/", f"<article><p>Text {i}</p><div class='notice'>All rights</div><div id='related'><a>r {i}</a><a>s</a></div>"
+             f"<section id='notice'>Own notice {i}</section></article>") for i in range(3)]
     got = {r.page_id: r.text for r in we.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
     assert got[1] == "Text 1\nOwn notice 1"
 
 
+def test_quotes_count_after_equals_only():
+    page = "<p title=it's>one</p><p>two</p><p>don't three</p><p data-x = 'a>b' y=\"c>d\">four</p><p x='>five</p>"
+    assert we.main_text(we.parse(page)) == "one\ntwo\ndon't three\nfour\nfive"
+
+
+def test_long_constant_lists_and_shared_headings(spark):
+    menu = "".join(f"<li><a href='#'>Constant {i}</a>" for i in range(100))
+    rows = [(i, "http://h.org/", f"<body><ul>{menu}</ul><p>Story {i}</p></body>") for i in range(30)]
+    rows += [(100 + i, "http://a.org/", f"<article><h2>Ingredients</h2><p>Dear reader,</p><section><h3>Abstract</h3><p>Own {i}</p></section>"
+              "<div><p>Share</p><p>this</p></div></article>") for i in range(20)]
+    for parts in (1, 4):
+        got = {r.page_id: r.text for r in we.extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(parts)).collect()}
+        assert got[7] == "Story 7" and got[104] == "Ingredients\nDear reader,\nAbstract\nOwn 4"
+
+
+def test_deep_pages():
+    deep = "<div>" * 300 + "<p>a<nav>MENU<div>more</div></nav>b" + "</div>" * 300 + "<p>end"
+    assert we.main_text(we.parse(deep)).split() == ["a", "b", "end"]
+    assert we.main_text(we.parse("<nav>" + "<div>" * 300 + "x" + "</div>" * 300 + "</nav><p>y")) == "y"
+
+
 def test_wrapper_is_union_free():
     pages = ["<ul><li><a>1</a></li><li><a>2</a></li></ul><p>x</p>", "<ul><li><a>3</a></li></ul><b>new</b><p>y</p>", "<ul></ul><p>z</p><p>w</p>"]
     wrapper = we.infer(we.parse(pages[0]))

@@ -4,11 +4,45 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.functions.similarity import transposing_distance, whole_percent
+from tidemark.functions import similarity
 from tidemark.operators import matching as m, retrieval as ret
 
+
+def whole_percent(a, b):
+    """2 * LCS / (len a + len b) in whole percent, by the textbook table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return round(200.0 * row[-1] / (len(a) + len(b))) / 100.0 if a or b else 1.0
+
+
+def transposing_distance(a: str, b: str) -> int:
+    """Edits counting a swap of neighbours as one (Damerau 1964), unrestricted."""
+    last_row: dict[str, int] = {}
+    far = len(a) + len(b)
+    grid = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
+    for i in range(len(a) + 1):
+        grid[i + 1][1] = i
+    for j in range(len(b) + 1):
+        grid[1][j + 1] = j
+    for i, x in enumerate(a, 1):
+        last_col = 0
+        for j, y in enumerate(b, 1):
+            k, m = last_row.get(y, 0), last_col
+            same = x == y
+            grid[i + 1][j + 1] = min(grid[i][j] + (not same), grid[i + 1][j] + 1, grid[i][j + 1] + 1,
+                                     grid[k][m] + (i - k - 1) + 1 + (j - m - 1))
+            if same:
+                last_col = j
+        last_row[x] = i
+    return grid[-1][-1]
+
+
 random.seed(5)
 LETTERS = "abcd"
 
@@ -57,6 +91,26 @@ def test_levenshtein_finds_every_pair(spark):
         assert got == want
 
 
+def test_batch_kernels_equal_the_textbook():
+    rng = random.Random(11)
+    pairs = [("", ""), ("", "a"), ("é" * 70, "xé" * 70), ("😀a", "a😀")]
+    for longest in (6, 12, 40, 200):
+        for _ in range(120):
+            a = "".join(rng.choice("abcdé") for _ in range(rng.randint(0, longest)))
+            b = list(a)
+            for _ in range(rng.randint(0, 6)):
+                if len(b) > 1:
+                    i = rng.randrange(len(b) - 1)
+                    b[i:i + 2] = rng.choice([[b[i + 1], b[i]], [b[i]], [b[i], "z", b[i + 1]]])
+            pairs.append((a, rng.choice(["".join(b), "".join(rng.choice("abx") for _ in range(rng.randint(0, longest)))])))
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    assert similarity.whole_percents(left, right).tolist() == [whole_percent(a, b) for a, b in pairs]
+    short = [(a, b) for a, b in pairs if len(a) + len(b) < 90]
+    got = similarity.transposing_distances([a for a, _ in short], [b for _, b in short])
+    assert got.tolist() == [transposing_distance(a, b) for a, b in short]
+    assert similarity.common_lengths([], []).tolist() == [] and isinstance(got, np.ndarray)
+
+
 def test_swapped_letters_count_once():
     assert transposing_distance("abcd", "abdc") == 1
     assert transposing_distance("ca", "abc") == 2

@@ -75,8 +75,9 @@ def _spelling(s, d):
 
 def _spelling_all(s, d):
     """Whole Unicode words of any frequency, in every language of the texts; no SQL, as DuckDB measures edits on bytes."""
-    langs = table(s, d, "documents").select("lang").distinct()  # a handful
-    asked = table(s, d, "benchmark").select(F.explode(words(F.col("text"))).alias("word")).distinct().crossJoin(F.broadcast(langs))
+    langs = sorted(r.lang for r in table(s, d, "documents").select("lang").distinct().collect() if r.lang)  # a handful
+    asked = table(s, d, "benchmark").select(F.explode(words(F.col("text"))).alias("word")).distinct()
+    asked = asked.select(F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"), "word")
     return op.correct_spelling(asked, vocabulary_words(s, d, 1))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arithmetic import _chi_square_tail, kolmogorov_p
 from tidemark.plans.components import connected_components
 from tidemark.plans.counts import column_summary, duplicate_count
-from tidemark.plans.nearest import nearest
+from tidemark.plans.nearest import _leaves, _walk, nearest
 from tidemark.plans.ranks import at_ranks, numeric_counts, quantiles, running
 from tidemark.plans.sizing import fits
 
@@ -91,6 +91,23 @@ def test_nearest_matches_brute_force_with_hot_spot(spark):
         assert got[i] == sorted(range(len(corpus)), key=lambda j: (d[j], j))[:4]
 
 
+def test_leaves_bound_the_work_and_visits_are_reported(spark):
+    rng = np.random.default_rng(9)
+    corpus = np.vstack([rng.normal(size=(500, 4)) * 0.1 + 5 * rng.normal(size=4) for _ in range(8)]) + 1000.0
+    asked = corpus[::40] + rng.normal(size=(100, 4)) * 0.01
+    row, col, read = _walk(asked, np.full(100, np.inf), corpus, _leaves(corpus), 3)
+    assert read < 0.2 * len(asked) * len(corpus)
+    for i, v in enumerate(asked):
+        d = ((corpus - v) ** 2).sum(1)
+        assert set(np.argsort(d)[:3]) <= set(col[row == i])
+    report = []
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "id long, vec array<double>").repartition(3)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, vec array<double>")
+    got = {r.query_id: r.id for r in nearest(q, c, 1, block_rows=100, report=report).collect()}
+    assert got == {i: int(((corpus - v) ** 2).sum(1).argmin()) for i, v in enumerate(asked)}
+    assert report[0]["queries"] == 100 and report[0]["visits"] < 0.3 * 100 * report[0]["pivots"]
+
+
 def test_test_statistics(spark):
     assert abs(_chi_square_tail(3.841458820694124, 1) - 0.05) < 1e-12
     assert abs(_chi_square_tail(18.307038053275146, 10) - 0.05) < 1e-12

@@ -1,10 +1,13 @@
-"""Exact k nearest neighbours without a full pairing (pivot partitions, Lu et al. 2012).
-
-The corpus is partitioned by its nearest pivot. From each partition's size and
-radius a query knows an upper bound for its k-th distance, and visits only the
-partitions that can hold something closer. Partitions and their query lists are
-cut into blocks of bounded size, so a dense spot that attracts a third of the
-points is spread over many tasks. Distances inside a block are NumPy.
+"""Exact k nearest neighbours without a full pairing, by a pivot tree (pivot partitions: Lu et al. 2012).
+
+Upper level: the corpus is partitioned by its nearest pivot; there are more pivots the
+larger the corpus. From each partition's size and radius a query knows an upper bound for
+its k-th distance, and visits only the partitions that can hold something closer.
+Partitions and their query lists are cut into blocks of bounded size, so a dense spot that
+attracts a third of the points is spread over many tasks.
+Lower level: a block splits its rows by pivots of its own into leaves with centre and
+radius. A query takes the leaves in the order of their lower bounds and stops where the
+bound passes its k-th distance so far, which starts at the bound of the upper level.
 """
 
 from __future__ import annotations
@@ -16,8 +19,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.session import settle
+
+#: Least and most pivots of the upper level, and the rows that each is meant to attract.
 PIVOTS = 64
+MOST_PIVOTS = 4_096
+PIVOT_ROWS = 10_000
 BLOCK_ROWS = 20_000
+#: Queries that walk the leaves of a block together.
+ASKED_ROWS = 256
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -35,15 +45,63 @@ def choose_pivots(corpus: DataFrame, count: int) -> np.ndarray:
     return np.array([r.vec for r in rows], dtype="float64")
 
 
+def _leaves(corpus: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(centres, radii, rows of each) of a block split by about as many of its rows as a leaf then holds."""
+    count = max(1, math.isqrt(len(corpus)))
+    centres = corpus[np.linspace(0, len(corpus) - 1, count).astype(int)]
+    d = _distances(corpus, centres)
+    home = d.argmin(1)
+    order = np.argsort(home, kind="stable")
+    used, first = np.unique(home[order], return_index=True)
+    rows = np.split(order, first[1:])
+    return centres[used], np.array([d[r, h].max() for r, h in zip(rows, used)]), rows
+
+
+def _walk(queries: np.ndarray, bounds: np.ndarray, corpus: np.ndarray, leaves, take: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(query row, corpus row) pairs that hold the ``take`` nearest of each query, and the distances computed.
+
+    Pairs as near as the last one are kept, up to rounding.
+    """
+    centres, radii, members = leaves
+    least = np.maximum(_distances(queries, centres) - radii[None, :], 0.0)
+    order = least.argsort(1)
+    best = np.full((len(queries), take), np.inf)
+    cut, found, read = bounds.copy(), [], 0
+    # what the product form of a distance can be off by
+    off = 1e-7 * math.sqrt(max((queries * queries).sum(1).max(initial=0.0), (corpus * corpus).sum(1).max(initial=0.0)))
+    for step in range(len(members)):
+        leaf = order[:, step]
+        slack = cut + 1e-6 * (1.0 + np.where(np.isfinite(cut), cut, 0.0)) + off
+        live = np.flatnonzero(least[np.arange(len(queries)), leaf] <= slack)
+        if not len(live):
+            break
+        for one in np.unique(leaf[live]):
+            asked, rows = live[leaf[live] == one], members[one]
+            d = _distances(queries[asked], corpus[rows])
+            read += d.size
+            i, j = np.nonzero(d <= slack[asked][:, None])
+            found.append(np.stack([asked[i], rows[j]]))
+            merged = np.hstack([best[asked], np.sort(d, axis=1)[:, :take]])
+            best[asked] = np.partition(merged, take - 1, axis=1)[:, :take]
+        cut = np.minimum(bounds, best.max(axis=1))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), read
+    row, col = np.hstack(found)
+    return row, col, read
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, skip_same_id: bool = False,
-            pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+            pivots: int | None = None, block_rows: int = BLOCK_ROWS, report: list | None = None) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest corpus rows, ties by id.
 
     ``queries``: query_id, vec. ``corpus``: id, vec. Vectors are arrays of one length.
+    ``report`` receives a dict with the pivots, the queries, and the visits of queries to blocks.
     """
     q_type, c_type = queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
     vec = lambda df: df.withColumn("vec", F.col("vec").cast("array<double>"))
     queries, corpus = vec(queries.select("query_id", "vec")), vec(corpus.select("id", "vec"))
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(PIVOTS, corpus.count() // PIVOT_ROWS))
     centres = choose_pivots(corpus, pivots)
     take = k + 1 if skip_same_id else k
 
@@ -54,7 +112,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, skip_same_id: bool =
                 best = d.argmin(1)
                 yield pdf.assign(pivot=best.astype("int32"), away=d[np.arange(len(pdf)), best])
 
-    placed = corpus.mapInPandas(assign, f"id {c_type}, vec array<double>, pivot int, away double")
+    # read for the sizes and for the search
+    placed = settle(corpus.mapInPandas(assign, f"id {c_type}, vec array<double>, pivot int, away double"), "placed")
     # one row per pivot comes to the driver
     stats = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()
     if not stats:
@@ -82,7 +141,9 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, skip_same_id: bool =
             out = pdf.iloc[row].reset_index(drop=True)
             yield out.assign(pivot=ids[col].astype("int32"), slice=part.astype("int32"), bound=bound[row])
 
-    seen = queries.mapInPandas(visits, f"query_id {q_type}, vec array<double>, pivot int, slice int, bound double")
+    seen = settle(queries.mapInPandas(visits, f"query_id {q_type}, vec array<double>, pivot int, slice int, bound double"), "visits")
+    if report is not None:
+        report.append({"pivots": len(ids), "queries": queries.count(), "visits": seen.count()})
     # query lists per pivot are cut as well; the corpus slice is repeated for each piece
     asked = seen.groupBy("pivot", "slice").agg(F.count(F.lit(1)).alias("asks")).groupBy("pivot").agg(
         F.max("asks").alias("asks"))
@@ -100,15 +161,14 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, skip_same_id: bool =
         empty = pd.DataFrame({"query_id": [], "id": [], "distance": []})
         if not len(left) or not len(right):
             return empty
+        right = right.sort_values("id")
         corpus_m, ids_ = _matrix(right["vec"]), right["id"].to_numpy()
-        found = []
-        for start in range(0, len(left), 256):
-            part = left.iloc[start:start + 256]
+        leaves, found = _leaves(corpus_m), []
+        for start in range(0, len(left), ASKED_ROWS):
+            part = left.iloc[start:start + ASKED_ROWS]
             q = _matrix(part["vec"])
-            d = _distances(q, corpus_m)
-            cut = np.partition(d, min(take, d.shape[1]) - 1, axis=1)[:, min(take, d.shape[1]) - 1]
+            row, col, _ = _walk(q, part["bound"].to_numpy(), corpus_m, leaves, take)
             # recompute the survivors directly: equal pairs then get equal distances in every block
-            row, col = np.nonzero(d <= (cut + 1e-6 * (1.0 + cut))[:, None])
             exact = np.sqrt(((q[row] - corpus_m[col]) ** 2).sum(1))
             found.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "id": ids_[col], "distance": exact}))
         out = pd.concat(found)

@@ -153,3 +153,18 @@ def test_monitor_drops_late_rows_and_restarts_cleanly(spark):
     _write(spark, src, [(day(2), 500.0)] * 30 + [(day(9), 2.0)])  # the window of day 2 is closed
     again = sorted((r.window_start.day, r.rows) for r in run().collect())
     assert again == [(2, 50), (4, 1)]
+
+
+def test_newest_rows_monitor_keeps_two_folders(spark, tmp_path):
+    import os
+
+    base = monitors.fit_baseline(spark.createDataFrame([(i, float(i)) for i in range(100)], "k long, v double"), ["v"])
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in range(4):
+        spark.createDataFrame([(n * 50 + i, float((n * 50 + i) % 130)) for i in range(50)], "k long, v double").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("k long, v double").option("maxFilesPerTrigger", 1).parquet(source)
+    monitors.monitor_drift_batches(stream, base, ["k"], out, 60).awaitTermination()
+    assert sorted(x for x in os.listdir(f"{out}/newest") if not x.startswith(".")) == ["2", "3"]
+    rows = {r.batch_id: r["rows"] for r in spark.read.parquet(f"{out}/scores").collect()}
+    assert rows == {0: 50, 1: 60, 2: 60, 3: 60}
+    assert spark.read.parquet(f"{out}/newest/3").count() == 60

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.arithmetic import percent, ratio, severity
 from tidemark.functions.kinds import is_missing, kind_of, number, ref
@@ -153,13 +153,20 @@ def fit_bounds(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, flo
     return {r.column_name: (r.lower_bound, r.upper_bound) for r in outlier_table(df, cols).collect()}
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the monitor's own state, in any file system Spark reaches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def monitor_drift_batches(stream: DataFrame, baseline: dict, order: Sequence[str], path: str, window_size: int = 1000,
                           threshold: float = 0.1, interval: str | None = None):
     """PSI of the newest ``window_size`` rows after every micro-batch.
 
     The newest rows are kept as one small folder per batch under ``path`` (shared
-    storage). Batch n reads the folder of batch n-1 and overwrites its own, so a
-    repeated batch gives the same result.
+    storage). Batch n takes the newest rows of each task (a bounded heap, no sort of the
+    batch) and of the folder of batch n-1, overwrites its own, so that a repeated batch gives
+    the same result, and removes that of batch n-2, which no repetition reads.
     """
     cols = list(dict.fromkeys([*order, *baseline["numeric"], *baseline["text"]]))
 
@@ -174,6 +181,8 @@ def monitor_drift_batches(stream: DataFrame, baseline: dict, order: Sequence[str
             F.count(F.lit(1)).alias("n"))
         result = _finish(_score(counted, baseline, ["batch"]), baseline, threshold)
         result.write.mode("overwrite").parquet(f"{path}/scores/batch_id={number_}")
+        if number_ > 1:
+            _remove(batch.sparkSession, f"{path}/newest/{number_ - 2}")
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{path}/checkpoint")
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

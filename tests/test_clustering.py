@@ -88,6 +88,28 @@ def test_large_clusters_are_cut_over_blocks(spark, monkeypatch):
         assert len({(got[i], want[i]) for i in range(len(xs))}) == 3 == len(set(got.values())), how
 
 
+def test_ward_skips_blocks_that_are_too_far(spark, monkeypatch):
+    monkeypatch.setattr(cl, "ALL_PAIRS_BLOCKS", 3)
+    rng = np.random.default_rng(6)
+    xs = np.vstack([rng.uniform(size=(40, 2)) * 4 + [20 * g, 0] for g in range(3)])
+    report = []
+    named, tree = cl.merge_tree(points(spark, xs), "ward", 8, report)
+    place = {tuple(r.vec): r.cluster for r in named.collect()}
+    assert tree.count() == len(xs) - 1 and max(r["read"] / r["pairs"] for r in report[:3]) < 0.5, report
+    want = brute_merge(xs, 3, "ward")
+    kept = [r for r in tree.collect() if r.height < 100]
+    root = {c: c for c in place.values()}
+
+    def find(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    for r in kept:
+        root[find(r.b)] = find(r.a)
+    assert len({(find(place[tuple(x)]), w) for x, w in zip(xs, want)}) == 3
+
+
 def test_ties_still_give_k_clusters(spark):
     xs = np.array([[float(i), 0.0] for i in range(6)] + [[0.0, 0.0]])
     for how in ("single", "ward"):

@@ -17,7 +17,7 @@ from tidemark.operators.cleaning import fit_scaler, scale
 from tidemark.plans.components import connected_components
 from tidemark.plans.ranks import running
 from tidemark.plans.sizing import broadcast_if_small
-from tidemark.plans.spanning import minimum_spanning_tree
+from tidemark.plans.spanning import blocks_on_curve, bounding_boxes, close_blocks, minimum_spanning_tree, near_boxes, passes_for
 from tidemark.session import settle
 
 SLICE_ROWS = 20_000
@@ -269,6 +269,8 @@ LINKAGES = ("single", "complete", "average", "ward")
 
 #: Numbers in the largest array of coordinate differences.
 CELLS = 4_000_000
+#: Up to this many blocks, reading all pairs of them takes less time than finding the near ones.
+ALL_PAIRS_BLOCKS = 16
 
 
 def _gaps(x: pd.DataFrame, y: pd.DataFrame, linkage: str) -> tuple[list, list, np.ndarray]:
@@ -328,7 +330,43 @@ def _in_blocks(members: DataFrame, rows: int, block_rows: int) -> DataFrame:
     return placed.join(F.broadcast(cut), "cluster", "left").fillna(False, ["cut"])  # fewer cut clusters than blocks
 
 
-def merge_tree(points: DataFrame, linkage: str = "ward", block_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
+def _ward_nearest(members: DataFrame, rows: int, block_rows: int, report: list | None) -> DataFrame:
+    """(cluster, other, gap): the nearest cluster of each, from centres in blocks along a curve.
+
+    Close blocks give each cluster a bound; beyond them only pairs of blocks are read whose boxes, with
+    the least weights in them, come within the bound of a cluster.
+    """
+    named = members.select(F.col("cluster").alias("node"), "vec", "weight")
+    placed = blocks_on_curve(named, block_rows, ["weight"]).select(F.col("node").alias("cluster"), "vec", "weight", F.lit(False).alias("cut"), "block")
+    dims = placed.select(F.size("vec").alias("n")).first().n
+    boxes = settle(bounding_boxes(placed, dims, F.min("weight").alias("weight")), "boxes")
+    n_blocks = boxes.count()
+
+    def read(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.col("a").alias("lb"), F.col("b").alias("rb"))
+        left = pairs.join(placed.withColumnRenamed("block", "lb"), "lb")
+        right = pairs.join(placed.withColumnRenamed("block", "rb"), "rb")
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of their own, for both sides of the cogroup
+        return left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(
+            lambda x, y: _nearest(x, y, "ward"), "cluster long, partner long, other long, value double, pairs double").select("cluster", "value", "other")
+
+    def folded(found: DataFrame) -> DataFrame:
+        return settle(found.groupBy("cluster").agg(F.min(F.struct("value", "other")).alias("n")).select("cluster", "n.*"), "nearest")
+
+    close = close_blocks(n_blocks, boxes)
+    best, pairs_read = folded(read(close)), 2 * n_blocks - 1
+    for few in passes_for(n_blocks):
+        bound = placed.join(best, "cluster").groupBy("block").agg(F.max("value").alias("bound"))
+        info = settle(boxes.join(bound, "block").withColumn("label", F.lit(-1)), "info")
+        pairs = settle(near_boxes(info, few).join(close, ["a", "b"], "left_anti"), "pairs")
+        pairs_read += pairs.count()
+        best = folded(best.unionByName(read(pairs)))
+    if report is not None:
+        report.append({"clusters": rows, "read": pairs_read, "pairs": n_blocks * (n_blocks + 1) // 2})
+    return best.select("cluster", "other", F.col("value").alias("gap"))
+
+
+def merge_tree(points: DataFrame, linkage: str = "ward", block_rows: int = 2_000, report: list | None = None) -> tuple[DataFrame, DataFrame]:
     """((vec, cluster), (a, b, height, round)): distinct points numbered, and every merge up to one cluster.
 
     'single' takes the edges of the minimum spanning tree. For the others, in each round all
@@ -336,8 +374,9 @@ def merge_tree(points: DataFrame, linkage: str = "ward", block_rows: int = 2_000
     final tree wherever it comes in the order, as a merge never brings a third cluster nearer. Blocks hold ``block_rows`` points in every round,
     so a large cluster is cut over blocks: each pair of blocks gives one row per whole cluster, its
     nearest there, and for pairs with a cut cluster a partial maximum or sum, folded
-    afterwards. Ward's clusters are one row each, centre and weight. The cost is every pair of
-    points, in blocks; ties go to the lower number.
+    afterwards. The cost is every pair of points, in blocks. Ward's clusters are one row each,
+    centre and weight, and only blocks whose boxes come near enough are read: ``report`` receives
+    their number per round beside that of all pairs. Ties go to the lower number.
     """
     if linkage not in LINKAGES:
         raise ValueError(f"unknown linkage: {linkage}")
@@ -345,27 +384,30 @@ def merge_tree(points: DataFrame, linkage: str = "ward", block_rows: int = 2_000
     numbered = running(folded.select("vec", "weight", F.struct("first").alias("value"), F.lit(1).alias("one")), [], "value", ["one"])
     named = settle(numbered.select("vec", "weight", (F.col("one_upto") - 1).cast("long").alias("cluster")), "named")
     if linkage == "single":
-        tree = minimum_spanning_tree(named.select(F.col("cluster").alias("node"), "vec"), block_rows)
+        tree = minimum_spanning_tree(named.select(F.col("cluster").alias("node"), "vec"), block_rows, report)
         return named.select("vec", "cluster"), tree
     members, merges, left = named.withColumn("point", F.col("cluster")), [], named.count()
     rows = left
     fold = {"single": F.min, "complete": F.max}.get(linkage, F.sum)
     while left > 1:
-        last = max(1, math.ceil(rows / block_rows)) - 1
-        placed = _in_blocks(members, rows, block_rows)
-        asked = placed.withColumnRenamed("block", "lb").withColumn("rb", F.explode(F.sequence("lb", F.lit(last))))
-        again = placed.select(*[F.col(c).alias(c) for c in placed.columns])  # columns of their own, for both sides of the cogroup
-        held = again.withColumnRenamed("block", "rb").withColumn("lb", F.explode(F.sequence(F.lit(0), "rb")))
-        near = asked.groupBy("lb", "rb").cogroup(held.groupBy("lb", "rb")).applyInPandas(
-            lambda x, y: _nearest(x, y, linkage), "cluster long, partner long, other long, value double, pairs double")
-        known = settle(near.groupBy("cluster", "partner").agg(F.min(F.struct("value", "other")).alias("n"), fold("value").alias("value"),
-                                                              F.sum("pairs").alias("pairs")), "known")
-        parted = known.filter("partner >= 0").select("cluster", "partner", (F.col("value") / F.col("pairs") if linkage == "average" else F.col("value")).alias("gap"))
-        seen = (known.filter("partner < 0").select("cluster", F.col("n.value").alias("gap"), F.col("n.other").alias("other"))
-                .unionByName(parted.select("cluster", "gap", F.col("partner").alias("other")))
-                .unionByName(parted.select(F.col("partner").alias("cluster"), "gap", F.col("cluster").alias("other"))))
-        best = seen.groupBy("cluster").agg(F.min(F.struct("gap", "other")).alias("n")).select("cluster", F.col("n.other").alias("other"), F.col("n.gap").alias("gap"))
-        best = settle(best, "nearest")
+        if linkage == "ward" and rows > ALL_PAIRS_BLOCKS * block_rows:
+            best = _ward_nearest(members, rows, block_rows, report)
+        else:
+            last = max(1, math.ceil(rows / block_rows)) - 1
+            placed = _in_blocks(members, rows, block_rows)
+            asked = placed.withColumnRenamed("block", "lb").withColumn("rb", F.explode(F.sequence("lb", F.lit(last))))
+            again = placed.select(*[F.col(c).alias(c) for c in placed.columns])  # columns of their own, for both sides of the cogroup
+            held = again.withColumnRenamed("block", "rb").withColumn("lb", F.explode(F.sequence(F.lit(0), "rb")))
+            near = asked.groupBy("lb", "rb").cogroup(held.groupBy("lb", "rb")).applyInPandas(
+                lambda x, y: _nearest(x, y, linkage), "cluster long, partner long, other long, value double, pairs double")
+            known = settle(near.groupBy("cluster", "partner").agg(F.min(F.struct("value", "other")).alias("n"), fold("value").alias("value"),
+                                                                  F.sum("pairs").alias("pairs")), "known")
+            parted = known.filter("partner >= 0").select("cluster", "partner", (F.col("value") / F.col("pairs") if linkage == "average" else F.col("value")).alias("gap"))
+            seen = (known.filter("partner < 0").select("cluster", F.col("n.value").alias("gap"), F.col("n.other").alias("other"))
+                    .unionByName(parted.select("cluster", "gap", F.col("partner").alias("other")))
+                    .unionByName(parted.select(F.col("partner").alias("cluster"), "gap", F.col("cluster").alias("other"))))
+            best = seen.groupBy("cluster").agg(F.min(F.struct("gap", "other")).alias("n")).select("cluster", F.col("n.other").alias("other"), F.col("n.gap").alias("gap"))
+            best = settle(best, "nearest")
         back = best.select(F.col("cluster").alias("other"), F.col("other").alias("cluster"))
         pairs = settle(best.filter("cluster < other").join(back, ["cluster", "other"])
                        .select(F.col("cluster").alias("a"), F.col("other").alias("b"), F.col("gap").alias("height"), F.lit(len(merges)).alias("round")), "merges")

@@ -399,10 +399,10 @@ def feature_importance(model: TrainedModel, spark: SparkSession, by_source: bool
 
 # ---- mutual information ----
 
-def mutual_information(df: DataFrame, target: str, features: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
+def mutual_information(df: DataFrame, target: str, features: Sequence[str] | None = None, bins: int = 10, classes: int = 20) -> DataFrame:
     """Plug-in mutual information of every feature with the target, in nats.
 
-    Numbers are cut at their deciles (a numeric target with more than 20 values
+    Numbers are cut at their deciles (a numeric target with more than ``classes`` values
     too), gaps are filled with the median or mode, text counts as it is. All
     features share one pass that counts (feature, x, y) cells.
     """
@@ -411,7 +411,7 @@ def mutual_information(df: DataFrame, target: str, features: Sequence[str] | Non
     filled = cleaning.drop_null_target(filled, target)
     nums = [c for c in features if kind_of(df.schema[c].dataType) == "numeric"]
     y_numeric = kind_of(df.schema[target].dataType) == "numeric"
-    y_many = y_numeric and filled.select(ref(target)).distinct().limit(21).count() > 20
+    y_many = y_numeric and filled.select(ref(target)).distinct().limit(classes + 1).count() > classes
     cut = nums + ([target] if y_many else [])
     probs = [i / bins for i in range(1, bins)]
     names = [f"q{i}" for i in range(1, bins)]

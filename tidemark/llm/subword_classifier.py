@@ -269,7 +269,11 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text", kept:
 
 
 def keep_positive(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.5, positive=1) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all columns as they were."""
+    """The rows of ``docs`` that score at least ``threshold``, with all columns as they were.
+
+    A null text scores as an empty one. Without a model (no labelled row) every score is
+    0.5, so all rows stay at the usual threshold. Empty input gives no rows.
+    """
     make = _scorer(model, positive)
 
     def run(batches):

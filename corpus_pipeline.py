@@ -16,27 +16,27 @@ from tidemark.session import settle
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the repetition rules. A null text has no words and goes."""
+    """Documents that pass the repetition rules. A null or empty text has no words and goes. No documents give none."""
     return repetition.keep_passing(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of at least one half."""
+    """Documents with a quality score of at least one half. Without labels every score is one half and all documents stay. A null text scores as an empty one."""
     return subword_classifier.keep_positive(docs, quality_model(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the lowest id of each group of near copies."""
+    """The document with the lowest id of each group of near copies. Documents without words or with a null id stay; repeated rows count once."""
     return forest_join.keep_first(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated at their source's rate, in random order."""
+    """Documents repeated at their source's rate, in random order. A null text counts as empty, a null source as a source of its own. No documents give none."""
     return poisson_mix.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences. A null text is one end token, a null source a queue of its own. No documents give no pieces."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), digest=True)
 
 

@@ -71,6 +71,17 @@ def test_windows_have_the_target_shares(spark):
     assert abs(share - 0.75) < 0.05
 
 
+def test_named_sources_keep_their_queues(spark):
+    """With two queues the smallest source has its own when it is named; more names than queues are an error."""
+    rows = [(i, "word " * 300, s) for s, n in (("big", 12), ("mid", 6), ("tiny", 3)) for i in range({"big": 0, "mid": 100, "tiny": 200}[s], {"big": 0, "mid": 100, "tiny": 200}[s] + n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(1)
+    got = packing.pack(docs, PATH, window_tokens=4096, weights={"tiny": 1}, max_queues=2).collect()
+    first = sorted(got, key=lambda r: (r.sequence_id, r.offset))[:2]
+    assert {r.source for r in first} == {"tiny"} and sum(r.length for r in got) == 21 * 302
+    with pytest.raises(ValueError):
+        packing.pack(docs, PATH, weights={"a": 1, "b": 1}, max_queues=2)
+
+
 def test_packing_of_nothing(spark, docs):
     assert packing.pack(docs.limit(0), PATH).count() == 0
     assert packing.pack(docs.filter("doc_id = 60"), PATH, digest=True).collect()[0].ids_crc32 == zlib.crc32(b"\0" * 4)

@@ -26,7 +26,7 @@ LENGTH = 1024
 #: Tokens of a window when all queues are full.
 WINDOW_TOKENS = 64 * LENGTH
 END_ID = 0
-#: Queues at most; the sources with the fewest tokens share the last one. A task holds a few numbers per queue.
+#: Queues at most; beyond it the sources without a target that have the fewest tokens share the last one. A task holds a few numbers per queue.
 QUEUES = 4096
 #: Tokens that a queue serves at once; larger than a sequence's share of most documents, so few are cut for the mixture.
 GRAIN = LENGTH
@@ -108,14 +108,21 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     Documents are queued in the order in which they are read. A null text is an empty
     document of the end id alone; a null source is a queue; repeated rows are packed as
-    often as they occur. With ``weights``, sources not named are served at the least
+    often as they occur. With ``weights``, named sources have queues of their own (more of them than queues are an
+    error) and sources not named are served at the least
     rate, so mostly last, never dropped. ``length`` is the sequence length; only the last sequence is shorter.
     """
     tokens, width = encoded(docs, id_col, text_col, source_col, tokenizer_path, end_id)
     tokens = settle(tokens, "tokens")
     # One row per part and source; a source's rows are as many as there are parts.
     sums = settle(tokens.groupBy("source", "part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n")), "sums")
-    ranked = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.col("source")).limit(max_queues - 1).collect()
+    order_by = [F.desc("n"), F.col("source")]
+    if weights is not None:  # a source with a target never shares a queue
+        if len(weights) >= max_queues:
+            raise ValueError(f"weights name {len(weights)} sources; there are {max_queues} queues, one of them for sources not named")
+        target = F.coalesce(F.col("source").isin([s for s in weights if s is not None]), F.lit(None in weights))
+        order_by.insert(0, target.desc())
+    ranked = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(*order_by).limit(max_queues - 1).collect()
     named = {r.source: r.n for r in ranked}
     rest = sums.agg(F.sum("n")).first()[0] or 0
     rest -= sum(named.values())

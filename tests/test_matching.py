@@ -177,8 +177,39 @@ def test_chunks_cover_the_whole_text(spark):
     got = ret.chunk(spark.createDataFrame([(1, text), (2, "ab")], "id int, t string"), "id", "t").orderBy("chunk_id").collect()
     parts = [r.chunk for r in got if r.id == 1]
     assert parts[0] + "".join(p[200:] for p in parts[1:]) == text and [r.chunk for r in got if r.id == 2] == ["ab"]
-    pieces = ret.split_text("para one.\n\n" + "word " * 300, 100, 20)
-    assert max(map(len, pieces)) <= 100 and pieces[0] == "para one."
+
+
+def cut_by_marks(text, size, overlap, marks=("\n\n", "\n", " ", "")):
+    """The same cuts by plain recursion."""
+    mark, finer = marks[0], marks[1:]
+    pieces = text.split(mark) if mark else list(text)
+    pieces = [p for p in pieces[:1] + [mark + p for p in pieces[1:]] if p]
+    out, window = [], []
+    for piece in pieces:
+        if len(piece) >= size:
+            out += ["".join(window)] + cut_by_marks(piece, size, overlap, finer)
+            window = []
+            continue
+        if len("".join(window)) + len(piece) > size:
+            out.append("".join(window))
+            while window and (len("".join(window)) > overlap or len("".join(window)) + len(piece) > size):
+                del window[0]
+        window.append(piece)
+    return [c.strip() for c in out + ["".join(window)] if c.strip()]
+
+
+def test_chunks_by_marks_match_recursion(spark):
+    import random
+    draw = random.Random(5)
+    texts = ["", None, " ", "\n\n\n", "para one.\n\n" + "word " * 300, "x" * 333, "é😀" * 120 + "\u3000 \x1cü", "a\n\n\n\n\nb" * 30]
+    texts += ["".join(draw.choice(["a", "bc", "é", "w" * 9, "z" * 41, " ", " ", "\n", "\n\n", "\t"]) for _ in range(draw.randrange(200))) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "id int, t string, chunk string")
+    for size, overlap in ((100, 20), (20, 19), (7, 0), (10, 3)):
+        got = {}
+        for r in ret.chunk_by_marks(rows, "id", "t", size, overlap).orderBy("id", "chunk_id").collect():
+            got.setdefault(r.id, []).append(r.chunk)
+        for i, t in enumerate(texts):
+            assert got.get(i, []) == (cut_by_marks(t, size, overlap) if t else []), (t, size, overlap)
 
 
 def test_mmr_prefers_variety(spark):

@@ -92,3 +92,6 @@ EXPLICIT_SQL = ["generate sql", "create sql", "write sql", "sql query", "sql for
 
 # Parts of a token that mark it as an address or link, which is never corrected.
 SKIP_MARKS = ["@", ":", "/", ".com"]
+
+# White space of Unicode and the ASCII separators, as one character class.
+WHITE_SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import patterns as fixed
 from tidemark.functions.similarity import words
@@ -24,45 +24,65 @@ def chunk(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int =
     return cut.select(key, F.col("chunk_id").cast("long").alias("chunk_id"), F.substring(F.col(text), F.col("start") + 1, F.lit(size)).alias("chunk"))
 
 
-def split_text(text: str, size: int, overlap: int, marks: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the coarsest mark that works, with overlap."""
-    mark = next((m for m in marks if m == "" or m in text), "")
-    finer = marks[marks.index(mark) + 1:]
-    pieces = [p for p in (list(text) if mark == "" else text.split(mark)) if p]
-    out: list[str] = []
-    window: list[str] = []
-
-    def width(parts: list[str]) -> int:
-        return sum(map(len, parts)) + len(mark) * max(len(parts) - 1, 0)
-
-    def flush() -> None:
-        joined = mark.join(window).strip()
-        if joined:
-            out.append(joined)
-
-    for piece in pieces:
-        if len(piece) > size:
-            flush()
-            window.clear()
-            out.extend(split_text(piece, size, overlap, finer) if finer else [piece])
-            continue
-        if window and width(window + [piece]) > size:
-            flush()
-            while window and (width(window) > overlap or width(window + [piece]) > size):
-                window.pop(0)
-        window.append(piece)
-    flush()
-    return out
+def _stepped(text: Column, size: int, overlap: int) -> Column:
+    """Windows of ``size`` characters of a text without marks, cut once into steps."""
+    step = size - overlap
+    steps = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % step), F.lit(0))
+    last = F.greatest(F.ceil((F.length(text) - overlap) / step), F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.array_join(F.slice(steps, i, -(-size // step)), ""), 1, size))
+
+
+def _merged(text: Column, size: int, overlap: int, marks: tuple[str, ...]) -> Column:
+    """Chunks of a text cut before each first mark; a piece of ``size`` or more is cut at the next marks.
+
+    A fold over the pieces: the text of the open window, its length, and the chunks closed
+    so far. When a piece does not fit, the window closes and keeps its last pieces, as many
+    as the overlap and the new piece leave room for. A window starts at a mark or at the
+    start of the text, so cutting it again gives its pieces.
+    """
+    if not marks:
+        return _stepped(text, size, overlap)
+    mark, finer = marks[0], marks[1:]
+    none = F.array().cast("array<string>")
+
+    def pieces(whole: Column) -> Column:
+        cut = F.transform(F.split(whole, mark, -1), lambda piece, i: F.when(i == 0, piece).otherwise(F.concat(F.lit(mark), piece)))
+        return F.filter(cut, lambda piece: piece != "")
+
+    def state(window: Column, total: Column, out: Column) -> Column:
+        return F.struct(window.alias("window"), total.cast("int").alias("total"), out.alias("out"))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["total"] > 0, F.array_append(acc["out"], acc["window"])).otherwise(acc["out"])
+
+    def add(acc: Column, piece: Column) -> Column:
+        n = F.length(piece)
+        room = F.least(F.lit(overlap), size - n)
+        kept = F.aggregate(pieces(acc["window"]), acc["total"], lambda left, old: F.when(left > room, left - F.length(old)).otherwise(left))
+        moved = F.transform(F.array(kept), lambda left: state(
+            F.concat(F.substring(acc["window"], acc["total"] - left + 1, left), piece), left + n, closed(acc)))[0]
+        return (F.when(n >= size, state(F.lit(""), F.lit(0), F.concat(closed(acc), _merged(piece, size, overlap, finer))))
+                .when(acc["total"] + n > size, moved)
+                .otherwise(state(F.concat(acc["window"], piece), acc["total"] + n, acc["out"])))
+
+    return F.aggregate(pieces(text), state(F.lit(""), F.lit(0), none), add, closed)
 
 
 def chunk_by_marks(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Chunks cut at paragraph, line and word ends where possible."""
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: split_text(t, size, overlap) if t else [])
+    """(key, chunk_id, chunk): chunks cut before paragraph ends, line ends and blanks where possible.
 
-    return (docs.select(F.col(key), F.posexplode(cut(F.col(text))).alias("chunk_id", "chunk"))
-            .select(key, F.col("chunk_id").cast("long").alias("chunk_id"), "chunk"))
+    A mark belongs to the piece that it starts and counts in its length; white space at
+    both ends of a chunk goes, and so does a chunk of nothing else. Lengths are in
+    characters. Null and empty texts give no row; every row of a repeated key is cut by
+    itself, its chunks numbered from 0.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and less than size")
+    ends = rf"\A{fixed.WHITE_SPACE}+|{fixed.WHITE_SPACE}+\z"
+    chunks = F.transform(_merged(F.col(text), size, overlap, ("\n\n", "\n", " ")), lambda c: F.regexp_replace(c, ends, ""))
+    # The outer form: the inner one adds a filter that would cut every text again.
+    return (docs.select(F.col(key), F.posexplode_outer(F.filter(chunks, lambda c: c != "")).alias("chunk_id", "chunk"))
+            .filter("chunk IS NOT NULL").select(key, F.col("chunk_id").cast("long").alias("chunk_id"), "chunk"))
 
 
 # ---- term weights ----

@@ -206,6 +206,28 @@ WEIGHTS = f"""tc AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, un
  idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents))::double / (1 + count(*))) + 1 AS idf FROM tc GROUP BY term),
  tw AS (SELECT doc_id, term, tf, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS weight FROM tc JOIN idf USING (term))"""
 
+
+def _marked_chunks(size: int, overlap: int) -> str:
+    """Pieces of each level with their places, runs of short ones, and a walk from window to window over their ends."""
+    blank = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    parts = ["RECURSIVE src0 AS (SELECT doc_id, 0 AS base, text AS body FROM documents WHERE length(text) > 0)"]
+    for n, mark in enumerate(("chr(10) || chr(10)", "chr(10)", "' '")):
+        parts.append(f"""cut{n} AS (SELECT doc_id, base, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, base, string_split(body, {mark}) AS ps FROM src{n})),
+ whole{n} AS (SELECT doc_id, base, i, CASE WHEN i = 1 THEN p ELSE {mark} || p END AS piece FROM cut{n}),
+ span{n} AS (SELECT doc_id, base, piece, length(piece) AS n, base + sum(length(piece)) OVER w - length(piece) AS pos, count(*) FILTER (WHERE length(piece) >= {size}) OVER w AS run
+   FROM whole{n} WHERE piece <> '' WINDOW w AS (PARTITION BY doc_id, base ORDER BY i)),
+ src{n + 1} AS (SELECT doc_id, pos AS base, piece AS body FROM span{n} WHERE n >= {size}),
+ runs{n} AS (SELECT doc_id, min(pos)::bigint AS s, list((pos + n)::bigint ORDER BY pos) AS ends FROM span{n} WHERE n < {size} GROUP BY doc_id, base, run)""")
+    parts.append(f"""runs AS (SELECT * FROM runs0 UNION ALL SELECT * FROM runs1 UNION ALL SELECT * FROM runs2
+   UNION ALL SELECT doc_id, base::bigint, list_transform(range(1, length(body) + 1), lambda x: (base + x)::bigint) FROM src3),
+ walk AS (SELECT doc_id, s, list_max(list_filter(ends, lambda x: x <= s + {size})) AS e, ends FROM runs
+   UNION ALL SELECT doc_id, t, list_max(list_filter(ends, lambda x: x <= t + {size})), list_filter(ends, lambda x: x > t) FROM (
+     SELECT doc_id, ends, list_min(list_filter(ends, lambda x: x >= e - least({overlap}, {size} - (list_min(list_filter(ends, lambda y: y > e)) - e)))) AS t
+     FROM walk WHERE e < list_max(ends))),
+ trimmed AS (SELECT doc_id, s, trim(substr(text, s::bigint + 1, (e - s)::bigint), '{blank}') AS chunk FROM walk JOIN documents USING (doc_id))""")
+    return f"WITH {', '.join(parts)} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_id, chunk FROM trimmed WHERE chunk <> ''"
+
+
 ORACLES = {
     "fuzzy_match_levenshtein": f"WITH {PAIRS} SELECT a AS left_value, b AS right_value, {r(LEV)} AS score FROM l, k WHERE {LEV} >= 0.8",
     "ngram_match": f"WITH {TFIDF} SELECT a AS left_value, b AS right_value, {r('part_score / qn')} AS score FROM sc JOIN qn USING (a) WHERE part_score / qn >= 0.5",
@@ -238,6 +260,7 @@ ORACLES = {
         for f, ps in (("sql", fixed.SQL_PATTERNS), ("analysis", fixed.ANALYSIS_PATTERNS), ("document", fixed.DOCUMENT_PATTERNS)) for i, p in enumerate(ps)),
     "chunk": """WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 200, 1), 800)) AS s FROM documents WHERE length(text) > 0),
         p AS (SELECT doc_id, s // 800 AS chunk_id, substr(text, s + 1, 1000) AS t FROM c) SELECT doc_id, chunk_id, length(t) AS size, md5(t) AS digest FROM p""",
+    "chunk_by_marks": _marked_chunks(1000, 200),
     "term_weights": f"WITH {WEIGHTS} SELECT doc_id, count(*) AS terms, round(max(weight), 6) AS top, round(sum(weight), 5) AS total FROM tw GROUP BY doc_id",
     "keyword_tags": f"""WITH {WEIGHTS}, k AS (SELECT doc_id, term, weight, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS position FROM tw)
         SELECT doc_id, position, term, {r('weight')} AS weight FROM k WHERE position <= 5""",

@@ -366,6 +366,32 @@ def _ward_nearest(members: DataFrame, rows: int, block_rows: int, report: list |
     return best.select("cluster", "other", F.col("value").alias("gap"))
 
 
+def _finish(rows: pd.DataFrame, linkage: str, done: int) -> pd.DataFrame:
+    """(a, b, height, round): all further rounds of clusters whose rows lie in one block."""
+    rows = rows.sort_values(["cluster", "point"]).assign(lb=0, rb=0, cut=False)
+    parts = [pd.DataFrame({"a": [], "b": [], "height": [], "round": []})]
+    while rows["cluster"].iloc[0] != rows["cluster"].iloc[-1]:
+        near = _nearest(rows, rows, linkage)
+        names, others = near["cluster"].to_numpy(np.int64), near["other"].to_numpy(np.int64)
+        merged = (others[np.minimum(np.searchsorted(names, others), len(names) - 1)] == names) & (names < others)
+        if not merged.any():
+            raise ValueError("points need finite distances")
+        a, b = names[merged], others[merged]
+        parts.append(pd.DataFrame({"a": a, "b": b, "height": near["value"].to_numpy()[merged], "round": done}))
+        done += 1
+        if linkage == "ward":
+            rows = rows.set_index("cluster", drop=False)
+            u, v = rows.loc[a], rows.loc[b]
+            wu, wv = u["weight"].to_numpy()[:, None], v["weight"].to_numpy()[:, None]
+            centres = (np.vstack(u["vec"].to_numpy()) * wu + np.vstack(v["vec"].to_numpy()) * wv) / (wu + wv)
+            joined = u.assign(vec=list(centres), weight=(wu + wv)[:, 0])
+            rows = pd.concat([rows.drop(index=np.concatenate((a, b))), joined]).reset_index(drop=True)
+        else:
+            rows = rows.assign(cluster=rows["cluster"].replace(dict(zip(b.tolist(), a.tolist()))))
+        rows = rows.sort_values(["cluster", "point"])
+    return pd.concat(parts)
+
+
 def merge_tree(points: DataFrame, linkage: str = "ward", block_rows: int = 2_000, report: list | None = None) -> tuple[DataFrame, DataFrame]:
     """((vec, cluster), (a, b, height, round)): distinct points numbered, and every merge up to one cluster.
 
@@ -376,7 +402,8 @@ def merge_tree(points: DataFrame, linkage: str = "ward", block_rows: int = 2_000
     nearest there, and for pairs with a cut cluster a partial maximum or sum, folded
     afterwards. The cost is every pair of points, in blocks. Ward's clusters are one row each,
     centre and weight, and only blocks whose boxes come near enough are read: ``report`` receives
-    their number per round beside that of all pairs. Ties go to the lower number.
+    their number per round beside that of all pairs. Once all rows fit into one block, the same
+    rounds go on in one task. Ties go to the lower number.
     """
     if linkage not in LINKAGES:
         raise ValueError(f"unknown linkage: {linkage}")
@@ -390,6 +417,12 @@ def merge_tree(points: DataFrame, linkage: str = "ward", block_rows: int = 2_000
     rows = left
     fold = {"single": F.min, "complete": F.max}.get(linkage, F.sum)
     while left > 1:
+        if rows <= block_rows:
+            done = len(merges)
+            parts = members.withColumn("block", F.lit(0)).groupBy("block").applyInPandas(
+                lambda block: _finish(block, linkage, done), "a long, b long, height double, round int")
+            merges.append(settle(parts, "merges"))
+            break
         if linkage == "ward" and rows > ALL_PAIRS_BLOCKS * block_rows:
             best = _ward_nearest(members, rows, block_rows, report)
         else:

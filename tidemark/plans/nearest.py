@@ -96,14 +96,35 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, skip_same_id: bool =
 
     ``queries``: query_id, vec. ``corpus``: id, vec. Vectors are arrays of one length.
     ``report`` receives a dict with the pivots, the queries, and the visits of queries to blocks.
+
+    Equal vectors tie everywhere: of corpus rows with one vector only those with the smallest
+    ids can be among the nearest, and equal queries are searched once and get their ids back.
     """
-    q_type, c_type = queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
     vec = lambda df: df.withColumn("vec", F.col("vec").cast("array<double>"))
     queries, corpus = vec(queries.select("query_id", "vec")), vec(corpus.select("id", "vec"))
+    take = k + 1 if skip_same_id else k
+    # a limit per vector, applied before the shuffle too
+    ties = Window.partitionBy("vec").orderBy("id")
+    corpus = corpus.withColumn("_tie", F.row_number().over(ties)).filter(F.col("_tie") <= take).drop("_tie")
+    queries = settle(queries, "queries")
+    # numbered once and written, so the numbers stay
+    heads = settle(queries.select("vec").distinct().withColumn("head", F.monotonically_increasing_id()), "heads")
+    hits = _nearest_rows(heads.select(F.col("head").alias("query_id"), "vec"), settle(corpus, "corpus"), take, pivots, block_rows, report)
+    members = queries.join(heads, "vec").select("query_id", F.col("head"))
+    out = members.join(hits.withColumnRenamed("query_id", "head"), "head").drop("head")
+    if not skip_same_id:
+        return out.select("query_id", "rank", "id", "distance")
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return (out.filter("query_id <> id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            .select("query_id", "rank", "id", "distance"))
+
+
+def _nearest_rows(queries: DataFrame, corpus: DataFrame, k: int, pivots: int | None, block_rows: int, report: list | None) -> DataFrame:
+    """``nearest`` of distinct query vectors."""
+    q_type, c_type = queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
     if pivots is None:
         pivots = min(MOST_PIVOTS, max(PIVOTS, corpus.count() // PIVOT_ROWS))
     centres = choose_pivots(corpus, pivots)
-    take = k + 1 if skip_same_id else k
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -130,7 +151,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, skip_same_id: bool =
             d = _distances(_matrix(pdf["vec"]), centres[ids])
             reach = d + radii
             order = reach.argsort(1)
-            filled = sizes[order].cumsum(1) >= take
+            filled = sizes[order].cumsum(1) >= k
             first = np.where(filled.any(1), filled.argmax(1), len(ids) - 1)
             bound = np.take_along_axis(reach, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
             bound = np.where(filled.any(1), bound, np.inf)
@@ -167,14 +188,11 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, skip_same_id: bool =
         for start in range(0, len(left), ASKED_ROWS):
             part = left.iloc[start:start + ASKED_ROWS]
             q = _matrix(part["vec"])
-            row, col, _ = _walk(q, part["bound"].to_numpy(), corpus_m, leaves, take)
+            row, col, _ = _walk(q, part["bound"].to_numpy(), corpus_m, leaves, k)
             # recompute the survivors directly: equal pairs then get equal distances in every block
             exact = np.sqrt(((q[row] - corpus_m[col]) ** 2).sum(1))
             found.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "id": ids_[col], "distance": exact}))
-        out = pd.concat(found)
-        if skip_same_id:
-            out = out[out["query_id"] != out["id"]]
-        out = out.sort_values(["query_id", "distance", "id"])
+        out = pd.concat(found).sort_values(["query_id", "distance", "id"])
         return out.groupby("query_id", sort=False).head(k)
 
     hits = (seen.groupBy(*blocks).cogroup(held.select(*blocks, "id", "vec").groupBy(*blocks))

@@ -22,3 +22,20 @@ def test_equal_vectors_are_searched_once(spark, same):
         best = [j for j in sorted(range(len(corpus)), key=lambda j: (d[j], j)) if not same or j != i][:3]
         assert got[i] == [(n, j, d[j]) for n, j in enumerate(best, 1)]
     assert report[0]["queries"] == 9
+
+
+def test_a_task_keeps_only_the_nearest_of_each_batch(spark, monkeypatch):
+    """Many near rows on one distance must not add up over the batches of a block."""
+    from tidemark.plans import nearest as plan
+    monkeypatch.setattr(plan, "ASKED_ROWS", 4)
+    turn = np.linspace(0, 2 * np.pi, 200, endpoint=False)
+    corpus = np.stack([np.cos(turn), np.sin(turn)], 1)
+    asked = np.arange(1, 13)[:, None] * np.array([[0.0, 1e-9]])
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "id long, vec array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, vec array<double>")
+    got = {}
+    for r in plan.nearest(q, c, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    for i, v in enumerate(asked):
+        d = np.sqrt(((corpus - v) ** 2).sum(1))
+        assert got[i] == sorted(range(200), key=lambda j: (d[j], j))[:3]

@@ -191,9 +191,10 @@ def _nearest_rows(queries: DataFrame, corpus: DataFrame, k: int, pivots: int | N
             row, col, _ = _walk(q, part["bound"].to_numpy(), corpus_m, leaves, k)
             # recompute the survivors directly: equal pairs then get equal distances in every block
             exact = np.sqrt(((q[row] - corpus_m[col]) ** 2).sum(1))
-            found.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "id": ids_[col], "distance": exact}))
-        out = pd.concat(found).sort_values(["query_id", "distance", "id"])
-        return out.groupby("query_id", sort=False).head(k)
+            hit = pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "id": ids_[col], "distance": exact})
+            # only the k nearest of each query outlive its batch
+            found.append(hit.sort_values(["query_id", "distance", "id"]).groupby("query_id", sort=False).head(k))
+        return pd.concat(found)
 
     hits = (seen.groupBy(*blocks).cogroup(held.select(*blocks, "id", "vec").groupBy(*blocks))
             .applyInPandas(search, f"query_id {q_type}, id {c_type}, distance double"))

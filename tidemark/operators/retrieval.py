@@ -87,13 +87,28 @@ def chunk_by_marks(docs: DataFrame, key: str, text: str, size: int = 1000, overl
 
 # ---- term weights ----
 
+#: Terms whose weights go to every task, and the longest of them; the rows of all others are joined.
+HOT_TERMS = 100_000
+HOT_LENGTH = 64
+
+
 def term_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, weight): term counts times smoothed idf, each document scaled to length 1."""
-    counts = docs.select(F.col(key), F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf, weight): term counts times smoothed idf, each document scaled to length 1.
+
+    Texts, not their terms, are shuffled to be counted. Most rows belong to the most frequent
+    terms, whose idf is a bounded table; only the rows of rarer terms meet theirs in a shuffle.
+    """
     n = float(docs.count())
-    idf = counts.groupBy("term").agg((F.log((1 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
-    # a term that occurs everywhere makes one hot join key; AQE splits its partition
-    weighted = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    placed = docs.select(F.col(key), F.col(text)).repartition(F.col(key))
+    counts = settle(placed.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")), "counts")
+    found = settle(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    top = F.broadcast(settle(found.filter(F.length("term") <= HOT_LENGTH).orderBy(F.col("df").desc(), "term").limit(HOT_TERMS).select("term"), "hot"))
+    # at most HOT_TERMS short rows
+    hot = F.broadcast(found.join(top, "term", "left_semi"))
+    rare = counts.join(top, "term", "left_anti").join(found.join(top, "term", "left_anti"), "term")
+    # counts travel back to their document, weights are computed there
+    rows = counts.join(hot, "term").unionByName(rare).repartition(F.col(key))
+    weighted = rows.withColumn("w", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
     per_doc = Window.partitionBy(key)  # the terms of one document
     return weighted.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc))).select(key, "term", "tf", "weight")
 

@@ -4,10 +4,12 @@ Upper level: the corpus is partitioned by its nearest pivot; there are more pivo
 larger the corpus. From each partition's size and radius a query knows an upper bound for
 its k-th distance, and visits only the partitions that can hold something closer.
 Partitions and their query lists are cut into blocks of bounded size, so a dense spot that
-attracts a third of the points is spread over many tasks.
+attracts a third of the points is spread over many tasks. A query meets its nearest
+block first; the k-th distance there bounds what the other blocks return.
 Lower level: a block splits its rows by pivots of its own into leaves with centre and
 radius. A query takes the leaves in the order of their lower bounds and stops where the
-bound passes its k-th distance so far, which starts at the bound of the upper level.
+bound passes its k-th distance so far, which starts at the bound of the upper level. In many
+dimensions leaves rule out little; there one matrix product reads the block for all queries of a batch.
 """
 
 from __future__ import annotations
@@ -28,6 +30,12 @@ PIVOT_ROWS = 10_000
 BLOCK_ROWS = 20_000
 #: Queries that walk the leaves of a block together.
 ASKED_ROWS = 256
+#: Every so many rows of a block give the first bound of the k-th distance.
+PART_STEP = 8
+#: Least rows of that part for each wanted neighbour.
+PART_ROWS = 20
+#: Share of a block's rows in reach of a query from which on the whole block is read at once.
+SCAN_SHARE = 0.02
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -90,6 +98,33 @@ def _walk(queries: np.ndarray, bounds: np.ndarray, corpus: np.ndarray, leaves, t
     return row, col, read
 
 
+def _scan(queries: np.ndarray, bounds: np.ndarray, corpus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, corpus row) pairs within the bounds, up to rounding, by one matrix product."""
+    qq, cc = (queries * queries).sum(1), (corpus * corpus).sum(1)
+    off = 1e-7 * math.sqrt(max(qq.max(initial=0.0), cc.max(initial=0.0)))
+    slack = bounds + 1e-6 * (1.0 + np.where(np.isfinite(bounds), bounds, 0.0)) + off
+    square = (-2.0 * queries) @ corpus.T
+    square += cc[None, :]
+    return np.nonzero(square <= (slack * slack - qq)[:, None])
+
+
+def _reach(queries: np.ndarray, bounds: np.ndarray, corpus: np.ndarray, leaves, take: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, corpus row) pairs that hold the ``take`` nearest of each query.
+
+    The distances to a part of the corpus bound the k-th one. Where the leaves within that
+    bound hold few rows, as in few dimensions, they are walked; else one product reads the block.
+    """
+    centres, radii, members = leaves
+    part = corpus[::max(1, min(PART_STEP, len(corpus) // (PART_ROWS * take)))]
+    if len(part) >= take:
+        known = np.partition(_distances(queries, part), take - 1, axis=1)[:, take - 1]
+        bounds = np.minimum(bounds, known)
+    near = _distances(queries, centres) - radii[None, :] <= bounds[:, None]
+    if (near @ np.array([len(rows) for rows in members])).sum() > SCAN_SHARE * len(queries) * len(corpus):
+        return _scan(queries, bounds, corpus)
+    return _walk(queries, bounds, corpus, leaves, take)[:2]
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, skip_same_id: bool = False,
             pivots: int | None = None, block_rows: int = BLOCK_ROWS, report: list | None = None) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest corpus rows, ties by id.
@@ -144,39 +179,56 @@ def _nearest_rows(queries: DataFrame, corpus: DataFrame, k: int, pivots: int | N
     radii = np.array([s.radius for s in stats])
     slices = np.maximum(1, np.ceil(sizes / block_rows)).astype(int)
 
+    largest = float(np.sqrt((centres * centres).sum(1)).max() + radii.max())
+
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """With a null limit the nearest block only, which gives the limit; else every block that can hold something as near."""
         for pdf in batches:
             if not len(pdf):
                 continue
-            d = _distances(_matrix(pdf["vec"]), centres[ids])
+            q = _matrix(pdf["vec"])
+            # what the product form of a distance can be off by
+            off = 1e-7 * (largest + np.sqrt((q * q).sum(1)))
+            d = _distances(q, centres[ids])
             reach = d + radii
             order = reach.argsort(1)
             filled = sizes[order].cumsum(1) >= k
             first = np.where(filled.any(1), filled.argmax(1), len(ids) - 1)
             bound = np.take_along_axis(reach, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
             bound = np.where(filled.any(1), bound, np.inf)
-            row, col = np.nonzero(d - radii <= (bound * (1 + 1e-9) + 1e-9)[:, None])
+            limit = pdf["limit"].to_numpy(dtype="float64", na_value=np.nan)
+            home = np.isnan(limit)
+            bound = np.where(home, bound, np.minimum(bound, limit))
+            row, col = np.nonzero((d - radii <= (bound * (1 + 1e-6) + 1e-9 + off)[:, None]) & ~home[:, None])
             reps = slices[col]
-            row, col = np.repeat(row, reps), np.repeat(col, reps)
             part = np.concatenate([np.arange(r) for r in reps]) if len(reps) else np.array([], int)
-            out = pdf.iloc[row].reset_index(drop=True)
+            at = np.flatnonzero(home)
+            row, col = np.concatenate([np.repeat(row, reps), at]), np.concatenate([np.repeat(col, reps), d[at].argmin(1)])
+            # any slice bounds the k-th distance
+            part = np.concatenate([part, at % slices[col[len(part):]]])
+            out = pdf.drop(columns="limit").iloc[row].reset_index(drop=True)
             yield out.assign(pivot=ids[col].astype("int32"), slice=part.astype("int32"), bound=bound[row])
 
-    seen = settle(queries.mapInPandas(visits, f"query_id {q_type}, vec array<double>, pivot int, slice int, bound double"), "visits")
-    if report is not None:
-        report.append({"pivots": len(ids), "queries": queries.count(), "visits": seen.count()})
-    # query lists per pivot are cut as well; the corpus slice is repeated for each piece
-    asked = seen.groupBy("pivot", "slice").agg(F.count(F.lit(1)).alias("asks")).groupBy("pivot").agg(
-        F.max("asks").alias("asks"))
-    pieces = {r.pivot: max(1, math.ceil(r.asks / block_rows)) for r in asked.collect()}
-    load = queries.sparkSession.createDataFrame(
-        [(int(p), int(s), int(pieces.get(int(p), 0))) for p, s in zip(ids, slices)], "pivot int, slices int, pieces int")
-    load = F.broadcast(load)  # one row per pivot
-    seen = seen.join(load, "pivot").withColumn("piece", F.pmod(F.xxhash64("query_id"), F.col("pieces")).cast("int"))
-    held = (placed.join(load, "pivot").filter("pieces > 0")
-            .withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-            .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))))
-    blocks = ["pivot", "slice", "piece"]
+    def visited(asked: DataFrame, label: str) -> DataFrame:
+        return settle(asked.select("query_id", "vec", "limit").mapInPandas(
+            visits, f"query_id {q_type}, vec array<double>, pivot int, slice int, bound double"), label)
+
+    def met(seen: DataFrame) -> DataFrame:
+        """(query_id, id, distance): at most the k nearest of each block that a query visits."""
+        # query lists per pivot are cut as well; the corpus slice is repeated for each piece
+        asked = seen.groupBy("pivot", "slice").agg(F.count(F.lit(1)).alias("asks")).groupBy("pivot").agg(
+            F.max("asks").alias("asks"))
+        pieces = {r.pivot: max(1, math.ceil(r.asks / block_rows)) for r in asked.collect()}
+        load = queries.sparkSession.createDataFrame(
+            [(int(p), int(s), int(pieces.get(int(p), 0))) for p, s in zip(ids, slices)], "pivot int, slices int, pieces int")
+        load = F.broadcast(load)  # one row per pivot
+        cut = seen.join(load, "pivot").withColumn("piece", F.pmod(F.xxhash64("query_id"), F.col("pieces")).cast("int"))
+        held = (placed.join(load, "pivot").filter("pieces > 0")
+                .withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+                .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))))
+        blocks = ["pivot", "slice", "piece"]
+        return (cut.groupBy(*blocks).cogroup(held.select(*blocks, "id", "vec").groupBy(*blocks))
+                .applyInPandas(search, f"query_id {q_type}, id {c_type}, distance double"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "id": [], "distance": []})
@@ -188,7 +240,7 @@ def _nearest_rows(queries: DataFrame, corpus: DataFrame, k: int, pivots: int | N
         for start in range(0, len(left), ASKED_ROWS):
             part = left.iloc[start:start + ASKED_ROWS]
             q = _matrix(part["vec"])
-            row, col, _ = _walk(q, part["bound"].to_numpy(), corpus_m, leaves, k)
+            row, col = _reach(q, part["bound"].to_numpy(), corpus_m, leaves, k)
             # recompute the survivors directly: equal pairs then get equal distances in every block
             exact = np.sqrt(((q[row] - corpus_m[col]) ** 2).sum(1))
             hit = pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "id": ids_[col], "distance": exact})
@@ -196,8 +248,14 @@ def _nearest_rows(queries: DataFrame, corpus: DataFrame, k: int, pivots: int | N
             found.append(hit.sort_values(["query_id", "distance", "id"]).groupby("query_id", sort=False).head(k))
         return pd.concat(found)
 
-    hits = (seen.groupBy(*blocks).cogroup(held.select(*blocks, "id", "vec").groupBy(*blocks))
-            .applyInPandas(search, f"query_id {q_type}, id {c_type}, distance double"))
+    # the nearest block first: its k-th distance keeps the other blocks from returning k rows each
+    first = met(visited(queries.withColumn("limit", F.lit(None).cast("double")), "homes")).groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("limit"))
+    limits = settle(queries.join(first, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(math.inf))), "limits")
+    seen = visited(limits, "visits")
+    if report is not None:
+        report.append({"pivots": len(ids), "queries": queries.count(), "visits": seen.count()})
+    hits = met(seen)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return (hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "id", "distance"))

@@ -13,7 +13,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, Logist
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.arithmetic import corrected_skew, percent, ratio
 from tidemark.functions.kinds import kind_column, kind_of, number, numeric_columns, ref, text_columns
@@ -22,7 +22,7 @@ from tidemark.operators.quality import outlier_table
 from tidemark.operators.relationships import high_correlations
 from tidemark.plans.counts import as_text, column_summary
 from tidemark.plans.nearest import nearest
-from tidemark.plans.ranks import at_ranks, quantiles, running
+from tidemark.plans.ranks import quantiles, running
 from tidemark.plans.sizing import spread
 from tidemark.plans.stats import beside, moments
 from tidemark.session import settle
@@ -142,21 +142,34 @@ def feature_summary(df: DataFrame) -> DataFrame:
 
 # ---- split ----
 
+#: Ranges of the 32-bit key hash that are counted to find the one with the cut.
+SPLIT_RANGES = 1 << 16
+
+
 def train_test_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42, stratify: str | None = None) -> DataFrame:
     """Adds ``part``: 'test' for the rows with the lowest hash of the (unique) key.
 
     Their number is the share of all rows rounded up, or with ``stratify`` the share of
-    each class rounded to the nearest, nulls being a class. The cut comes from ranks, one
-    per class, so the rows themselves are not shuffled.
+    each class rounded to the nearest, nulls being a class. Rows are counted per class and
+    range of the hash; only the range that holds the cut, one for each class, is ranked, so
+    neither rows nor keys are shuffled.
     """
     text = ref(key).cast("string")
     at = F.struct(cleaning.key_hash(F.concat_ws(":", F.lit(str(seed)), text)).alias("h"), text.alias("k"))
     of = F.to_json(F.struct(ref(stratify).alias("v"))) if stratify else F.lit("")
     rows = df.withColumns({"_class": of, "_at": at})
-    counted = rows.groupBy("_class", "_at").agg(F.count(F.lit(1)).alias("n"))
+    ranged = rows.select("_class", "_at", F.floor(F.col("_at.h") / ((1 << 32) // SPLIT_RANGES)).alias("_range"))
     take = (lambda total: F.floor(total * test_share + 0.5)) if stratify else (lambda total: F.ceil(total * test_share))
-    cuts = at_ranks(counted, ["_class"], "_at", {"_cut": lambda total: take(total) - 1}).drop("_total")
-    # one row per class
+    upto = Window.partitionBy("_class").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    counts = ranged.groupBy("_class", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumns({"_upto": F.sum("_n").over(upto), "_take": take(F.sum("_n").over(Window.partitionBy("_class")))})
+    holds = counts.filter((F.col("_take") > F.col("_upto") - F.col("_n")) & (F.col("_take") <= F.col("_upto")))
+    holds = holds.select("_class", "_range", "_take", (F.col("_upto") - F.col("_n")).alias("_before"))
+    inside = Window.partitionBy("_class").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    # one row per class, and of each class the rows of one range
+    near = ranged.join(F.broadcast(holds), ["_class", "_range"]).groupBy("_class", "_take", "_before", "_at").agg(F.count(F.lit(1)).alias("_n"))
+    near = near.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    cuts = near.filter(F.col("_upto") >= F.col("_take")).groupBy("_class").agg(F.min("_at").alias("_cut"))
     return (rows.join(F.broadcast(cuts), "_class", "left").withColumn("part", F.when(F.col("_at") <= F.col("_cut"), "test").otherwise("train"))
             .drop("_class", "_at", "_cut"))
 
@@ -209,24 +222,32 @@ class TrainedModel:
         return cleaning.scale(out, self.scaler) if self.scaler else out
 
 
-def _estimator(kind: str, problem: str, rows: int, classes: int, depth: int, iterations: int):
+#: Models whose fit is the same for equal rows and for one row with their number as its weight; a forest draws rows, neighbours are rows.
+WEIGHTED = ("decision_tree", "logistic_regression", "linear_regression", "naive_bayes", "svm")
+
+
+def _estimator(kind: str, problem: str, rows: int, classes: int, depth: int, iterations: int, squares: int | None = None):
+    """``squares``: the sum of squared weights, when equal rows are one row with a weight."""
     common = {"featuresCol": "features", "labelCol": "label"}
+    weight = {} if squares is None else {"weightCol": "weight"}
     # an L2 penalty of 1 on the summed loss is 1/rows on Spark's mean loss
     penalty = 1.0 / max(rows, 1)
+    # Spark's variance divides by the weights less their mean square, not by the rows less one; the support vector machine's penalty follows it
+    margin = penalty if squares is None or rows < 2 else penalty * (rows - squares / rows) / (rows - 1)
     if problem == "classification":
         made = {
             "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=depth, seed=42, maxMemoryInMB=1024, **common),
-            "decision_tree": lambda: DecisionTreeClassifier(maxDepth=depth, seed=42, **common),
-            "logistic_regression": lambda: LogisticRegression(maxIter=iterations, regParam=penalty, standardization=False, **common),
-            "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **common),
-            "svm": lambda: (LinearSVC(maxIter=iterations, regParam=penalty, **common) if classes <= 2 else
-                            OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=penalty), parallelism=4, **common)),
+            "decision_tree": lambda: DecisionTreeClassifier(maxDepth=depth, seed=42, **common, **weight),
+            "logistic_regression": lambda: LogisticRegression(maxIter=iterations, regParam=penalty, standardization=False, **common, **weight),
+            "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **common, **weight),
+            "svm": lambda: (LinearSVC(maxIter=iterations, regParam=margin, **common, **weight) if classes <= 2 else
+                            OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=margin), parallelism=4, **common, **weight)),
         }
     else:
         made = {
             "random_forest": lambda: RandomForestRegressor(numTrees=100, maxDepth=depth, seed=42, maxMemoryInMB=1024, **common),
-            "decision_tree": lambda: DecisionTreeRegressor(maxDepth=depth, seed=42, **common),
-            "linear_regression": lambda: LinearRegression(**common),
+            "decision_tree": lambda: DecisionTreeRegressor(maxDepth=depth, seed=42, **common, **weight),
+            "linear_regression": lambda: LinearRegression(**common, **weight),
         }
     if kind not in made:
         raise ValueError(f"no {problem} model named {kind}; there are {sorted(made)} and knn")
@@ -246,20 +267,15 @@ def train(df: DataFrame, key: str, target: str, features: Sequence[str], problem
 
     A classification split is stratified. Fills, categories, codes and scaling are fitted
     on train rows only. Trees grow to ``depth`` at most, iterative fits to ``iterations``.
+    Models that know weights are fitted on the distinct train rows with their numbers.
     """
     features = list(features)
     started = time.time()
-    rows = cleaning.drop_null_target(cleaning.select_checked(df, list(dict.fromkeys([key, target, *features]))), target)
-    # read several times below (fills, categories, scaling, iterations)
+    used = list(dict.fromkeys([key, target, *features]))
+    # read several times below (split, fills, categories, scaling, iterations)
+    rows = settle(cleaning.drop_null_target(cleaning.select_checked(df, used), target), "rows")
     split = settle(train_test_split(rows, key, test_share, seed, target if problem == "classification" else None), "split")
     part = split.filter("part = 'train'")
-    fills = cleaning.fit_imputer(part, features)
-    filled = cleaning.impute(part, fills)
-    texts = [c for c in features if kind_of(df.schema[c].dataType) != "numeric"]
-    sizes = {r.column_name: r.distinct_count for r in column_summary(filled, texts).collect()} if texts else {}
-    one_hot = cleaning.fit_one_hot(filled, [c for c in texts if sizes.get(c, 0) <= cleaning.ONE_HOT_LIMIT])
-    codes = {c: settle(cleaning.label_codes(filled, c), "codes") for c in texts if c not in one_hot}
-
     labels = None
     if problem == "classification":
         found = part.select(ref(target).alias("t")).distinct().limit(max_classes + 1).collect()
@@ -268,24 +284,36 @@ def train(df: DataFrame, key: str, target: str, features: Sequence[str], problem
         labels = sorted(r.t for r in found)
     classes = len(labels) if labels else 0
     chosen = auto_model(problem, classes) if model == "auto" else model
+    fills = cleaning.fit_imputer(part, features)
+    kept = [ref(c) for c in dict.fromkeys([target, *features])]
+    known = settle(part.groupBy(*kept).agg(F.count(F.lit(1)).alias("_weight")), "distinct") if chosen in WEIGHTED else part
+    filled = cleaning.impute(known, fills)
+    texts = [c for c in features if kind_of(df.schema[c].dataType) != "numeric"]
+    sizes = {r.column_name: r.distinct_count for r in column_summary(filled, texts).collect()} if texts else {}
+    one_hot = cleaning.fit_one_hot(filled, [c for c in texts if sizes.get(c, 0) <= cleaning.ONE_HOT_LIMIT])
+    codes = {c: settle(cleaning.label_codes(filled, c), "codes") for c in texts if c not in one_hot}
     fitted = TrainedModel(features, target, problem, chosen, fills, one_hot, codes, {}, [], labels, None)
 
-    encoded = fitted.encode(part, fills)
+    encoded = fitted.encode(known, fills)
     hot = [f"{c}_{v}" for c, vs in one_hot.items() for v in [*vs, "nan"]]
     fitted.inputs = [c for c in features if c not in one_hot] + hot
     if model in ("svm", "knn", "auto"):
-        fitted.scaler = cleaning.fit_scaler(encoded, fitted.inputs)
+        fitted.scaler = cleaning.fit_scaler(fitted.encode(part, fills), fitted.inputs)
         encoded = cleaning.scale(encoded, fitted.scaler)
-    label = (F.array_position(F.array(*[F.lit(v) for v in labels]), ref(target)) - 1).cast("double") if labels else number(part, target)
-    encoded = encoded.withColumn("label", label)
+    label = (F.array_position(F.array(*[F.lit(v) for v in labels]), ref(target)) - 1).cast("double") if labels else number(known, target)
+    encoded = encoded.withColumn("_label", label)
     if chosen == "knn":
-        fitted.neighbours = settle(encoded.select(ref(key).alias("id"), _vector(fitted.inputs).alias("vec"), "label"), "neighbours")
+        fitted.neighbours = settle(encoded.select(ref(key).alias("id"), _vector(fitted.inputs).alias("vec"), F.col("_label").alias("label")), "neighbours")
         count = fitted.neighbours.count()
     else:
         assembled = VectorAssembler(inputCols=fitted.inputs, outputCol="features")
-        ready = spread(settle(assembled.transform(encoded).select("features", "label"), "features"))
-        count = ready.count()
-        fitted.pipeline = PipelineModel([assembled, _estimator(chosen, problem, count, classes, depth, iterations).fit(ready)])
+        weight = [F.col("_weight").cast("double").alias("weight")] if chosen in WEIGHTED else []
+        ready = spread(settle(assembled.transform(encoded).select("features", F.col("_label").alias("label"), *weight), "features"))
+        count, squares = ready.count(), None
+        if weight:
+            sums = ready.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("weight")).alias("squares")).first()
+            count, squares = int(sums.n or 0), sums.squares
+        fitted.pipeline = PipelineModel([assembled, _estimator(chosen, problem, count, classes, depth, iterations, squares).fit(ready)])
     fitted.info = {"train_rows": count, "seconds": round(time.time() - started, 3), "features": len(features),
                    "inputs": len(fitted.inputs), "classes": classes}
     test = split.filter("part = 'test'")

@@ -7,7 +7,9 @@ passed over becomes optional, and texts that differ become slots. Wrappers are f
 within each task, then merged per host in two steps, so a host with most pages is merged
 in pieces. A text slot keeps its texts with the pages that held them, as the lowest hashes of
 distinct pages; a text that nearly all of a host's pages have in the same place (the elements
-around it, with their classes) is template, also as a member of a repeated group.
+around it, with their classes) is template, also as a member of a repeated group. Where a host
+has more distinct pages than a slot keeps hashes, its wrapper proposes what is on about half of
+them, and these texts are counted over all distinct pages.
 
 The main text is what is left without the host's template. Tags and classes are hints: where
 there is an article (or main) element, nothing outside it is main text, and a text inside needs
@@ -27,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.plans.sizing import broadcast_if_small
+from tidemark.session import settle
 
 #: A quote inside a tag opens a value right after an equals sign only.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
@@ -70,7 +73,7 @@ UNITS = frozenset("div section article aside header footer form fieldset ul ol d
 #: Levels of the tree; the texts of deeper elements stand beside each other on the last one.
 MAX_DEPTH = 100
 MAX_PERIOD = 3
-#: Page hashes kept per text and per host, lowest first: with no more distinct pages counts are exact, else shares are estimated.
+#: Page hashes kept per text and per host, lowest first: with fewer distinct pages counts are exact, else what the wrapper proposes is counted over all pages.
 SAMPLE = 64
 #: Texts a slot keeps over pages beside those on many of them: those on most pages, the newest of equals.
 SLOT_TEXTS = 64
@@ -315,14 +318,17 @@ def page_hash(root: Node) -> int:
     return xxhash.xxh64_intdigest(main_text(root).encode("utf-8", "surrogatepass")) >> 11
 
 
-def infer(node: Node, page: int = 0):
-    """The wrapper of one page, whose hash is ``page``."""
-    items = []
+def infer(node: Node, page: int = 0, held: set | None = None, place: int = 0):
+    """The wrapper of one page, whose hash is ``page``; ``held`` receives the keys of its placed texts."""
+    items, place = [], 0 if held is None else _below(place, node.sig)
     for child in node.children:
         if child.sig is not None:
-            items.append([infer(child, page), False, False])
+            items.append([infer(child, page, held, place), False, False])
         elif not child.text.isspace():
-            items.append([["t", {_text_key(child.text): [page]}], False, False])
+            key = _text_key(child.text)
+            items.append([["t", {key: [page]}], False, False])
+            if held is not None:
+                held.add(_placed(place, key))
     return ["e", node.sig, fold(items)]
 
 
@@ -340,8 +346,8 @@ def _placed(place: int, key: str) -> int:
     return xxhash.xxh64_intdigest(key, seed=place) - (1 << 63)
 
 
-def template_texts(wrapper, pages: list[int]) -> list[int]:
-    """Keys of the placed texts that nearly all pages of the host have; ``pages`` are its page hashes."""
+def template_texts(wrapper, pages: list[int], share: float = NEARLY_ALL) -> list[int]:
+    """Keys of the placed texts that nearly all pages of the host have; ``pages`` are its page hashes, or the lowest of them."""
     held: dict = {}
     stack, sample = [(wrapper, 0, False)], set(pages)
     while stack:
@@ -357,7 +363,7 @@ def template_texts(wrapper, pages: list[int]) -> list[int]:
             place, inside = _below(place, node[1]), tag in MAIN or inside and (tag in TEXT_TAGS or PART_WORDS.isdisjoint(words))
             stack += [(i[0], place, inside) for i in node[2]]
     return sorted(k for (k, inside), on in held.items() if len(on) >= (LEAST_PAGES_IN_MAIN if inside else LEAST_PAGES)
-                  and len(sample.intersection(on)) >= NEARLY_ALL * len(sample))
+                  and len(sample.intersection(on)) >= share * len(sample))
 
 
 def expression(wrapper) -> str:
@@ -457,26 +463,31 @@ def _merge_rows(key_fields: list[str]):
     return run
 
 
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 16) -> DataFrame:
-    """(host, pages, wrapper): one wrapper per host, as JSON, with the lowest hashes of its distinct pages.
+def _read_pages(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """(host, pages, wrapper, page, texts), settled: rows with a wrapper fold pages of a host, those with ``texts`` have the placed texts of one page.
 
-    A task holds at most HOSTS_HELD wrappers and sends one row per host.
+    A task holds at most HOSTS_HELD wrappers.
     """
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html"))
 
     def run(batches):
         held: dict = {}
+        names = ["host", "pages", "wrapper", "page", "texts"]
 
         def flush():
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([p for p, _ in held.values()], pa.list_(pa.int64())),
-                                              pa.array([json.dumps(w) for _, w in held.values()], pa.string())], names=["host", "pages", "wrapper"])
+                                              pa.array([json.dumps(w) for _, w in held.values()], pa.string()),
+                                              pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.list_(pa.int64()))], names=names)
             held.clear()
 
         for batch in batches:
+            hashes, placed = [], []
             for host, html_text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root = parse(html_text)
+                root, texts = parse(html_text), set()
                 page = page_hash(root)
-                wrapper = infer(root, page)
+                wrapper = infer(root, page, texts)
+                hashes.append(page)
+                placed.append(sorted(texts))
                 if host in held:
                     own, merged = held[host]
                     held[host] = _merge_pages(own, [page]), _merge_node(merged, wrapper)
@@ -484,14 +495,38 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
                     held[host] = [page], wrapper
                 if len(held) > HOSTS_HELD:
                     yield from flush()
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.string()), pa.array(hashes, pa.int64()),
+                                              pa.array(placed, pa.list_(pa.int64()))], names=names)
         if held:
             yield from flush()
 
-    partial = rows.mapInArrow(run, "host string, pages array<bigint>, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).cast("int"))
+    return settle(rows.mapInArrow(run, "host string, pages array<bigint>, wrapper string, page bigint, texts array<bigint>"), "pages")
+
+
+def _merge_wrappers(read: DataFrame, salts: int = 16) -> DataFrame:
+    """(host, pages, wrapper): one wrapper per host, as JSON, with the lowest hashes of its distinct pages."""
+    partial = read.filter("wrapper IS NOT NULL").select("host", "pages", "wrapper").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).cast("int"))
     step = partial.groupBy("host", "salt").applyInArrow(_merge_rows(["host", "salt"]), "host string, salt int, pages array<bigint>, wrapper string")
     return step.groupBy("host").applyInArrow(_merge_rows(["host"]), "host string, pages array<bigint>, wrapper string")
 
 
+def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 16) -> DataFrame:
+    """(host, pages, wrapper): one wrapper per host, as JSON, with the lowest hashes of its distinct pages."""
+    return _merge_wrappers(_read_pages(pages, url_col, html_col), salts)
+
+
+def _counted(read: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(host, template): of the texts proposed for a host (host, template) those that nearly all its distinct pages have, by counting them all."""
+    seen = read.filter("page IS NOT NULL").join(broadcast_if_small(proposed), "host").select("host", "page", F.array_intersect("texts", "template").alias("hits"))
+    # copies of a page go before their texts are told apart; a text is on a distinct page if any copy has it
+    each = settle(seen.dropDuplicates(["host", "page", "hits"]), "hits")
+    sizes = each.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    found = each.select("host", "page", F.explode("hits").alias("text")).distinct().groupBy("host", "text").agg(F.count(F.lit(1)).alias("on"))
+    return (found.join(sizes, "host").filter(F.col("on") >= F.lit(NEARLY_ALL) * F.col("n"))
+            .groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("template")))  # no more than the wrapper proposes
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars) per row: the main text and its length in code points.
 
@@ -499,15 +534,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     URL form one host. Repeated rows each give a row. The wrappers' template texts are
     broadcast when counted small, else joined on the host.
     """
-    wrappers = infer_wrappers(pages, url_col, html_col)
+    read = _read_pages(pages, url_col, html_col)
 
     def texts_of(batches):
         for batch in batches:
-            keys = [template_texts(json.loads(w), p) for p, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["host", "template"])
-
-    templates = (wrappers.mapInArrow(texts_of, "host string, template array<bigint>").filter("size(template) > 0")
-                 .select(F.col("host").alias("h"), "template"))
+            own = batch.column(1).to_pylist()
+            keys = [template_texts(json.loads(w), p, NEARLY_ALL if len(p) < SAMPLE else SLOT_SHARE) for p, w in zip(own, batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) < SAMPLE for p in own], pa.bool_()), pa.array(keys, pa.list_(pa.int64()))],
+                                             names=["host", "sure", "template"])
+
+    proposed = settle(_merge_wrappers(read).mapInArrow(texts_of, "host string, sure boolean, template array<bigint>").filter("size(template) > 0"), "proposed")
+    templates = (proposed.filter("sure").select("host", "template").unionByName(_counted(read, proposed.filter("NOT sure").select("host", "template")))
+                 .withColumnRenamed("host", "h"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
     joined = rows.join(broadcast_if_small(templates), F.col("host") == F.col("h"), "left").select("id", "url", "html", "template")
     schema = T.StructType([T.StructField(id_col, joined.schema["id"].dataType), T.StructField(url_col, joined.schema["url"].dataType),

@@ -137,6 +137,18 @@ def test_search_equals_scoring_everything(spark, shard_docs):
         assert np.allclose([s for _, s in got[q]], [-s for s, _ in best], rtol=1e-12)
 
 
+def test_search_in_groups_of_queries(spark, monkeypatch):
+    """Tasks that hold a group of queries and read several shards in turn give the same results."""
+    monkeypatch.setattr(blockmax_search, "PARTS", 2)
+    monkeypatch.setattr(blockmax_search, "GROUP_QUERIES", 9)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = defaultdict(list)
+    for r in blockmax_search.top_k(docs, docs.filter("doc_id % 4 = 0"), k=5, shard_docs=30).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.doc_id)
+    assert dict(got) == {q: [i for _, i in best] for q, best in bm25(rows, [(i, t) for i, t in rows if i % 4 == 0], 5).items() if best}
+
+
 def test_search_edges(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     some = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (None, "a"), (4, "..."), (1, "a b")], "doc_id bigint, text string")

@@ -28,6 +28,8 @@ PIVOTS = 64
 MOST_PIVOTS = 4_096
 PIVOT_ROWS = 10_000
 BLOCK_ROWS = 20_000
+#: Distances to pivots computed at once, and visits of queries to blocks handed on at once.
+CELLS, VISIT_ROWS = 1 << 18, 20_000
 #: Queries that walk the leaves of a block together.
 ASKED_ROWS = 256
 #: Every so many rows of a block give the first bound of the k-th distance.
@@ -125,6 +127,48 @@ def _reach(queries: np.ndarray, bounds: np.ndarray, corpus: np.ndarray, leaves,
     return _walk(queries, bounds, corpus, leaves, take)[:2]
 
 
+def _slices(batches: Iterator[pd.DataFrame], pivots: int) -> Iterator[pd.DataFrame]:
+    """Rows so many at a time that their distances to all pivots are few."""
+    step = max(1, CELLS // max(1, pivots))
+    for pdf in batches:
+        for start in range(0, len(pdf), step):
+            yield pdf.iloc[start:start + step]
+
+
+def _visits(batches: Iterator[pd.DataFrame], centres: np.ndarray, ids: np.ndarray, sizes: np.ndarray, radii: np.ndarray,
+            slices: np.ndarray, k: int, largest: float) -> Iterator[pd.DataFrame]:
+    """With a null limit the nearest block only, which gives the limit; else every block that can hold something as near.
+
+    In many dimensions a query visits nearly every block, so visits leave VISIT_ROWS at a time and not a batch of queries at a time.
+    """
+    for pdf in _slices(batches, len(ids)):
+        q = _matrix(pdf["vec"])
+        # what the product form of a distance can be off by
+        off = 1e-7 * (largest + np.sqrt((q * q).sum(1)))
+        d = _distances(q, centres)
+        reach = d + radii
+        order = reach.argsort(1)
+        filled = sizes[order].cumsum(1) >= k
+        first = np.where(filled.any(1), filled.argmax(1), len(ids) - 1)
+        bound = np.take_along_axis(reach, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
+        bound = np.where(filled.any(1), bound, np.inf)
+        limit = pdf["limit"].to_numpy(dtype="float64", na_value=np.nan)
+        home = np.isnan(limit)
+        bound = np.where(home, bound, np.minimum(bound, limit))
+        row, col = np.nonzero((d - radii <= (bound * (1 + 1e-6) + 1e-9 + off)[:, None]) & ~home[:, None])
+        reps = slices[col]
+        part = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        at = np.flatnonzero(home)
+        row, col = np.concatenate([np.repeat(row, reps), at]), np.concatenate([np.repeat(col, reps), d[at].argmin(1)])
+        # any slice bounds the k-th distance
+        part = np.concatenate([part, at % slices[col[len(part):]]])
+        kept = pdf.drop(columns="limit")
+        for start in range(0, len(row), VISIT_ROWS):
+            now = slice(start, start + VISIT_ROWS)
+            out = kept.iloc[row[now]].reset_index(drop=True)
+            yield out.assign(pivot=ids[col[now]].astype("int32"), slice=part[now].astype("int32"), bound=bound[row[now]])
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, skip_same_id: bool = False,
             pivots: int | None = None, block_rows: int = BLOCK_ROWS, report: list | None = None) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest corpus rows, ties by id.
@@ -162,7 +206,7 @@ def _nearest_rows(queries: DataFrame, corpus: DataFrame, k: int, pivots: int | N
     centres = choose_pivots(corpus, pivots)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _slices(batches, len(centres)):
             if len(pdf):
                 d = _distances(_matrix(pdf["vec"]), centres)
                 best = d.argmin(1)
@@ -182,32 +226,7 @@ def _nearest_rows(queries: DataFrame, corpus: DataFrame, k: int, pivots: int | N
     largest = float(np.sqrt((centres * centres).sum(1)).max() + radii.max())
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """With a null limit the nearest block only, which gives the limit; else every block that can hold something as near."""
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            q = _matrix(pdf["vec"])
-            # what the product form of a distance can be off by
-            off = 1e-7 * (largest + np.sqrt((q * q).sum(1)))
-            d = _distances(q, centres[ids])
-            reach = d + radii
-            order = reach.argsort(1)
-            filled = sizes[order].cumsum(1) >= k
-            first = np.where(filled.any(1), filled.argmax(1), len(ids) - 1)
-            bound = np.take_along_axis(reach, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
-            bound = np.where(filled.any(1), bound, np.inf)
-            limit = pdf["limit"].to_numpy(dtype="float64", na_value=np.nan)
-            home = np.isnan(limit)
-            bound = np.where(home, bound, np.minimum(bound, limit))
-            row, col = np.nonzero((d - radii <= (bound * (1 + 1e-6) + 1e-9 + off)[:, None]) & ~home[:, None])
-            reps = slices[col]
-            part = np.concatenate([np.arange(r) for r in reps]) if len(reps) else np.array([], int)
-            at = np.flatnonzero(home)
-            row, col = np.concatenate([np.repeat(row, reps), at]), np.concatenate([np.repeat(col, reps), d[at].argmin(1)])
-            # any slice bounds the k-th distance
-            part = np.concatenate([part, at % slices[col[len(part):]]])
-            out = pdf.drop(columns="limit").iloc[row].reset_index(drop=True)
-            yield out.assign(pivot=ids[col].astype("int32"), slice=part.astype("int32"), bound=bound[row])
+        return _visits(batches, centres[ids], ids, sizes, radii, slices, k, largest)
 
     def visited(asked: DataFrame, label: str) -> DataFrame:
         return settle(asked.select("query_id", "vec", "limit").mapInPandas(

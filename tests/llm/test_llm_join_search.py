@@ -149,6 +149,27 @@ def test_search_in_groups_of_queries(spark, monkeypatch):
     assert dict(got) == {q: [i for _, i in best] for q, best in bm25(rows, [(i, t) for i, t in rows if i % 4 == 0], 5).items() if best}
 
 
+def test_search_does_not_copy_documents_per_group_of_queries(spark, monkeypatch):
+    """However many groups there are, documents are read where they are; a query id with two texts is ranked once."""
+    monkeypatch.setattr(blockmax_search, "PARTS", 2)
+    monkeypatch.setattr(blockmax_search, "GROUP_QUERIES", 9)
+    plans, real = [], blockmax_search._found
+
+    def found(*given):
+        plans.append(real(*given))
+        return plans[-1]
+
+    monkeypatch.setattr(blockmax_search, "_found", found)
+    rows = corpus()
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id bigint, text string")
+    asked = spark.createDataFrame([(i % 20, t) for i, t in rows[:40]], "doc_id bigint, text string")
+    got = blockmax_search.top_k(docs, asked, k=3, shard_docs=30).collect()
+    texts = {(i % 20, t) for i, t in rows[:40]}
+    assert len(plans) == -(-len(texts) // 9) > 1
+    assert not any("Exchange" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    assert Counter(r.query_id for r in got) == dict.fromkeys(range(20), 3) and {r["rank"] for r in got} == {1, 2, 3}
+
+
 def test_search_edges(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     some = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (None, "a"), (4, "..."), (1, "a b")], "doc_id bigint, text string")

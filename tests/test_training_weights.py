@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import modeling as op
 
@@ -53,3 +54,35 @@ def test_split_takes_the_lowest_hashes_of_each_class(spark):
         ids = sorted((i for i, v in rows if v == y), key=lambda i: (int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:8], 16), str(i)))
         want.update(ids[:math.floor(len(ids) * 0.2 + 0.5)])
     assert {i for i, part in got.items() if part == "test"} == want and len(got) == 301
+
+
+@pytest.mark.parametrize("target", ["y", "worth"])
+def test_a_forest_of_few_distinct_rows_is_fitted_on_them(spark, monkeypatch, tmp_path, target):
+    """Trees draw distinct rows with their numbers; the forest scores, ranks features and is stored as one of all rows."""
+    features, problem = (["a", "b", "c"], "classification") if target == "y" else (["a", "b"], "regression")
+    fits, seen, grown = [], [], op._forest
+
+    def counted(ready, *given):
+        seen.append(ready.count())
+        return grown(ready, *given)
+
+    monkeypatch.setattr(op, "_forest", counted)
+    monkeypatch.setattr(op, "TREES", 24)
+    for rows in (100, 100_000):
+        monkeypatch.setattr(op, "FOREST_ROWS", rows)
+        fits.append(op.train(table(spark), "id", target, features, problem, "random_forest"))
+    (one, scored), (every, plain) = fits
+    assert len(seen) == 1 and seen[0] <= 6 * 4 * 2 * 2 and one.info["train_rows"] == every.info["train_rows"] > 700
+    assert one.pipeline.stages[-1].getNumTrees == 24 and one.pipeline.stages[-1].numFeatures == len(one.inputs)
+    a, b = (dict(op.feature_importance(m, spark).collect()) for m in (one, every))
+    assert a.keys() == b.keys() and all(abs(a[f] - b[f]) < 0.1 for f in a)
+    if target == "y":
+        both = scored.select("id", F.col("probabilities")[1].alias("p")).join(plain.select("id", F.col("probabilities")[1].alias("q")), "id")
+    else:
+        both = scored.select("id", F.col("prediction").alias("p")).join(plain.select("id", F.col("prediction").alias("q")), "id")
+    off, most, n = both.agg(F.avg(F.abs(F.col("p") - F.col("q"))), F.max(F.abs(F.col("p") - F.col("q"))), F.count("p")).first()
+    assert n > 150 and off < (0.05 if target == "y" else 0.5), (off, most)
+    op.save_model(one, spark, str(tmp_path), "forest")
+    again = op.score(op.load_model(spark, str(tmp_path), "forest"), table(spark), "id", one.fills)
+    first = op.score(one, table(spark), "id", one.fills)
+    assert again.select("id", "prediction").exceptAll(first.select("id", "prediction")).count() == 0

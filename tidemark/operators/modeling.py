@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest,
-                                       RandomForestClassifier)
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.util import inheritable_thread_target
 
 from tidemark.functions.arithmetic import corrected_skew, percent, ratio
 from tidemark.functions.kinds import kind_column, kind_of, number, numeric_columns, ref, text_columns
@@ -222,6 +227,10 @@ class TrainedModel:
         return cleaning.scale(out, self.scaler) if self.scaler else out
 
 
+#: A forest of more train rows than the first number whose distinct rows are at most the second draws how often each of those is in each tree.
+FOREST_ROWS, FOREST_DISTINCT = 100_000, 200_000
+TREES, FOREST_SEED = 100, 42
+
 #: Models whose fit is the same for equal rows and for one row with their number as its weight; a forest draws rows, neighbours are rows.
 WEIGHTED = ("decision_tree", "logistic_regression", "linear_regression", "naive_bayes", "svm")
 
@@ -236,7 +245,7 @@ def _estimator(kind: str, problem: str, rows: int, classes: int, depth: int, ite
     margin = penalty if squares is None or rows < 2 else penalty * (rows - squares / rows) / (rows - 1)
     if problem == "classification":
         made = {
-            "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=depth, seed=42, maxMemoryInMB=1024, **common),
+            "random_forest": lambda: RandomForestClassifier(numTrees=TREES, maxDepth=depth, seed=FOREST_SEED, maxMemoryInMB=1024, **common),
             "decision_tree": lambda: DecisionTreeClassifier(maxDepth=depth, seed=42, **common, **weight),
             "logistic_regression": lambda: LogisticRegression(maxIter=iterations, regParam=penalty, standardization=False, **common, **weight),
             "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **common, **weight),
@@ -245,7 +254,7 @@ def _estimator(kind: str, problem: str, rows: int, classes: int, depth: int, ite
         }
     else:
         made = {
-            "random_forest": lambda: RandomForestRegressor(numTrees=100, maxDepth=depth, seed=42, maxMemoryInMB=1024, **common),
+            "random_forest": lambda: RandomForestRegressor(numTrees=TREES, maxDepth=depth, seed=FOREST_SEED, maxMemoryInMB=1024, **common),
             "decision_tree": lambda: DecisionTreeRegressor(maxDepth=depth, seed=42, **common, **weight),
             "linear_regression": lambda: LinearRegression(**common, **weight),
         }
@@ -254,6 +263,50 @@ def _estimator(kind: str, problem: str, rows: int, classes: int, depth: int, ite
     return made[kind]()
 
 
+def _forest(ready: DataFrame, problem: str, classes: int, depth: int):
+    """The forest of all rows, from (features, label, weight): distinct rows with their numbers.
+
+    Spark's bootstrap takes each row a Poisson(1) number of times per tree, so of n equal
+    rows a tree has a Poisson(n) number: the same forest drawn otherwise, and no pass over
+    all rows per level. Trees are fitted by themselves, several at a time.
+    """
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:  # seeded by the row's content, not by its place
+            pdf["draws"] = [np.random.default_rng([FOREST_SEED, h & 0xFFFFFFFF, h >> 32 & 0xFFFFFFFF]).poisson(n, TREES).tolist()
+                            for h, n in zip(pdf["h"].tolist(), pdf["weight"].tolist())]
+            yield pdf[["values", "label", "draws"]]
+
+    spark, values = ready.sparkSession, vector_to_array("features")
+    # rows that filled gaps make equal have one draw
+    rows = ready.groupBy(values.alias("values"), "label").agg(F.sum("weight").alias("weight")).withColumn("h", F.xxhash64("values", "label"))
+    draws = rows.mapInPandas(drawn, "values array<double>, label double, draws array<long>").coalesce(1).sortWithinPartitions("values", "label")
+    draws = settle(draws.select(array_to_vector("values").alias("features"), "label", "draws"), "draws")
+    kind = "classification" if problem == "classification" else "regression"
+    # a tree may miss a class
+    label = F.col("label").alias("label", metadata={"ml_attr": {"type": "nominal", "num_vals": classes}} if kind == "classification" else {})
+    made, share = (RandomForestClassifier, "sqrt") if kind == "classification" else (RandomForestRegressor, "onethird")
+
+    def tree(t: int):
+        own = draws.select("features", label, F.col("draws")[t].cast("double").alias("weight")).filter("weight > 0").coalesce(1)
+        return made(numTrees=1, featureSubsetStrategy=share, bootstrap=False, maxDepth=depth, seed=FOREST_SEED + t, maxMemoryInMB=1024,
+                    weightCol="weight").fit(own)._java_obj.trees()[0]
+
+    with ThreadPoolExecutor(max(1, min(16, spark.sparkContext.defaultParallelism))) as pool:
+        trees = list(pool.map(inheritable_thread_target(spark)(tree), range(TREES)))
+    package = getattr(spark.sparkContext._jvm.org.apache.spark.ml, kind)
+    single, whole, wrapped = ((package.DecisionTreeClassificationModel, package.RandomForestClassificationModel, RandomForestClassificationModel)
+                              if kind == "classification" else
+                              (package.DecisionTreeRegressionModel, package.RandomForestRegressionModel, RandomForestRegressionModel))
+    array = spark.sparkContext._gateway.new_array(single, TREES)
+    for t, one in enumerate(trees):
+        array[t] = one
+    forest = wrapped(whole(f"forest_{uuid.uuid4().hex[:12]}", array, trees[0].numFeatures(), *([classes] if kind == "classification" else [])))
+    # a mean divides by this parameter, not by the trees there are
+    forest._set(numTrees=TREES, maxDepth=depth, seed=FOREST_SEED, maxMemoryInMB=1024)
+    forest._transfer_params_to_java()
+    return forest
+
+
 def auto_model(problem: str, classes: int) -> str:
     if problem == "regression":
         return "random_forest"
@@ -267,7 +320,8 @@ def train(df: DataFrame, key: str, target: str, features: Sequence[str], problem
 
     A classification split is stratified. Fills, categories, codes and scaling are fitted
     on train rows only. Trees grow to ``depth`` at most, iterative fits to ``iterations``.
-    Models that know weights are fitted on the distinct train rows with their numbers.
+    Models that know weights are fitted on the distinct train rows with their numbers, a
+    forest of many rows that are few distinct ones too.
     """
     features = list(features)
     started = time.time()
@@ -286,7 +340,10 @@ def train(df: DataFrame, key: str, target: str, features: Sequence[str], problem
     chosen = auto_model(problem, classes) if model == "auto" else model
     fills = cleaning.fit_imputer(part, features)
     kept = [ref(c) for c in dict.fromkeys([target, *features])]
-    known = settle(part.groupBy(*kept).agg(F.count(F.lit(1)).alias("_weight")), "distinct") if chosen in WEIGHTED else part
+    weighted = chosen in WEIGHTED or chosen == "random_forest" and part.count() > FOREST_ROWS
+    known = settle(part.groupBy(*kept).agg(F.count(F.lit(1)).alias("_weight")), "distinct") if weighted else part
+    if weighted and chosen == "random_forest" and known.count() > FOREST_DISTINCT:
+        weighted, known = False, part
     filled = cleaning.impute(known, fills)
     texts = [c for c in features if kind_of(df.schema[c].dataType) != "numeric"]
     sizes = {r.column_name: r.distinct_count for r in column_summary(filled, texts).collect()} if texts else {}
@@ -307,13 +364,15 @@ def train(df: DataFrame, key: str, target: str, features: Sequence[str], problem
         count = fitted.neighbours.count()
     else:
         assembled = VectorAssembler(inputCols=fitted.inputs, outputCol="features")
-        weight = [F.col("_weight").cast("double").alias("weight")] if chosen in WEIGHTED else []
+        weight = [F.col("_weight").cast("double").alias("weight")] if weighted else []
         ready = spread(settle(assembled.transform(encoded).select("features", F.col("_label").alias("label"), *weight), "features"))
         count, squares = ready.count(), None
         if weight:
             sums = ready.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("weight")).alias("squares")).first()
             count, squares = int(sums.n or 0), sums.squares
-        fitted.pipeline = PipelineModel([assembled, _estimator(chosen, problem, count, classes, depth, iterations, squares).fit(ready)])
+        forest = weighted and chosen == "random_forest"
+        fit = _forest(ready, problem, classes, depth) if forest else _estimator(chosen, problem, count, classes, depth, iterations, squares).fit(ready)
+        fitted.pipeline = PipelineModel([assembled, fit])
     fitted.info = {"train_rows": count, "seconds": round(time.time() - started, 3), "features": len(features),
                    "inputs": len(fitted.inputs), "classes": classes}
     test = split.filter("part = 'test'")
